@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import langid, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labelled documents outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"))
+    languages = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), languages).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of 3-word shingles and its component at 2 differing bits or fewer."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
@@ -31,6 +39,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
