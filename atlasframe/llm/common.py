@@ -66,9 +66,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def salts_for(rows: int, per_task: int = 50_000) -> int:
-    """How many parts a group of at most ``rows`` rows is split into, so that a part stays small."""
-    return max(1, -(-rows // per_task))
+def salts_for(rows: int, per_part: int = 2_000, most: int = 4_096) -> int:
+    """How many parts a group of at most ``rows`` rows is split into, so that a part stays small.
+    ``most`` bounds the table of parts, not the rows: beyond it the parts grow."""
+    return max(1, min(most, -(-rows // per_part)))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], salts: int, name: str, salt_by: list[Column]) -> DataFrame:

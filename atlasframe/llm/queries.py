@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, simhash
+from . import langid, linededup, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the runs of lines that occurred before."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "removed_lines")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
@@ -32,15 +37,85 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), languages).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and when at first (in billionths of the training time)."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = (F.col("_mix_size") * F.col("_mix_times")).alias("taken")
+    rows = mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), taken, F.round(F.get("_mix_positions", F.lit(0)) * 1e9).cast("long").alias("first_position"))
+    return rows.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of 3-word shingles and its component at 2 differing bits or fewer."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op8_curriculum_mix": op8_curriculum_mix,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, k - 1 AS line_no, string_split(text, chr(10))[k] AS raw,
+         trim(string_split(text, chr(10))[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents)),
+counted AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines WHERE line <> ''),
+summed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line_no) AS upto FROM counted),
+pairs AS (
+  SELECT a.doc_id, a.line_no AS p, min(b.line_no) AS e FROM summed a JOIN summed b
+  ON a.doc_id = b.doc_id AND b.line_no >= a.line_no AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.line_no
+  UNION
+  SELECT b.doc_id, max(a.line_no) AS p, b.line_no AS e FROM summed a JOIN summed b
+  ON a.doc_id = b.doc_id AND b.line_no >= a.line_no AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.line_no),
+contents AS (
+  SELECT w.doc_id, w.p, w.e, string_agg(s.line, chr(10) ORDER BY s.line_no) AS content
+  FROM pairs w JOIN summed s ON s.doc_id = w.doc_id AND s.line_no BETWEEN w.p AND w.e GROUP BY w.doc_id, w.p, w.e),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS nth FROM contents),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, e + 1)) AS line_no FROM ordered WHERE nth > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.line_no IS NULL) AS text,
+         count(*) AS n_lines, count(g.line_no) AS removed_lines
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op8_curriculum_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+placed AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS begun,
+         CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM sized),
+sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][CAST(rank % 3 AS INTEGER) + 1] AS DOUBLE) AS w, sum(s) OVER () * CAST(1.5 AS DOUBLE) AS whole FROM sources),
+levels AS (
+  SELECT a.source, a.s, a.w, a.rank, (SELECT max(l) FROM (
+      SELECT (max(c.whole) - coalesce(sum(2 * c.s) FILTER (WHERE 2 * c.s / c.w <= b.x), 0)) / sum(c.w) FILTER (WHERE 2 * c.s / c.w > b.x) AS l, b.x
+      FROM (SELECT CAST(0 AS DOUBLE) AS x UNION SELECT 2 * s / w FROM weighed) b, weighed c GROUP BY b.x) t
+    WHERE l >= x) AS level FROM weighed a),
+targets AS (
+  SELECT source, least(2 * s, w * level) AS target, rank FROM levels),
+taken AS (
+  SELECT p.doc_id, p.size, p.source_size, t.target, t.rank % 3 AS turn, (p.begun + p.size / 2) / t.target AS part,
+         p.size * greatest(0, least(2, CAST(floor((t.target - p.begun - p.size / 2) / nullif(p.source_size, 0)) AS BIGINT) + 1)) AS taken
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source),
+timed AS (
+  SELECT *, CASE WHEN taken IS NULL OR taken = 0 THEN NULL
+    WHEN turn = 0 THEN 2 * part / (sqrt(CAST(2.25 AS DOUBLE) - 2 * part) + 1.5)
+    WHEN turn = 2 THEN 2 * part / (sqrt(CAST(0.0625 AS DOUBLE) + 3 * part) + 0.25)
+    WHEN part * CAST(1.125 AS DOUBLE) <= 0.5 THEN 2 * part * CAST(1.125 AS DOUBLE) / (sqrt(CAST(0.25 AS DOUBLE) + 4 * part * CAST(1.125 AS DOUBLE)) + 0.5)
+    ELSE 0.5 + 2 * (part * CAST(1.125 AS DOUBLE) - 0.5) / (sqrt(CAST(2.25 AS DOUBLE) - 2 * (part * CAST(1.125 AS DOUBLE) - 0.5)) + 1.5) END AS time FROM taken)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CAST(round(time * 1000000000) AS BIGINT) AS first_position FROM timed
+""",
+}
