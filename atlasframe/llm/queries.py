@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, packing, simhash
+from . import langid, linededup, mixing, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every vector whose id is divisible by 20."""
+    vectors = topk.impact_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0), 20)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of 3-word shingles and its component at 2 differing bits or fewer."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_language_id": op5_language_id,
     "op8_curriculum_mix": op8_curriculum_mix,
+    "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -117,5 +124,17 @@ timed AS (
     WHEN part * CAST(1.125 AS DOUBLE) <= 0.5 THEN 2 * part * CAST(1.125 AS DOUBLE) / (sqrt(CAST(0.25 AS DOUBLE) + 4 * part * CAST(1.125 AS DOUBLE)) + 0.5)
     ELSE 0.5 + 2 * (part * CAST(1.125 AS DOUBLE) - 0.5) / (sqrt(CAST(2.25 AS DOUBLE) - 2 * (part * CAST(1.125 AS DOUBLE) - 0.5)) + 1.5) END AS time FROM taken)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CAST(round(time * 1000000000) AS BIGINT) AS first_position FROM timed
+""",
+    "op9_exact_topk": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(64 AS DOUBLE) * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
 }
