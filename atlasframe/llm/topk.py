@@ -121,11 +121,11 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = B
     parts = max(1, -(-asked // BLOCK_QUERIES), min(-(-TASKS // blocks), -(-asked // 32)))
 
     def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     kinds = [F.size("v").alias("dims"), F.xxhash64("v").alias("key")]
     data = index.select("id", "v", *kinds, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), every(parts).alias("part"), F.lit(False).alias("asks"))
-    asks = queries.distinct().select("id", "v", *kinds, every(blocks).cast("long").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("asks"))
+    asks = queries.distinct().select("id", "v", *kinds, every(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part"), F.lit(True).alias("asks"))
     names = ["query_id", "key", "vec_id", "score"]
 
     def search(group: pa.Table) -> pa.Table:
