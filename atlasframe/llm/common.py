@@ -72,19 +72,38 @@ def salts_for(rows: int, per_part: int = 2_000, most: int = 4_096) -> int:
     return max(1, min(most, -(-rows // per_part)))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], salts: int, name: str, salt_by: list[Column]) -> DataFrame:
-    """``df`` with ``name``: a gapless rank from 0 within ``group``.
-
-    No group meets in one task: a row's salt comes from a hash of ``salt_by``, rows are numbered
-    within (group, salt), and the counts of the parts (one small row each) give each part's start.
-    The order is by salt and then by ``order``; equal rows are interchangeable.
+def running(df: DataFrame, group: list[str], parts: list[tuple[str, Column]], order: list[Column], value: Column, name: str, carry: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before this one in its ``group``.
+
+    No group meets in one task: ``parts`` (name and value; in order, "-" before a name for falling)
+    cut it, and rows are summed within (group, parts).  The parts' sums, one small row each, give each
+    part's start.  ``order`` orders rows within a part; equal rows are interchangeable.  ``carry``, a
+    table keyed by ``group``, adds its columns by way of the parts, so a hot group's rows never meet
+    its single row of the table.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    keys = [*group, "_salt"]
-    sizes = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
-    left, right = salted.withColumn("_in", within).alias("l"), starts.alias("r")
+    names = [n.lstrip("-") for n, _ in parts]
+    keys = [*group, *names]
+    cut = df.withColumns({n.lstrip("-"): c for n, c in parts} | {"_value": value})
+    sums = cut.groupBy(*keys).agg(F.sum("_value").alias("_n"))
+    rising = [F.desc(n[1:]) if n[0] == "-" else F.asc(n) for n, _ in parts]
+    before = Window.partitionBy(*group).orderBy(*rising).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    added = []
+    if carry is not None:
+        added = [c for c in carry.columns if c not in group]
+        s, c = starts.alias("s"), carry.alias("c")
+        starts = s.join(c, [F.col(f"s.{g}").eqNullSafe(F.col(f"c.{g}")) for g in group], "left").select("s.*", *[F.col(f"c.{x}") for x in added])
+    within = F.coalesce(F.sum("_value").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left, right = cut.withColumn("_in", within).alias("l"), starts.alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    return left.join(right, on, "inner").select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._in") + F.col("r._start")).alias(name))
+    out = left.join(right, on, "inner")
+    return out.select(*[F.col(f"l.{c}") for c in df.columns], *[F.col(f"r.{c}") for c in added], (F.col("l._in") + F.col("r._start")).cast("long").alias(name))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], salts: int, name: str, salt_by: list[Column], carry: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``name``: a gapless rank from 0 within ``group``, by salt and then by ``order``.
+
+    A row's salt comes from a hash of ``salt_by``; see ``running``.
+    """
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    return running(df, group, [("_salt", salt)], order, F.lit(1), name, carry)

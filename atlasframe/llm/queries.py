@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linededup, mixing, packing, simhash, topk
+from . import chat, langid, linededup, mixing, packing, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op4_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its slot there: equal texts together, counts at most one apart."""
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the labelled documents outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"))
@@ -78,6 +84,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_balanced_sharding": op4_balanced_sharding,
     "op5_language_id": op5_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_curriculum_mix": op8_curriculum_mix,
