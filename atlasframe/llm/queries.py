@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linededup, mixing, packing, sharding, simhash, topk
+from . import chat, langid, licenses, linededup, mixing, packing, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), languages).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates that every document contains."""
+    templates = spark.createDataFrame(list(licenses.TEMPLATES.items()), "template_id string, text string")
+    return licenses.scan(_table(spark, sf_dir, "documents"), templates).select("doc_id", "template_id", "matched", "shingles")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 of control strings, as read back from its formatted string."""
     control = F.lit("</s>[INST] ok [/INST]")
@@ -81,11 +87,37 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
 
 
+def _license_sql() -> str:
+    """The scan without bands: the same windows, each held against every template."""
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    shingled = """SELECT {ids}, least(5, len(w)) AS size, i - 1 AS place, list_aggregate(w[i:i + {size} - 1], 'string_agg', ' ') AS h
+  FROM (SELECT *, unnest(range(1, greatest(0, len(w) - {size} + 1) + 1)) AS i FROM {table})"""
+    return f"""
+WITH templates AS (
+  SELECT template_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {quoted}) t(template_id, text)),
+t AS ({shingled.format(ids="template_id", size="least(5, len(w))", table="templates")}),
+sized AS (
+  SELECT template_id, count(DISTINCT h) AS shingles, CAST(pow(2, ceil(log2(count(DISTINCT h)))) AS BIGINT) AS step FROM t GROUP BY template_id),
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
+d AS ({shingled.format(ids="doc_id", size=5, table="split")} UNION ALL
+  {shingled.format(ids="doc_id", size=3, table="split")}),
+placed AS (
+  SELECT doc_id, template_id, h, place // step - back AS win, shingles
+  FROM d JOIN (SELECT DISTINCT template_id, h FROM t) u USING (h) JOIN sized USING (template_id), (VALUES (0), (1)) b(back)),
+counted AS (
+  SELECT doc_id, template_id, win, count(DISTINCT h) AS matched, shingles FROM placed GROUP BY doc_id, template_id, win, shingles)
+SELECT doc_id, template_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(shingles) AS INTEGER) AS shingles
+FROM counted WHERE matched * 10 >= shingles * 8 GROUP BY doc_id, template_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_balanced_sharding": op4_balanced_sharding,
     "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_exact_topk": op9_exact_topk,
@@ -164,6 +196,7 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
+    "op6_license_scan": _license_sql(),
     "op7_chat_formatting": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
