@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, linededup, mixing, packing, sharding, simhash, topk
+from . import chat, langid, licenses, linededup, media, mixing, packing, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as an MPEG audio stream, and what is read back from it."""
+    found = media.read(media.store(_table(spark, sf_dir, "documents")))
+    last = F.element_at("offsets", -1)
+    feature = F.format_string("mpeg%s layer%d %d Hz frames=%d samples=%d seconds=%d/%d kbps=%.3f %s=%d crc=%d-%d skipped=%d last=%d", "version", "layer", "rate", "frames", "samples", "seconds_num", "seconds_den", "kbps_mean", "vbr", "vbr_frames", "checked", "failed", "skipped", last)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op4_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24 and its slot there: equal texts together, counts at most one apart."""
     placed = sharding.shard(_table(spark, sf_dir, "documents"), 24)
@@ -115,6 +132,7 @@ FROM counted WHERE matched * 10 >= shingles * 8 GROUP BY doc_id, template_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_media_columns": op3_media_columns,
     "op4_balanced_sharding": op4_balanced_sharding,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
