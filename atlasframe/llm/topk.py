@@ -4,9 +4,10 @@ Vectors are grouped into blocks; a block's index holds, for each dimension, the
 value) in order of value.  A posting's impact for a query is the size of its contribution to the
 score.  Postings are processed in rounds of falling impact: a round takes from both ends of every
 dimension the stretches whose impact reaches the round's level, and adds their contributions to the
-rows' scores.  What a row can still gain or lose is bounded by the sum of the dimensions' next
-impacts.  A query stops once the rows that these bounds leave possible are few, or all postings are
-done, and the possible rows are scored exactly.  Nothing is dropped without that proof.
+rows' scores; a dimension of which much is due is added whole, as a column.  What a row can still gain
+or lose is bounded by the sum of the dimensions' next impacts.  A query stops once the rows that these
+bounds leave possible are few, or all postings are done, and the possible rows are scored exactly.
+Nothing is dropped without that proof.
 
 Vectors that are null, or hold a null or non-finite component, and rows without an id take no part.
 Vectors are compared with those of the same length only.  Repeated rows are candidates each on its
@@ -28,6 +29,8 @@ BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
 TASKS = 24
 #: Levels of the rounds, as parts of the largest impact; the last round takes all that is left.
 LEVELS = (0.25, 0.06, 0.015)
+#: A dimension more than this part of whose postings a round takes is processed whole, as a column.
+WHOLE = 1 / 64
 #: A query stops when no more than one row in so many is possible.
 STOP_PART = 24
 
@@ -43,7 +46,8 @@ class ImpactIndex:
         self.exact = self.vectors.astype(np.float32 if bits < 2**24 else np.float64 if bits < 2**53 else np.int64)  # sums of products stay exact
         self.kind = np.int32 if bits < 2**31 else np.int64
         self.rows = [np.argsort(self.vectors[:, d], kind="stable") for d in range(self.dims)]
-        self.values = [self.vectors[r, d].astype(self.kind) for d, r in enumerate(self.rows)]
+        self.columns = np.ascontiguousarray(self.vectors.T).astype(self.kind)
+        self.values = [self.columns[d][r] for d, r in enumerate(self.rows)]
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the ``k`` best rows but those with id ``own``, best first."""
@@ -88,9 +92,13 @@ class ImpactIndex:
                 a, b = (int(np.searchsorted(values, x, side)) for x, side in ((-edge, "right"), (edge, "left"))) if level else (end, end)
                 a, b = min(max(a, begin), end), max(min(b, end), begin)
                 b = max(a, b)
-                for part in (slice(begin, a), slice(b, end)):
-                    if part.stop > part.start:
-                        acc[rows[part]] += values[part] * kind(q)
+                whole = a - begin + end - b > WHOLE * n
+                if whole:
+                    acc += self.columns[d] * kind(q)
+                    a = b = end
+                for part in (slice(0, begin), slice(w[3], n)) if whole else (slice(begin, a), slice(b, end)):
+                    if part.stop > part.start:  # of a column, what was done before comes off again
+                        acc[rows[part]] += values[part] * kind(-q if whole else q)
                 w[2], w[3] = a, b
                 if a < b:
                     rest += abs(q) * max(abs(int(values[a])), abs(int(values[b - 1])))
