@@ -3,8 +3,9 @@
 Documents start in shards by a hash of their id.  Links come as groups (here: equal texts); all
 documents of a group are neighbours.  The documents of one group in one shard are interchangeable,
 so the state is a table of blocks (group, shard, count), never the links.  Each round joins a group's
-blocks: a block moves towards the shard where most of its neighbours are, among those that still have
-room, and the shards admit the moves that gain most until their quota is full, the last one in part.
+blocks: a block moves towards the shard where most of its neighbours are, among those that have room or
+whose own blocks may leave, and the shards admit the moves that gain most until that is used up, the
+last one in part.
 Shards hold floor(n / shards) or one more row in the end: what is above the quota and all documents
 without neighbours fill the rows that are left.
 
@@ -21,16 +22,21 @@ from pyspark.sql.window import Window
 
 from .common import forget, ranked, running, salts_for, text_or_empty, written
 
-SHARDS, ROUNDS = 24, 5
+SHARDS, ROUNDS = 24, 6
 
 
 def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def _loads(blocks: DataFrame, shards: int) -> list[int]:
-    found = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    return [found.get(j, 0) for j in range(shards)]
+def _loads(blocks: DataFrame, shards: int) -> tuple[list[int], list[int], int]:
+    """By shard: its rows, and those of blocks that aren't their group's largest; and how gathered all are."""
+    own = F.struct(F.col("n"), (-F.col("shard")).alias("s"))
+    marked = blocks.withColumn("best", F.max(own).over(Window.partitionBy("key")))
+    loose = F.sum(F.when(F.col("best") > own, F.col("n")).otherwise(0))
+    found = {r["shard"]: r for r in marked.groupBy("shard").agg(F.sum("n").alias("n"), loose.alias("loose"), F.sum(F.col("n").cast("double") ** 2).alias("gathered")).collect()}
+    rows = [found.get(j) for j in range(shards)]
+    return [r["n"] if r else 0 for r in rows], [r["loose"] if r else 0 for r in rows], sum(r["gathered"] for r in rows if r)
 
 
 def _taken(moves: DataFrame, most: Column, falling: bool, by: str) -> DataFrame:
@@ -52,20 +58,20 @@ def propagate(blocks: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tup
     """Blocks (key, shard, n) after label propagation, and the shards' loads; shard -1 holds what was
     above the quotas."""
     shards, of_group = len(quotas), Window.partitionBy("key")
+    own = F.struct(F.col("n"), (-F.col("shard")).alias("s"))
     blocks = written(blocks)
-    for _ in range(rounds):
-        loads = _loads(blocks, shards)
-        room = F.element_at(_array([q - n for q, n in zip(quotas, loads, strict=True)]), F.col("shard") + 1)
-        own = F.struct(F.col("n"), (-F.col("shard")).alias("s"))
-        best = blocks.withColumn("best", F.max(F.when(room > 0, own)).over(of_group)).where(F.col("best") > own)
+    loads, loose, gathered = _loads(blocks, shards)
+    for k in range(rounds):
+        # What may leave a shard this round makes room too, but in the last round.
+        room = _array([q - n + (out if k < rounds - 1 else 0) for q, n, out in zip(quotas, loads, loose, strict=True)])
+        best = blocks.withColumn("best", F.max(F.when(F.element_at(room, F.col("shard") + 1) > 0, own)).over(of_group)).where(F.col("best") > own)
         moves = best.select("key", "shard", "n", (-F.col("best.s")).cast("int").alias("at"), F.col("best.n").alias("gain"))
-        to = F.element_at(_array([q - n for q, n in zip(quotas, loads, strict=True)]), F.col("at") + 1)
-        new = written(_moved(blocks, _taken(moves, to, True, "gain").select("key", "shard", "at", "took")))
+        new = written(_moved(blocks, _taken(moves, F.element_at(room, F.col("at") + 1), True, "gain").select("key", "shard", "at", "took")))
         forget(blocks)
-        blocks = new
-        if _loads(blocks, shards) == loads:
+        blocks, before = new, (loads, gathered)
+        loads, loose, gathered = _loads(blocks, shards)
+        if before == (loads, gathered):
             break
-    loads = _loads(blocks, shards)
     above = F.element_at(_array([n - q for q, n in zip(quotas, loads, strict=True)]), F.col("shard") + 1)
     surplus = _taken(blocks.withColumn("at", F.col("shard")), above, False, "n").select("key", "shard", F.lit(-1).alias("at"), "took")
     done = written(_moved(blocks, surplus))
