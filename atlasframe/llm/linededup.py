@@ -64,28 +64,30 @@ def _identity(id_col: str, text_col: str) -> Column:
 
 
 def windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """A row for each window: id, rid (of the document), first and last line, window hash, smallest
-    line hash, and a hash of that line's place."""
+    """A row for each document with windows: id, rid (of the document) and its windows: first and last
+    line, window hash, and the smallest line hash with the place of that line."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, rid binary, first int, last int, window binary, least long, place long"
+    schema = f"id {kind}, rid binary, windows array<struct<first: int, last: int, at: int, least: bigint, window: binary>>"
+    names = ["first", "last", "at", "least", "window"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         signed = lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
-            rows, first, last, window, least, place = [], [], [], [], [], []
-            rids = batch.column(1).to_pylist()
+            rows, ends, columns = [], [0], [[], [], [], [], []]
             for row, text in enumerate(batch.column(2).to_pylist()):
                 for a, b, lines, at in line_windows(text or "", min_words):
+                    least = min(signed(xxhash.xxh64_intdigest(x)) for x in lines)
+                    for column, value in zip(columns, (a, b, at, least, xxhash.xxh3_128_digest("\n".join(lines))), strict=True):
+                        column.append(value)
+                if len(columns[0]) > ends[-1]:
                     rows.append(row)
-                    first.append(a)
-                    last.append(b)
-                    window.append(xxhash.xxh3_128_digest("\n".join(lines)))
-                    least.append(min(signed(xxhash.xxh64_intdigest(x)) for x in lines))
-                    place.append(signed(xxhash.xxh64_intdigest(rids[row] + at.to_bytes(4, "little"))))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(window, pa.binary()), pa.array(least, pa.int64()), pa.array(place, pa.int64())], ["id", "rid", "first", "last", "window", "least", "place"])
+                    ends.append(len(columns[0]))
+            kept = pa.array(rows, pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            found = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["id", "rid", "windows"])
 
     return docs.select(F.col(id_col).alias("id"), _identity(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -96,11 +98,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     Fingerprints and windows are only ever joined with one row per hash (counts and firsts, summed
     before the shuffle), so a line or passage in a third of all documents makes no pairs.
     """
-    found = written(windows(docs, min_words, id_col, text_col))
+    found = written(windows(docs, min_words, id_col, text_col)).select("id", "rid", F.explode("windows").alias("w")).select("id", "rid", "w.*")
+    found = found.withColumn("place", F.xxhash64("rid", "at"))
     twice = found.groupBy("least").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a != b").select("least")
-    likely = found.join(twice, "least", "left_semi").withColumn("at", F.struct(F.col("id").isNull().alias("n"), "id", "rid", "first"))
-    firsts = likely.groupBy("window").agg(F.min("at").alias("begin"), F.max("at").alias("end")).where("begin < end").select("window", "begin")
-    later = likely.join(firsts, "window").where("at > begin")
+    likely = found.join(twice, "least", "left_semi").withColumn("begun", F.struct(F.col("id").isNull().alias("n"), "id", "rid", "first"))
+    firsts = likely.groupBy("window").agg(F.min("begun").alias("begin"), F.max("begun").alias("end")).where("begin < end").select("window", "begin")
+    later = likely.join(firsts, "window").where("begun > begin")
     spans = later.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     return spans.select("rid", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("lines"))
 
