@@ -65,24 +65,16 @@ def scan(docs: DataFrame, templates: DataFrame, size: int = WORDS, bands: int =
     """id, template_id, matched (the most shingles in a window), shingles and first_word (of the first
     window's matches), for every document and template (template_id, text) that match.
 
-    The templates, a bounded table, are brought to the driver once; documents are never shuffled as
-    texts, only the places where a template's shingle stands.
+    The templates' words, a bounded table, are brought to the driver once; documents are never shuffled
+    as texts, only the places where a template's shingle stands.
     """
-    spark = docs.sparkSession
-    listed = templates.select("template_id", "text").collect()
-    local = spark.createDataFrame([(r["template_id"], r["text"] or "") for r in listed], "template_id string, text string")
-    known = template_shingles(local, size).collect()
-    schema = "template_id string, have array<bigint>, shingles int, step int"
-    table = spark.createDataFrame([tuple(r) for r in known], schema)
-    kind = docs.schema[id_col].dataType.simpleString()
-    nothing = f"id {kind}, template_id string, matched int, shingles int, first_word int"
-    if not known:
-        return spark.createDataFrame([], nothing).withColumnRenamed("id", id_col)
-    split = [r["w"] for r in local.select(words(F.col("text")).alias("w")).collect()]
-    sizes = sorted({min(size, len(w)) for w in split if w[0]})
+    listed = templates.select("template_id", F.coalesce("text", F.lit("")).alias("text"))
+    table = template_shingles(listed, size)
+    split = [r["w"] for r in listed.select(words(F.col("text")).alias("w")).collect()]
+    total = table.agg(F.sum("shingles").alias("n")).first()["n"] or 0
+    sizes = sorted({min(size, len(w)) for w in split if w[0]}) or [1]
     vocabulary = sorted({x for w in split for x in w})
-    small = sum(r["shingles"] for r in known) <= BROADCAST_SHINGLES
-    hint = F.broadcast if small else (lambda df: df)
+    hint = F.broadcast if total <= BROADCAST_SHINGLES else (lambda df: df)
     # Places whose first words all are template words; others can't begin a template's shingle.
     of = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("rid"), words(F.col(text_col)).alias("w")).where("w is not null")
     last = F.size("w") - sizes[0]
