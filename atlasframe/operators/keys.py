@@ -25,12 +25,12 @@ def shortest_unique_keys(df: DataFrame, gh: str, row_id: str) -> DataFrame:
     partial counts first, so that a cell with a third of all rows is a few rows when it is shuffled;
     no order of all rows is needed.  ``row_id`` identifies a row; rows without a hash are left out.
     """
-    rows = df.where(F.col(gh).isNotNull())
-    each = rows.select(F.col(row_id).alias("_id"), F.explode(_prefixes(F.col(gh), MAX_PRECISION)).alias("_prefix"))
+    each = df.select(F.col(row_id).alias("_id"), F.explode(_prefixes(F.col(gh), MAX_PRECISION)).alias("_prefix"))
     alone = each.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).where("_n = 1")
     shortest = alone.groupBy("_id").agg(F.min(F.length("_prefix")).alias("_length"))
-    joined = rows.join(shortest, rows[row_id] == shortest["_id"], "left")
-    return joined.select(*df.columns, *_finish(F.col(gh), F.coalesce("_length", F.lit(MAX_PRECISION + 1)), F.col(row_id)))
+    joined = df.join(shortest, df[row_id] == shortest["_id"], "left")
+    # A null hash gives a null key; testing the key keeps the hash from being computed for a filter below.
+    return joined.select(*df.columns, *_finish(F.col(gh), F.coalesce("_length", F.lit(MAX_PRECISION + 1)), F.col(row_id))).where("key is not null")
 
 
 def shortest_unique_keys_sorted(df: DataFrame, gh: str, row_id: str) -> DataFrame:
