@@ -5,10 +5,10 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .plans.build import build, build_bundle
+from .plans.build import build, build_bundle, build_sections, verify_sections
 from .plans.gazetteer import Gazetteer
 from .session import session
-from .sources.bundle import problems
+from .sources.bundle import composition, problems
 
 
 def main(args: list[str] | None = None) -> int:
@@ -24,6 +24,12 @@ def main(args: list[str] | None = None) -> int:
     p = commands.add_parser("bundle", help="a store to a single file")
     p.add_argument("store")
     p.add_argument("output")
+    p = commands.add_parser("columns", help="a store to six column files")
+    p.add_argument("store")
+    p.add_argument("folder")
+    p.add_argument("--verify", action="store_true", help="decode the files again and compare")
+    p = commands.add_parser("sizes", help="what a bundle's bytes hold")
+    p.add_argument("bundle")
     p = commands.add_parser("verify", help="check a bundle's structure")
     p.add_argument("bundle")
     p = commands.add_parser("lookup", help="a city by its key, or cities by a prefix")
@@ -34,6 +40,11 @@ def main(args: list[str] | None = None) -> int:
     p = commands.add_parser("stats")
     p.add_argument("store")
     a = parser.parse_args(args)
+    if a.command == "sizes":
+        with open(a.bundle, "rb") as f:
+            for part, n in composition(f.read()).items():
+                print(f"{part}: {n:,}")
+        return 0
     if a.command == "verify":
         with open(a.bundle, "rb") as f:
             found = problems(f.read())
@@ -43,6 +54,12 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "build":
         source = {"country": a.country, "geoname": a.geoname, "admin1": a.admin1}
         print(build(spark, source, a.store, a.vocab_size, not a.keep_cities_without_region))
+    elif a.command == "columns":
+        print(build_sections(spark, a.store, a.folder))
+        if a.verify:
+            found = verify_sections(spark, a.store, a.folder)
+            print(found)
+            return int(any(found.values()))
     elif a.command == "bundle":
         print(build_bundle(spark, a.store, a.output), "bytes")
     elif a.command == "stats":

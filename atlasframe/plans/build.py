@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.codec import length_prefixed, tokens_to_blob
 from ..functions.geo import geohash, valid_coordinate
-from ..operators import bpe, columns, keys, normalize
+from ..operators import bpe, columns, keys, normalize, verify
 from ..sources import bundle, store, tsv
 
 
@@ -70,8 +70,30 @@ def bundle_sections(cities: DataFrame, regions: DataFrame, countries: DataFrame,
     }
 
 
+def _stored(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], bpe.Vocabulary]:
+    tables = {t: store.load(spark, path, t) for t in ("cities", "regions", "countries", "vocabulary", "merges")}
+    return tables, bpe.load_vocabulary(tables["vocabulary"], tables["merges"])
+
+
+def build_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
+    """Write the six columns of the store at ``path`` as files; returns their sizes."""
+    tables, vocabulary = _stored(spark, path)
+    return bundle.write_sections(spark, folder, bundle_sections(tables["cities"], tables["regions"], tables["countries"], vocabulary))
+
+
+def verify_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
+    """How many rows of the column files differ from the store, are missing or too many, by column."""
+    tables, vocabulary = _stored(spark, path)
+    placed = columns.positions(tables["cities"], ["geohash"], F.left("geohash", F.lit(3)))
+    tokens = lambda name: tokens_to_blob(bpe.encode(vocabulary, F.col(name)))
+    want = {name: placed.select("pos", F.col(name).alias("value")) for name in ("geohash", "region_id", "country_id")}
+    want["city_tokens"] = placed.select("pos", tokens("city_name").alias("value"))
+    for table, name in (("regions", "region"), ("countries", "country")):
+        want[f"{name}_tokens"] = tables[table].select((F.col(f"{name}_id") - 1).alias("pos"), tokens(f"{name}_name").alias("value"))
+    return {name: sum(verify.mismatches(df, bundle.read_section(spark, folder, name), "pos", ["value"]).first()) for name, df in want.items()}
+
+
 def build_bundle(spark: SparkSession, path: str, out: str) -> int:
     """Write the store at ``path`` as the bundle ``out``; returns its size in bytes."""
-    tables = {t: store.load(spark, path, t) for t in ("cities", "regions", "countries", "vocabulary", "merges")}
-    vocabulary = bpe.load_vocabulary(tables["vocabulary"], tables["merges"])
+    tables, vocabulary = _stored(spark, path)
     return bundle.write_bundle(spark, out, tables["vocabulary"], bundle_sections(tables["cities"], tables["regions"], tables["countries"], vocabulary))

@@ -20,6 +20,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAGIC = b"CITYDB01"
 SECTIONS = ("geohash", "region_id", "country_id", "city_tokens", "region_tokens", "country_tokens")
 HEADER_BYTES = 32
+# The names of the section files, when the columns are kept as files of their own.
+FILES = {
+    "geohash": "cities_geohash.bin",
+    "region_id": "cities_region_id.bin",
+    "country_id": "cities_country_id.bin",
+    "city_tokens": "cities_name_tokens.bin",
+    "region_tokens": "regions_name_tokens.bin",
+    "country_tokens": "countries_name_tokens.bin",
+}
 
 SCHEMAS = {
     "header": "vocabulary long, cities long, regions long, countries long",
@@ -81,6 +90,16 @@ def _blobs(c: _Bytes) -> Iterator[bytes]:
 _DECODERS = dict(zip(SECTIONS, (_front_coded, _deltas, _deltas, _blobs, _blobs, _blobs), strict=True))
 
 
+def parse_section(name: str, data: bytes) -> list:
+    """The values of one section: a row count, then the rows."""
+    part = _Bytes(data, name)
+    values = _DECODERS[name](part)
+    out = [next(values) for _ in range(part.number("<I"))]
+    if part.at != len(data):
+        raise BundleError(f"{name}: {len(data) - part.at} bytes too many")
+    return out
+
+
 def parse(data: bytes) -> Bundle:
     """Decode a bundle; BundleError if a mark, count or size doesn't hold."""
     c = _Bytes(data, "bundle")
@@ -94,11 +113,7 @@ def parse(data: bytes) -> Bundle:
         token = c.number(">H")
         out.vocabulary.append((token, c.take(c.take(1)[0]).decode("utf-8")))
     for name in SECTIONS:
-        part = _Bytes(c.take(c.number("<I")), name)
-        rows = _DECODERS[name](part)
-        out.sections[name] = [next(rows) for _ in range(part.number("<I"))]
-        if part.at != len(part.data):
-            raise BundleError(f"{name}: {len(part.data) - part.at} bytes too many")
+        out.sections[name] = parse_section(name, c.take(c.number("<I")))
     out.left_over = len(data) - c.at
     for name, want in zip(SECTIONS, (counts[1],) * 4 + counts[2:], strict=True):
         if len(out.sections[name]) != want:
@@ -181,6 +196,57 @@ class _BundleReader(DataSourceReader):
             yield from rows(parse(f.read()), self.table)
 
 
+def _create(spark: SparkSession, path: str, overwrite: bool):
+    """A Hadoop output stream for ``path``, in any store that Spark writes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
+
+
+def _section_bytes(df: DataFrame, n: int) -> bytes:
+    return struct.pack("<I", n) + b"".join(bytes(r["data"]) for r in df.orderBy("pos").select("data").toLocalIterator())
+
+
+def write_sections(spark: SparkSession, folder: str, sections: dict[str, tuple[DataFrame, int]], overwrite: bool = True) -> dict[str, int]:
+    """Write each section as a file of its own; their sizes are returned."""
+    sizes = {}
+    for name, (df, n) in sections.items():
+        body = _section_bytes(df, n)
+        out = _create(spark, f"{folder}/{FILES[name]}", overwrite)
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()
+        sizes[name] = len(body)
+    return sizes
+
+
+def read_section(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """pos and value of the section file ``name`` in ``folder``."""
+    kind, arrow = {"geohash": ("string", pa.string()), "region_id": ("int", pa.int32()), "country_id": ("int", pa.int32())}.get(name, ("binary", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                values = parse_section(name, data)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int64()), pa.array(values, arrow)], ["pos", "value"])
+
+    return spark.read.format("binaryFile").load(f"{folder}/{FILES[name]}").select("content").mapInArrow(run, f"pos long, value {kind}")
+
+
+def composition(data: bytes) -> dict[str, int]:
+    """Bytes of a bundle's parts: header, vocabulary, and each section with its size field."""
+    b = parse(data)
+    c = _Bytes(data, "bundle")
+    c.take(HEADER_BYTES)
+    out = {"header": HEADER_BYTES, "vocabulary": sum(3 + len(t.encode("utf-8")) for _, t in b.vocabulary)}
+    c.take(out["vocabulary"])
+    for name in SECTIONS:
+        at = c.at
+        c.take(c.number("<I"))
+        out[name] = c.at - at
+    return out | {"total": len(data)}
+
+
 def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections: dict[str, tuple[DataFrame, int]], overwrite: bool = True) -> int:
     """Write a bundle; its size is returned.
 
@@ -188,8 +254,7 @@ def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections
     ``data`` (the encoded row) and its row count.  Rows stream through the driver in order.
     """
     counts = [vocabulary.count(), sections["geohash"][1], sections["region_tokens"][1], sections["country_tokens"][1]]
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
+    out = _create(spark, path, overwrite)
     total = 0
 
     def put(data: bytes) -> None:
@@ -203,8 +268,7 @@ def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections
             text = r["token"].encode("utf-8")
             put(struct.pack(">HB", r["token_id"], len(text)) + text)
         for name in SECTIONS:
-            df, n = sections[name]
-            body = struct.pack("<I", n) + b"".join(bytes(r["data"]) for r in df.orderBy("pos").select("data").toLocalIterator())
+            body = _section_bytes(*sections[name])
             put(struct.pack("<I", len(body)) + body)
     finally:
         out.close()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atlasframe import schema
 from atlasframe.__main__ import main
-from atlasframe.plans.build import build, build_bundle
+from atlasframe.plans.build import build, build_bundle, build_sections, verify_sections
 from atlasframe.plans.gazetteer import Gazetteer, NotLoaded
 from atlasframe.sources import bundle, sqlite, tsv
 from atlasframe.streaming import enrich
@@ -119,6 +119,21 @@ def test_bundle_round_trip(spark, built):
     assert bundle.header_counts(spark, path).first()["cities"] == 3
 
 
+def test_column_files(spark, built, tmp_path):
+    store = f"{built[0]}/store"
+    sizes = build_sections(spark, store, str(tmp_path))
+    assert set(verify_sections(spark, store, str(tmp_path)).values()) == {0}
+    data = open(f"{built[0]}/cities.bin", "rb").read()
+    parts = bundle.composition(data)
+    assert {n: parts[n] - 4 for n in bundle.SECTIONS} == sizes and sum(parts.values()) == 2 * len(data)
+    (tmp_path / f".{bundle.FILES['region_id']}.crc").unlink()  # the file system's own checksum
+    with open(tmp_path / bundle.FILES["region_id"], "r+b") as f:
+        f.seek(4)
+        f.write(b"\x09\x00")
+    found = verify_sections(spark, store, str(tmp_path))
+    assert found["region_id"] > 0 and found["geohash"] == 0
+
+
 def packed(vocabulary=(), keys=(), regions=(), countries=(), blobs=(), region_blobs=(), country_blobs=()):
     """A bundle by hand; keys as (sizes byte, suffix)."""
     out = b"CITYDB01" + struct.pack("<4I", len(vocabulary), len(keys), len(region_blobs), len(country_blobs)) + bytes(8)
