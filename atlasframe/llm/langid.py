@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: The fit's bounds: distinct texts a language (as expected), and letters of its sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 60_000
 #: Runs of letters that a worker remembers at most.
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(model.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [_predict(model.value, counts, t) for t in batch.column(at).to_pylist()]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)

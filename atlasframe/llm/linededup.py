@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -74,7 +74,7 @@ def windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
         import xxhash
 
         signed = lambda h: h - (1 << 64) if h >> 63 else h
-        for batch in batches:
+        for batch in slices(batches):
             rows, ends, columns = [], [0], [[], [], [], [], []]
             for row, text in enumerate(batch.column(2).to_pylist()):
                 for a, b, lines, at in line_windows(text or "", min_words):

@@ -26,6 +26,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 BLOCK = 192
 # Fixed values of the MPEG audio header: kbit/s by (version 1?, layer), samples a second by version.
 _KBPS = {
@@ -250,7 +252,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             payloads = [padded(t) for t in batch.column(1).to_pylist()]
             media = pa.array([encode(p) for _, p in payloads], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in payloads], pa.int64()), media], [id_col, "n_bytes", "media"])
@@ -269,7 +271,7 @@ def read(rows: DataFrame, media_col: str = "media") -> DataFrame:
     kinds = [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in batch.column(at).to_pylist():
                 s = probe(data)

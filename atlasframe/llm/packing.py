@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, salts_for, written
+from .common import ranked, salts_for, slices, written
 
 #: Entries that each of a worker's two caches holds at most.
 CACHE_ENTRIES = 300_000
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = chunks.ids(text or "") + b"\0\0\0\0"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import forget, written
+from .common import forget, slices, written
 
 #: Fingerprints, at most, that the shards' tree is fitted on.
 SAMPLE = 65_536
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
 
