@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasframe.llm import common, mixing, packing, sharding, simhash, topk
+from atlasframe.llm import common, mixing, neardup, packing, sharding, simhash, topk
 from atlasframe.llm.queries import tokenizer_path
 
 WEIRD = ["", None, "Hello,  World's end!", "ﬁ İstanbul ΣΑΣ", "á café", "<|endoftext|> x", "don't we'll", "\x1c\x85  ", "12 345", "word,' ''s", "日本語 テキスト", "x" * 300, "tab\tand\r\nlines", "é" * 80]
@@ -222,6 +222,39 @@ def test_near_duplicates(spark):
     assert kept == sorted(set(least.values()))
 
 
+def test_pipeline_near_dedup_by_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(1, 150))]
+        docs.append(base)
+        for _ in range(rng.randrange(4)):
+            near = base[:]
+            for _ in range(rng.randrange(1, 4)):
+                near[rng.randrange(len(near))] = "changed"
+            docs.append(near)
+    hot = [rng.choice(words) for _ in range(120)]
+    for i in range(40):  # a group whose members are linked by its middle only
+        docs.insert(0, [*hot[: 3 * i], f"x{i}", *hot[3 * i + 1 :]])
+    docs += [hot, ["Two", "words"], ["two", "words"], []]
+    rng.shuffle(docs)
+    shingles = [{tuple(x.lower() for x in d[i : i + 5]) for i in range(max(1, len(d) - 4))} if d else set() for d in docs]
+    parent = list(range(len(docs)))
+    find = lambda a: a if parent[a] == a else find(parent[a])
+    for a, b in combinations(range(len(docs)), 2):
+        if shingles[a] == shingles[b] or 10 * len(shingles[a] & shingles[b]) >= 8 * len(shingles[a] | shingles[b]):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted({find(i) for i in range(len(docs))})
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(3, " ".join(docs[3])), (None, " ".join(docs[7]))]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "")
+    got = [r["doc_id"] for r in out.collect()]
+    assert got.count(None) == 1 and sorted(i for i in got if i is not None) == want
+    assert len(want) < len(docs) - 60
+
+
 def test_tree_routes_every_link():
     rng = np.random.default_rng(2)
     points = np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64))
