@@ -181,6 +181,40 @@ def locate_points(spark, d):
     return keys.locate(points, "gh", cities(spark, d).where("c_custkey % 2 = 0").select("geohash"), "geohash").select("id", "geohash")
 
 
+@query(f"""WITH {_CITIES},
+probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe, c_custkey AS id FROM keyed)
+SELECT p.id, p.probe, c.city_name FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
+def batch_lookup_join_all(spark, d):
+    """``batch_lookup_join`` with every customer as a probe."""
+    probes = keyed(spark, d).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("gh")).otherwise(F.col("key")).alias("probe"))
+    found = gazetteer.Gazetteer.of(cities(spark, d).select("geohash", "city_name"), None, None, None).find_by_geohash_all(probes, "probe")
+    return found.select("id", "probe", "city_name")
+
+
+@query(f"""WITH {_CITIES},
+probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe FROM keyed)
+SELECT count(*) AS probes, count(c.geohash) AS hits FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
+def probe_hit_count_all(spark, d):
+    return batch_lookup_join_all(spark, d).agg(F.count(F.lit(1)).alias("probes"), F.count("city_name").alias("hits"))
+
+
+@query(f"""WITH {_CITIES}, probes AS (SELECT left(key, 2) AS probe FROM keyed UNION SELECT key FROM keyed UNION SELECT gh FROM keyed UNION SELECT 'zzzz')
+SELECT p.probe, c.geohash, c.city_name FROM probes p JOIN cities c ON starts_with(c.geohash, p.probe)""")
+def batch_prefix_join_all(spark, d):
+    """Of every customer the key, its first two characters and the whole hash, which mostly finds nothing."""
+    probes = keyed(spark, d).select(F.explode(F.array(F.left("key", F.lit(2)), "key", "gh")).alias("probe")).unionAll(spark.range(1).select(F.lit("zzzz").alias("probe"))).distinct()
+    return keys.prefix_join(probes, "probe", cities(spark, d), "geohash").select("probe", "geohash", "city_name")
+
+
+@query(f"""WITH {_CITIES}, points AS (SELECT c_custkey AS id, gh FROM hashed UNION ALL SELECT -1 - c_custkey, reverse(gh) FROM hashed)
+SELECT p.id, c.geohash FROM points p LEFT JOIN cities c ON starts_with(p.gh, c.geohash)""")
+def locate_points_all(spark, d):
+    """Every customer's own hash, and the hash reversed, which mostly lies in no city's cell, against all cities."""
+    at = hashed(spark, d)
+    points = at.select(F.col("c_custkey").alias("id"), "gh").unionAll(at.select(-1 - F.col("c_custkey"), F.reverse("gh")))
+    return keys.locate(points, "gh", cities(spark, d).select("geohash"), "geohash").select("id", "geohash")
+
+
 @query(f"""WITH {_CITIES} SELECT c.geohash, c.city_name || CASE WHEN r.r_name <> '' THEN ', ' || r.r_name ELSE '' END || coalesce(', ' || n.n_name, '') AS label
 FROM cities c LEFT JOIN nation n ON n.n_nationkey = c.country_id LEFT JOIN region r ON r.r_regionkey = n.n_regionkey""")
 def city_label(spark, d):

@@ -34,3 +34,13 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_customer_is_a_probe(spark, db):
+    n = db.sql("select count(*) from customer").fetchall()[0][0]
+    assert QUERIES["batch_lookup_join_all"](spark, SF).select("id").distinct().count() == n
+    assert QUERIES["probe_hit_count_all"](spark, SF).first()["probes"] == n
+    assert QUERIES["batch_prefix_join_all"](spark, SF).select("geohash").distinct().count() == n
+    found = QUERIES["locate_points_all"](spark, SF).collect()
+    assert len(found) == 2 * n and sum(r["geohash"] is not None for r in found) >= n
+    assert any(r["geohash"] is None for r in found)
