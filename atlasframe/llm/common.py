@@ -2,12 +2,13 @@
 
 Scratch tables: what an operator must read twice, or must cut from its lineage, is written as
 Parquet below the folder that the session names in ``spark.checkpoint.dir``, which every executor
-can reach.  The folder is set here only where the session has none (tests, a laptop).
+can reach.  A folder of this machine stands in only where the master is local (tests, a laptop).
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; an error on a cluster that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="atlasframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -75,6 +78,24 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def row_identity(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows apart by id and text; repeated rows have the same."""
+    text = F.coalesce(F.concat(F.lit("="), F.col(text_col)), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text)))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_identity`` is among ``keys`` (column key, no repeats), each once.
+
+    Texts are shuffled once: the window over repeated rows has the join's partitioning and order.
+    Column names that begin with ``_dedup_`` are its own.
+    """
+    marked = docs.withColumn("_dedup_key", row_identity(id_col, text_col))
+    met = marked.join(keys.select(F.col("key").alias("_dedup_key")).hint("merge"), "_dedup_key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_dedup_key").orderBy("_dedup_key"))
+    return met.withColumn("_dedup_nth", nth).where("_dedup_nth = 1").select(docs.columns)
+
+
 def salts_for(rows: int, per_part: int = 2_000, most: int = 4_096) -> int:
     """How many parts a group of at most ``rows`` rows is split into, so that a part stays small.
     ``most`` bounds the table of parts, not the rows: beyond it the parts grow."""
