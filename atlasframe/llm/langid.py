@@ -3,13 +3,16 @@
 For each labelled language a suffix automaton holds a bounded sample of its text.  A document is
 parsed greedily against each: a phrase is the longest match with the sample, the next one starts
 where it ended.  The language that needs the fewest phrases, each weighted by the bits that point
-into its sample, per letter wins.
+into its sample, wins; a letter that the sample lacks is a phrase and is spelled out besides.
 
-Texts are read whole, as runs of letters in lower case with a space on either side; phrases end with
-the run, so that a run's phrase counts are computed once and remembered.  Runs of over 64 letters
-are parsed in parts of 64.  A null text or one without a letter gives ``und`` with score 0, as do all
-texts if nothing was learned.  Equal counts go to the smaller label.  Repeated rows get equal results
-and an empty table an empty one.  Columns whose names clash with the added ones are replaced.
+Texts are parsed whole, as runs of letters in lower case with one space between; phrases run on over
+spaces and through runs of any length.  Samples are what is sent to workers, each of which builds the
+automata once.  The winner fits if its parse costs no more than a pointer for each letter: of a text
+that doesn't, in letters that no sample has, no learned language says anything.
+
+A null text or one without a letter gives ``und`` with score 0, as do all texts if nothing was learned,
+and doesn't fit.  Equal counts go to the smaller label.  Repeated rows get equal results and an empty
+table an empty one.  Columns whose names clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,116 +30,109 @@ from .common import slices
 
 #: The fit's bounds: distinct texts a language (as expected), and letters of its sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 200, 60_000
-#: Runs of letters that a worker remembers at most.
-CACHE_ENTRIES = 400_000
-_RUN, _PART = re.compile(r"[^\W\d_]+"), 64
+#: Bits of a code point.
+LETTER_BITS = 21
+_RUN = re.compile(r"[^\W\d_]+")
 
 
-def runs(text: str) -> list[str]:
-    found = _RUN.findall(text.lower())
-    if any(len(w) > _PART for w in found):
-        found = [w[i : i + _PART] for w in found for i in range(0, len(w), _PART)]
-    return found
+def spaced(text: str) -> str:
+    """The runs of letters of ``text``, in lower case, with a space before, between and after."""
+    return f" {' '.join(_RUN.findall(text.lower()))} "
 
 
 class SuffixAutomaton:
-    """All substrings of ``text``; transitions in one table, keyed by state and code point."""
+    """All substrings of ``text``.  A state is a dictionary from a letter to the next state."""
 
     def __init__(self, text: str):
-        self.next: dict[int, int] = {}
-        link, length, out, last = [-1], [0], [[]], 0
-        step = self.next
-        for c in map(ord, text):
-            cur = len(link)
+        states: list[dict[str, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in text:
+            cur = len(states)
+            states.append({})
             link.append(0)
             length.append(length[last] + 1)
-            out.append([])
             p = last
-            while p >= 0 and (p << 21 | c) not in step:
-                step[p << 21 | c] = cur
-                out[p].append(c)
+            while p >= 0 and c not in states[p]:
+                states[p][c] = cur
                 p = link[p]
             if p >= 0:
-                q = step[p << 21 | c]
+                q = states[p][c]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    clone = len(link)
+                    clone = len(states)
+                    states.append(states[q].copy())
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    out.append(out[q][:])
-                    for d in out[q]:
-                        step[clone << 21 | d] = step[q << 21 | d]
-                    while p >= 0 and step.get(p << 21 | c) == q:
-                        step[p << 21 | c] = clone
+                    while p >= 0 and states[p].get(c) == q:
+                        states[p][c] = clone
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
+        for state in states:
+            for c, to in state.items():
+                state[c] = states[to]
+        self.root = states[0]
         self.bits = math.log2(len(text) + 2)
 
-    def phrases(self, text: str) -> int:
-        """How many longest matches, one after another, make up ``text``; an unseen letter is one."""
-        n, state, get = 0, 0, self.next.get
-        for c in map(ord, text):
-            to = get(state << 21 | c)
-            if to is None:
-                n += state > 0
-                to = get(c)
-                if to is None:
-                    n += 1
-                    to = 0
-            state = to
-        return n + (state > 0)
+    def parse(self, text: str) -> tuple[int, int]:
+        """How many longest matches, one after another, make up ``text``, and how many letters of it are
+        unseen, each of which is a phrase of its own."""
+        state = root = self.root
+        n = unseen = 0
+        for c in text:
+            if c in state:
+                state = state[c]
+            elif c in root:
+                n += 1
+                state = root[c]
+            else:
+                n += state is not root
+                unseen += 1
+                state = root
+        return n + unseen + (state is not root), unseen
+
+    def cost(self, text: str) -> float:
+        """The bits of the parse: a pointer into the sample a phrase, and an unseen letter spelled out."""
+        phrases, unseen = self.parse(text)
+        return phrases * self.bits + unseen * LETTER_BITS
 
 
 class Languages:
-    """The learned automata, by label in order."""
+    """The learned samples, by label in order, and their automata, built where they are first used."""
 
     def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS):
-        self.labels, self.automata = [], []
-        for label in sorted(samples):
-            text = " ".join(w for t in samples[label] for w in runs(t))[:chars]
-            if text:
-                self.labels.append(label)
-                self.automata.append(SuffixAutomaton(f" {text} "))
+        cut = {label: " ".join(_RUN.findall(" ".join(samples[label]).lower()))[:chars] for label in sorted(samples)}
+        self.samples = {label: text for label, text in cut.items() if text}
+        self._automata: list[SuffixAutomaton] | None = None
 
     def __getstate__(self):
-        return self.labels, self.automata
-
-    def __setstate__(self, state):
-        self.labels, self.automata = state
-
-
-class _Counts(dict):
-    """Row of the table of phrase bits for each run of letters seen so far."""
-
-    def __init__(self, languages: Languages):
-        self.automata = languages.automata
-        self.table = np.zeros((1024, len(self.automata)))
-
-    def __missing__(self, run: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        padded = f" {run} "
-        self.table[at] = [a.phrases(padded) * a.bits for a in self.automata]
-        self[run] = at
-        return at
-
-
-def _predict(languages: Languages, counts: _Counts, text: str | None) -> tuple[str, float]:
-    found = runs(text) if text else []
-    if not languages.labels or not any(c.isalpha() for w in found for c in w):
-        return "und", 0.0
-    rows = np.fromiter(map(counts.__getitem__, found), dtype=np.int64, count=len(found))
-    bits = counts.table[rows].sum(axis=0)
-    if len(counts) > CACHE_ENTRIES:
-        counts.clear()
-    best = int(bits.argmin())
-    if len(bits) == 1:
-        return languages.labels[0], 1.0
-    second = np.partition(bits, 1)[1]
-    return languages.labels[best], float((second - bits[best]) / second)
+        return {"samples": self.samples, "_automata": None}
+
+    @property
+    def labels(self) -> list[str]:
+        return list(self.samples)
+
+    @property
+    def automata(self) -> list[SuffixAutomaton]:
+        if self._automata is None:
+            self._automata = [SuffixAutomaton(f" {text} ") for text in self.samples.values()]
+        return self._automata
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The label of the cheapest parse, its margin over the second, and whether it fits."""
+        parsed = spaced(text) if text else ""
+        if not self.samples or not any(map(str.isalpha, parsed)):
+            return "und", 0.0, False
+        bits = [a.cost(parsed) for a in self.automata]
+        best = min(bits)
+        at = bits.index(best)
+        label = self.labels[at]
+        fits = best <= len(parsed) * self.automata[at].bits
+        if len(bits) == 1:
+            return label, 1.0, fits
+        second = sorted(bits)[1]
+        return label, (second - best) / second, fits
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Languages:
@@ -160,17 +155,18 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
 
 
 def identify(docs: DataFrame, languages: Languages, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: the margin over the second language, 0 to 1."""
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """``docs`` with ``lang_pred``, ``score``, the margin over the second language (0 to 1), and ``fits``."""
+    names = ("lang_pred", "score", "fits")
+    kept = [f for f in docs.schema.fields if f.name not in names]
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*kept, *map(T.StructField, names, kinds)])
     model = docs.sparkSession.sparkContext.broadcast(languages)
     at = [f.name for f in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(model.value)
         for batch in slices(batches):
-            found = [_predict(model.value, counts, t) for t in batch.column(at).to_pylist()]
-            added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            found = [model.value.predict(t) for t in batch.column(at).to_pylist()]
+            added = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
     return docs.select([f.name for f in kept]).mapInArrow(run, schema)
