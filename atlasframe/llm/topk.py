@@ -1,18 +1,20 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are grouped into blocks; a block's index holds, for each dimension, the postings (row and
-value) in order of value.  A posting's impact for a query is the size of its contribution to the
+Vectors are dealt to blocks; a block's index, built once, holds for each dimension the postings (row
+and value) in order of value.  A posting's impact for a query is the size of its contribution to the
 score.  Postings are processed in rounds of falling impact: a round takes from both ends of every
 dimension the stretches whose impact reaches the round's level, and adds their contributions to the
-rows' scores; a dimension of which much is due is added whole, as a column.  What a row can still gain
-or lose is bounded by the sum of the dimensions' next impacts.  A query stops once the rows that these
-bounds leave possible are few, or all postings are done, and the possible rows are scored exactly.
-Nothing is dropped without that proof.
-
-Vectors that are null, or hold a null or non-finite component, and rows without an id take no part.
-Vectors are compared with those of the same length only.  Repeated rows are candidates each on its
-own; a query that is repeated is asked once.  Rows with the query's id are no candidates.  Equal
-scores go to the smaller id.  An empty table gives an empty result.  Other columns are ignored.
+rows' scores; a dimension of which much is due is added whole, as a column, for all queries of a chunk
+that ask so at once.  What a row can still gain or lose is bounded by the sum of the dimensions' next
+impacts.  A query stops once the rows that these bounds leave possible are few, or all postings are
+done, and the possible rows are scored exactly.  Nothing is dropped without that proof.
+
+Vectors that are null, or hold a null or non-finite component, and rows without an id take no part;
+nor do vectors whose squared length isn't below 2**63 after scaling, as scores that fit a long are
+only certain below that.  Vectors are compared with those of the same length only.  Repeated rows are
+candidates each on its own; a query that is repeated is asked once.  Rows with the query's id are no
+candidates.  Equal scores go to the smaller id.  An empty table gives an empty result.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of the index, and queries, at most, that meet it in one task.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
-#: Tasks that the pairs of blocks are meant to make at least, where the queries allow it.
-TASKS = 24
+#: Rows of a block of the index at most, and at least where there are fewer than TASKS blocks.
+BLOCK_ROWS, LEAST_ROWS, TASKS = 65_536, 16_384, 24
+#: Queries that a block processes at once.
+CHUNK = 64
 #: Levels of the rounds, as parts of the largest impact; the last round takes all that is left.
 LEVELS = (0.25, 0.06, 0.015)
 #: A dimension more than this part of whose postings a round takes is processed whole, as a column.
@@ -40,70 +42,88 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.largest, self.dims = int(np.abs(self.vectors).max(initial=0)), self.vectors.shape[1]
-        bits = self.largest * self.largest * max(1, self.dims)
-        self.exact = self.vectors.astype(np.float32 if bits < 2**24 else np.float64 if bits < 2**53 else np.int64)  # sums of products stay exact
-        self.kind = np.int32 if bits < 2**31 else np.int64
-        self.rows = [np.argsort(self.vectors[:, d], kind="stable") for d in range(self.dims)]
-        self.columns = np.ascontiguousarray(self.vectors.T).astype(self.kind)
-        self.values = [self.columns[d][r] for d, r in enumerate(self.rows)]
-
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the ``k`` best rows but those with id ``own``, best first."""
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        self.dims = self.vectors.shape[1]
+        self.peaks = np.abs(self.vectors).max(axis=0, initial=0)
+        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.columns = np.ascontiguousarray(self.vectors.T)
+        self.values = np.take_along_axis(self.columns, self.rows, axis=1)
+        self._kinds: dict[type, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _as(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and values as floats that stay exact, or as integers."""
+        if kind not in self._kinds:
+            self._kinds[kind] = (self.columns.astype(kind), self.values.astype(kind))
+        return self._kinds[kind]
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, positions and scores of the ``k`` best rows but those with its id, best first."""
+        out = []
+        for at in range(0, len(queries), CHUNK):
+            out += self._search(own[at : at + CHUNK], queries[at : at + CHUNK], k)
+        return out
+
+    def _search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        if np.abs(query).max(initial=0) > self.largest:  # beyond what the number kinds were chosen for
-            scores_of = lambda at: self.vectors[at] @ query
-        else:
-            scores_of = lambda at: (self.exact[at] @ query.astype(self.exact.dtype)).astype(np.int64)
-        mine = slice(*np.searchsorted(self.ids, [own, own + 1]))
-        want = min(n, k + mine.stop - mine.start)
-        possible = np.arange(n)
-        if n > 4 * want:
-            possible = self._possible(query, want)
-        scores = scores_of(possible)
-        keep = (possible < mine.start) | (possible >= mine.stop)
-        possible, scores = possible[keep], scores[keep]
-        if len(scores) > 4 * k:
-            top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            possible, scores = possible[top], scores[top]
-        best = np.lexsort((possible, -scores))[:k]
-        return possible[best], scores[best]
-
-    def _possible(self, query: np.ndarray, want: int) -> np.ndarray:
-        """Rows that may be among the ``want`` best: a proven superset."""
-        n = len(self.ids)
-        kind = self.kind if np.abs(query).max(initial=0) <= self.largest else np.int64
-        acc, found = np.zeros(n, dtype=kind), np.arange(n)
-        work = []  # of a dimension: itself, the query's part, and the stretch of postings not done yet
-        top = 0
-        for d in np.nonzero(query)[0]:
-            q, values = int(query[d]), self.values[d]
-            top = max(top, abs(q) * max(abs(int(values[0])), abs(int(values[-1]))))
-            work.append([d, q, 0, n])
+        begins, ends = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        want = np.minimum(n, k + ends - begins)
+        largest = int((np.abs(queries).astype(np.float64) @ self.peaks.astype(np.float64)).max(initial=0))
+        kind = np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else np.int64  # sums of products stay exact
+        possible = self._possible(queries, want, kind) if n > 4 * want.max() and kind is not np.int64 else [np.arange(n)] * len(queries)
+        out = []
+        for q, found, a, z in zip(queries, possible, begins, ends, strict=True):
+            found = found[(found < a) | (found >= z)]
+            scores = self.vectors[found] @ q
+            if len(scores) > 4 * k:
+                top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                found, scores = found[top], scores[top]
+            best = np.lexsort((found, -scores))[:k]
+            out.append((found[best], scores[best]))
+        return out
+
+    def _possible(self, queries: np.ndarray, want: np.ndarray, kind: type) -> list[np.ndarray]:
+        """For each query, rows that may be among its ``want`` best: a proven superset."""
+        n, (columns, values) = len(self.ids), self._as(kind)
+        exact = queries.astype(kind)
+        acc = np.zeros((len(queries), n), dtype=kind)
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        weights = np.abs(queries).astype(np.float64)
+        top = (weights * self.peaks).max(axis=1, initial=0.0)
+        begin, end = np.zeros(queries.shape, np.int64), np.where(queries != 0, n, 0)  # the stretch not done yet
+        live = np.arange(len(queries))
         for level in (*LEVELS, 0.0):
-            bound, rest = level * top, 0
-            for w in work:
-                d, q, begin, end = w
-                if begin == end:
+            edge = np.divide((level * top)[:, None], weights, out=np.full(weights.shape, np.inf), where=weights > 0)
+            whole = np.zeros(queries.shape, dtype=bool)
+            rest = np.zeros(len(queries))
+            for d in range(self.dims):
+                asks = live[begin[live, d] < end[live, d]]
+                if not len(asks):
                     continue
-                values, rows = self.values[d], self.rows[d]
-                edge = bound / abs(q)
-                a, b = (int(np.searchsorted(values, x, side)) for x, side in ((-edge, "right"), (edge, "left"))) if level else (end, end)
-                a, b = min(max(a, begin), end), max(min(b, end), begin)
-                b = max(a, b)
-                whole = a - begin + end - b > WHOLE * n
-                if whole:
-                    acc += self.columns[d] * kind(q)
-                    a = b = end
-                for part in (slice(0, begin), slice(w[3], n)) if whole else (slice(begin, a), slice(b, end)):
-                    if part.stop > part.start:  # of a column, what was done before comes off again
-                        acc[rows[part]] += values[part] * kind(-q if whole else q)
-                w[2], w[3] = a, b
-                if a < b:
-                    rest += abs(q) * max(abs(int(values[a])), abs(int(values[b - 1])))
-            found = np.nonzero(acc >= np.partition(acc, n - want)[n - want] - 2 * rest)[0]
-            if len(found) <= max(8 * want, n // STOP_PART):
+                if level:
+                    a = np.clip(np.searchsorted(self.values[d], -edge[asks, d], "right"), begin[asks, d], end[asks, d])
+                    b = np.maximum(a, np.clip(np.searchsorted(self.values[d], edge[asks, d], "left"), begin[asks, d], end[asks, d]))
+                    all_of = a - begin[asks, d] + end[asks, d] - b > WHOLE * n
+                else:
+                    a = b = end[asks, d]
+                    all_of = np.ones(len(asks), dtype=bool)
+                whole[asks, d] = all_of
+                for i, x, y, w in zip(asks.tolist(), a.tolist(), b.tolist(), all_of.tolist(), strict=True):
+                    old = (slice(0, begin[i, d]), slice(end[i, d], n)) if w else (slice(begin[i, d], x), slice(y, end[i, d]))
+                    for part in old:  # of a column, what was done before comes off again
+                        if part.stop > part.start:
+                            acc[i, self.rows[d, part]] += values[d, part] * (-exact[i, d] if w else exact[i, d])
+                begin[asks, d], end[asks, d] = np.where(all_of, n, a), np.where(all_of, n, b)
+                left = asks[begin[asks, d] < end[asks, d]]
+                if len(left):
+                    rest[left] += weights[left, d] * np.maximum(np.abs(self.values[d, begin[left, d]]), np.abs(self.values[d, end[left, d] - 1]))
+            acc[live] += np.where(whole[live], exact[live], 0) @ columns
+            going = []
+            for i in live.tolist():
+                found[i] = np.nonzero(acc[i] >= np.partition(acc[i], n - want[i])[n - want[i]] - 2 * rest[i])[0]
+                if len(found[i]) > max(8 * want[i], n // STOP_PART):
+                    going.append(i)
+            live = np.array(going, dtype=np.int64)
+            if not len(live):
                 break
         return found
 
@@ -115,25 +135,24 @@ def _impacts(of: Column, scale: int) -> Column:
 def impact_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """id and ``v``, the quantised impacts, of the rows that take part."""
     bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), _impacts(F.col(vec_col), scale).alias("v"))
+    squares = F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, x: acc + F.pow(F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"), F.lit(2.0)))
+    good = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False))
+    return rows.where(good).where(squares < 2.0**63).select(F.col(id_col).cast("long").alias("id"), _impacts(F.col(vec_col), scale).alias("v"))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``k`` best rows.
 
-    ``index`` and ``queries`` have columns id and v.  Every pair of a block of rows and a block of
-    queries is one task's; each query keeps ``k`` rows a block, which are merged at the end.
+    ``index`` and ``queries`` have columns id and v.  A row goes to one block, whose index one task
+    builds once; queries are copied to every block, and what a block finds for a query, ``k`` rows at
+    most, is merged at the end.
     """
-    rows, asked = index.count(), queries.distinct().count()
-    blocks = max(1, -(-rows // block_rows))
-    parts = max(1, -(-asked // BLOCK_QUERIES), min(-(-TASKS // blocks), -(-asked // 32)))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
+    rows = index.count()
+    blocks = max(1, -(-rows // block_rows), min(TASKS, -(-rows // LEAST_ROWS)))
     kinds = [F.size("v").alias("dims"), F.xxhash64("v").alias("key")]
-    data = index.select("id", "v", *kinds, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), every(parts).alias("part"), F.lit(False).alias("asks"))
-    asks = queries.distinct().select("id", "v", *kinds, every(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part"), F.lit(True).alias("asks"))
+    data = index.select("id", "v", *kinds, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asks = queries.distinct().select("id", "v", *kinds, every.alias("block"), F.lit(True).alias("asks"))
     names = ["query_id", "key", "vec_id", "score"]
 
     def search(group: pa.Table) -> pa.Table:
@@ -141,14 +160,13 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = B
         flat = group["v"].combine_chunks()
         vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        if not asks.all():
+        if not asks.all() and asks.any():
             found = ImpactIndex(ids[~asks], vectors[~asks])
-            for q in np.nonzero(asks)[0]:
-                at, scores = found.search(int(ids[q]), vectors[q], k)
-                for column, x in zip(out, (np.full(len(at), ids[q]), np.full(len(at), keys[q]), found.ids[at], scores), strict=True):
+            for own, key, (at, scores) in zip(ids[asks], keys[asks], found.search(ids[asks], vectors[asks], k), strict=True):
+                for column, x in zip(out, (np.full(len(at), own), np.full(len(at), key), found.ids[at], scores), strict=True):
                     column.append(x)
         return pa.table({n: np.concatenate([np.zeros(0, np.int64), *c]) for n, c in zip(names, out, strict=True)})
 
-    met = data.unionByName(asks).groupBy("dims", "block", "part").applyInArrow(search, ", ".join(f"{n} long" for n in names))
+    met = data.unionByName(asks).groupBy("dims", "block").applyInArrow(search, ", ".join(f"{n} long" for n in names))
     best = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
