@@ -2,8 +2,9 @@
 
 ``probe`` walks a stream frame by frame: it reads ID3v2 tags, finds the first header that a second
 one confirms, follows the frame lengths, resynchronises where they lead nowhere, reads a Xing, Info or
-VBRI table, recomputes the 16-bit checksum of protected Layer III frames, and stops at ID3v1 or APE
-tags.  Durations are exact (samples over rate) and every frame's byte offset is kept for seeking.
+VBRI table, recomputes the 16-bit checksum of protected frames (over the header's second half and what
+its layer protects: Layer I's bit allocation, Layer II's with the scale factor selection, Layer III's
+side information), and stops at ID3v1 or APE tags.  Durations are exact (samples over rate) and every frame's byte offset is kept for seeking.
 
 ``store`` puts a text's UTF-8 bytes, filled up with spaces to a multiple of 192, into the main data of
 protected MPEG-1 Layer III mono frames: an ID3v2 tag with the payload's length, a frame with a Xing
@@ -11,8 +12,10 @@ table, 320 kbit/s frames, and a last one of the smallest rate that holds the res
 payload back from the stream alone.
 
 Null texts count as empty and give one block of spaces.  A null or unreadable stream has no frames,
-``ok`` false and a null payload.  Free-format frames aren't followed.  Repeated rows get equal results
-and an empty table an empty one.  Columns other than the named ones are ignored.
+``ok`` false and a null payload.  Free-format frames aren't followed.  A table that is cut off, or whose
+entries are no numbers of 1 to 4 bytes, gives no seek table, and its frame counts as a table all the
+same.  Repeated rows get equal results and an empty table an empty one.  ``store`` ignores columns other
+than the named ones; ``read`` keeps those of its input but replaces any that have a name of its own.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -38,6 +42,14 @@ _KBPS = {
     (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+# Fixed values of Layer II: bits of a subband's allocation, as (bits, subbands) in order, by table.
+_ALLOCATED = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low rates": ((4, 4), (3, 7), (2, 19)),
+}
 _RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
 _VERSIONS = {0: "2.5", 2: "2", 3: "1"}
 
@@ -52,6 +64,21 @@ class Header:
     mono: bool
     length: int
     samples: int
+    joint: int | None = None
+
+    @property
+    def allocated(self) -> list[int]:
+        """Bits of each subband's allocation in a channel, of a Layer I or II frame."""
+        if self.layer == 1:
+            return [4] * 32
+        each = self.kbps if self.mono else self.kbps // 2
+        if self.version != "1":
+            table = "low rates"
+        elif each <= 48:
+            table = "d" if self.rate == 32000 else "c"
+        else:
+            table = "a" if each <= 80 or self.rate == 48000 else "b"
+        return [bits for bits, n in _ALLOCATED[table] for _ in range(n)]
 
     @property
     def side(self) -> int:
@@ -73,20 +100,54 @@ def header(four: bytes) -> Header | None:
     kbps, hertz, padding = _KBPS[version == "1", layer][bits], _RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != "1" else 1152
     length = (12000 * kbps // hertz + padding) * 4 if layer == 1 else samples * 125 * kbps // hertz + padding
-    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, length, samples)
+    return Header(version, layer, not four[1] & 1, kbps, hertz, four[3] >> 6 == 3, length, samples, four[3] >> 4 & 3 if four[3] >> 6 == 1 else None)
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The checksum of protected frames: polynomial 0x8005 from 0xFFFF."""
-    crc = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of protected frames, of the first ``bits`` bits: polynomial 0x8005 from 0xFFFF."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
         crc ^= byte << 8
-        for _ in range(8):
+        for _ in range(min(8, left)):
             crc = (crc << 1 ^ (0x8005 if crc & 0x8000 else 0)) & 0xFFFF
+        left -= min(8, left)
+        if not left:
+            break
     return crc
 
 
+def _bits(data: bytes, at: int, n: int) -> int:
+    end = at + n
+    return int.from_bytes(data[at // 8 : -(-end // 8)], "big") >> -end % 8 & (1 << n) - 1
+
+
+def protected_bits(body: bytes, h: Header) -> int:
+    """How many bits after the checksum it protects."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    shared = 32 if h.joint is None else 4 * (h.joint + 1)  # from this subband on, channels share an allocation
+    at, selections = 0, 0
+    for band, width in enumerate(h.allocated):
+        told = [_bits(body, at + k * width, width) for k in range(channels if band < shared else 1)]
+        at += len(told) * width
+        selections += sum(map(bool, told)) if len(told) == channels else channels * bool(told[0])
+    return at + 2 * selections * (h.layer == 2)
+
+
+def checksum_holds(data: bytes, at: int, h: Header) -> bool:
+    """Whether the protected frame at ``at`` has the checksum of its protected bits."""
+    body = data[at + 6 : at + (6 + h.side if h.layer == 3 else h.length)]
+    bits = protected_bits(body, h)
+    if bits > 8 * len(body):
+        return False
+    kept = bytearray(data[at + 2 : at + 4] + body[: -(-bits // 8)])
+    if bits % 8:
+        kept[-1] &= 0xFF << 8 - bits % 8 & 0xFF
+    return crc16(bytes(kept), 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 @dataclass
 class Stream:
     """What a walk over a stream found."""
@@ -150,13 +211,15 @@ def _table(data: bytes, at: int, h: Header, found: Stream) -> bool:
             if flags & 1:
                 found.table_frames, pos = int.from_bytes(data[pos : pos + 4], "big"), pos + 4
             pos += 4 * bool(flags & 2)
-            if flags & 4:
+            if flags & 4 and pos + 100 <= len(data):
                 found.toc = list(data[pos : pos + 100])
             return True
     if data[at + 36 : at + 40] == b"VBRI":
-        found.table, found.table_frames = "VBRI", int.from_bytes(data[at + 50 : at + 54], "big")
-        entries, scale, width = struct.unpack(">HHH", data[at + 54 : at + 60])
-        found.toc = [scale * int.from_bytes(data[p : p + width], "big") for p in range(at + 62, min(at + 62 + entries * width, len(data)), max(1, width))]
+        found.table = "VBRI"
+        if at + 62 <= len(data):
+            found.table_frames, entries, scale, width = struct.unpack(">IHHH", data[at + 50 : at + 60])
+            if 1 <= width <= 4 and at + 62 + entries * width <= len(data):
+                found.toc = [scale * int.from_bytes(data[p : p + width], "big") for p in range(at + 62, at + 62 + entries * width, width)]
         return True
     return False
 
@@ -177,9 +240,9 @@ def probe(data: bytes | None) -> Stream:
                 break
             at = to
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             found.checked += 1
-            found.failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            found.failed += not checksum_holds(data, at, h)
         if found.headers or found.table or not _table(data, at, h, found):
             found.offsets.append(at)
             found.headers.append(h)
@@ -260,25 +323,26 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-_PROBED = "ok boolean, version string, layer int, rate int, channels int, frames long, samples long, seconds_num long, seconds_den long, kbps_mean double, vbr string, vbr_frames long, toc array<int>, checked long, failed long, skipped long, offsets array<long>, tags map<string,string>, payload binary"
+_PROBED = "ok boolean, version string, layer int, rate int, channels int, frames long, samples long, seconds_num long, seconds_den long, kbps_mean double, vbr string, vbr_frames long, toc array<long>, checked long, failed long, skipped long, offsets array<long>, tags map<string,string>, payload binary"
 
 
 def read(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """``rows`` with what their streams hold: see the fields of ``_PROBED``; ``offsets`` are the frames'."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    at = rows.columns.index(media_col)
     names = [f.split()[0] for f in _PROBED.split(", ")]
-    kinds = [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.binary()]
+    kept = [f for f in rows.schema.fields if f.name not in names]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + _PROBED
+    held = [f.name for f in kept]
+    kinds = [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for data in batch.column(at).to_pylist():
+            for data in batch.column(len(held)).to_pylist():
                 s = probe(data)
                 h, d = s.first, s.duration
                 kbps = float(sum(8 * x.length for x in s.headers) / d / 1000) if d else None
                 out.append((h is not None, h and h.version, h and h.layer, h and h.rate, h and 2 - h.mono, len(s.offsets), s.samples, d.numerator, d.denominator, kbps, s.table, s.table_frames, s.toc, s.checked, s.failed, s.skipped, s.offsets, list(s.tags.items()), decode(data, s)))
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*held, *names])
 
-    return rows.mapInArrow(run, f"{schema}, {_PROBED}")
+    return rows.select(*held, F.col(media_col).alias("_media")).mapInArrow(run, schema)
