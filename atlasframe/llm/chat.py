@@ -9,7 +9,9 @@ more if they have some), which reading takes off again, so every string comes ba
 Null roles and texts count as empty.  A record whose fingerprint no mapping has keeps its row, with a
 null layout and no turns; so does a null record.  Turns with equal places are ordered by role and
 text; repeated rows are turns of their own.  A null conversation id is a conversation.  An empty table
-gives an empty result.  Only built-in functions are used.
+gives an empty result.  Columns that functions add (``layout`` and ``turns``; ``formatted`` and
+``loss_spans``) replace input columns of these names; names that begin with ``_chat_`` are the
+operator's own.  Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -89,13 +91,13 @@ def _mapped(record: Column, mapping: dict) -> Column:
 def canonical_turns(df: DataFrame, record: str, mappings: tuple = MAPPINGS) -> DataFrame:
     """``df`` with ``layout``, the name of the mapping that ``record`` (a variant) selects, and
     ``turns``, its role and text pairs."""
-    marked = df.withColumn("_fp", fingerprint(F.col(record)))
+    marked = df.withColumn("_chat_fp", fingerprint(F.col(record)))
     layout, turns = F.lit(None).cast("string"), F.array().cast(_TURNS)
     for mapping in reversed(mappings):
-        hit = F.col("_fp").isin(*[F.xxhash64(F.lit(s)) for s in _shapes(mapping)])
+        hit = F.col("_chat_fp").isin(*[F.xxhash64(F.lit(s)) for s in _shapes(mapping)])
         layout = F.when(hit, F.lit(mapping["name"])).otherwise(layout)
         turns = F.when(hit, _mapped(F.col(record), mapping)).otherwise(turns)
-    return marked.withColumns({"layout": layout, "turns": turns}).drop("_fp")
+    return marked.withColumns({"layout": layout, "turns": turns}).drop("_chat_fp")
 
 
 def escape(text: Column) -> Column:
@@ -131,9 +133,9 @@ def format_turns(df: DataFrame) -> DataFrame:
         return F.struct((at + length + F.char_length(p["end"])).alias("at"), spans.alias("spans"))
 
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    pieced = df.withColumn("_pieces", F.transform("turns", piece))
-    formatted = F.array_join(F.transform("_pieces", lambda p: F.concat(p["begin"], p["text"], p["end"])), "")
-    return pieced.withColumns({"formatted": formatted, "loss_spans": F.aggregate("_pieces", nothing, add, lambda acc: acc["spans"])}).drop("_pieces")
+    pieced = df.withColumn("_chat_pieces", F.transform("turns", piece))
+    formatted = F.array_join(F.transform("_chat_pieces", lambda p: F.concat(p["begin"], p["text"], p["end"])), "")
+    return pieced.withColumns({"formatted": formatted, "loss_spans": F.aggregate("_chat_pieces", nothing, add, lambda acc: acc["spans"])}).drop("_chat_pieces")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -150,8 +152,48 @@ def read_turns(formatted: Column) -> Column:
 
 
 def conversations_as_records(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One record (a variant of the layout ``turns``) for each conversation of a table of turns."""
+    """One record (a variant) for each conversation of a table of turns, in any of the seven layouts.
+
+    Conversations are dealt by a hash of their id among the layouts that hold their roles without
+    loss, so that the fingerprint has to tell them apart: any roles as ``turns`` or ``messages``, those
+    of user, assistant and system as ``conversations`` too (under its own names), and an exchange of a
+    user's and an assistant's turn, with or without a system's before, as one of the flat layouts too.
+    """
     turn = F.struct(F.col(turn_col).alias("at"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    grouped = rows.groupBy(conv_col).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
-    plain = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return grouped.select(conv_col, F.to_variant_object(F.struct(plain.alias("turns"))).alias("record"))
+    grouped = rows.groupBy(conv_col).agg(F.array_sort(F.collect_list(turn)).alias("_chat_turns"))
+    turns, roles = F.col("_chat_turns"), F.transform("_chat_turns", lambda t: t["role"])
+
+    def each(role: str, text: str, named: dict[str, str]) -> Column:
+        def one(t: Column) -> Column:
+            name = t["role"]
+            for new, old in named.items():
+                name = F.when(t["role"] == new, F.lit(old)).otherwise(name)
+            return F.struct(name.alias(role), t["text"].alias(text))
+
+        return F.transform(turns, one)
+
+    def flat(*fields: str) -> Column:
+        return F.struct(*[F.get(turns, F.lit(k))["text"].alias(f) for k, f in enumerate(fields)])
+
+    known = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))
+    pair, triple = (roles == F.array(*map(F.lit, x)) for x in (("user", "assistant"), ("system", "user", "assistant")))
+    some = F.size(turns) > 0
+    choices = [
+        (some, F.struct(each("role", "text", {}).alias("turns"))),
+        (some, F.struct(each("role", "content", {}).alias("messages"))),
+        (some & known, F.struct(each("from", "value", {"user": "human", "assistant": "gpt"}).alias("conversations"))),
+        (pair, flat("prompt", "completion")),
+        (pair, flat("prompt", "response")),
+        (pair, flat("instruction", "output")),
+        (pair, flat("question", "answer")),
+        (triple, flat("system", "prompt", "completion")),
+        (triple, flat("system", "prompt", "response")),
+        (triple, flat("system", "instruction", "output")),
+        (triple, flat("context", "question", "answer")),
+    ]
+    open_to = F.array_compact(F.array(*[F.when(when, F.lit(k)) for k, (when, _) in enumerate(choices)]))
+    dealt = grouped.withColumn("_chat_open", open_to).withColumn("_chat_kind", F.get("_chat_open", F.pmod(F.xxhash64(conv_col), F.size("_chat_open")).cast("int")))
+    record = F.to_variant_object(choices[0][1])
+    for k, (_, fields) in enumerate(choices[1:], 1):
+        record = F.when(F.col("_chat_kind") == k, F.to_variant_object(fields)).otherwise(record)
+    return dealt.select(conv_col, record.alias("record"))
