@@ -31,7 +31,7 @@ def words_of(text_col: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """``sizes`` (_mix_source, _mix_total) with _mix_rank and _mix_target.
+    """``sizes`` (_mix_group, _mix_source, _mix_total) with _mix_rank and _mix_target.
 
     Water filling in closed form: in the order of cap over weight, a source is capped if its cap is
     below its weight's part of what the ones before it leave.  One row per source goes to one task.
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     df = df.withColumn("_mix_level", left / weights_left)
     open_level = F.max(F.when(F.col("_mix_ratio") > F.col("_mix_level"), F.col("_mix_level"))).over(whole)
     target = F.when(F.col("_mix_ratio") <= F.col("_mix_level"), F.col("_mix_cap")).otherwise(F.col("_mix_weight") * open_level)
-    return df.withColumn("_mix_target", target).select("_mix_source", "_mix_total", "_mix_rank", "_mix_target")
+    return df.withColumn("_mix_target", target).select("_mix_group", "_mix_source", "_mix_total", "_mix_rank", "_mix_target")
 
 
 def _position(part: Column, rank: Column, schedules: tuple) -> Column:
@@ -73,25 +73,27 @@ def _position(part: Column, rank: Column, schedules: tuple) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, repeats: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
     """``docs`` with _mix_size, _mix_total and _mix_target (of the source), _mix_times (passes taken)
     and _mix_positions (ascending, one for each pass).
 
     A source's order is by MD5 of the id.  Its first three digits cut every source, a hot one too,
     into 4096 parts; running counts come from the parts' sums (one small row each) and a window
-    within the part.
+    within the part, which has the partitioning of the join with these sums: ``docs`` is shuffled once.
+    ``size_col`` names a column that holds the sizes, if they were counted before.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = docs.withColumns({"_mix_size": words_of(text_col), "_mix_key": key, "_mix_part": F.substring(key, 1, 3), "_mix_source": F.col(source_col)})
-    parts = sized.groupBy("_mix_source", "_mix_part").agg(F.sum("_mix_size").alias("_mix_n"))
-    targets = source_targets(parts.groupBy("_mix_source").agg(F.sum("_mix_n").alias("_mix_total")), weights, share, repeats)
-    before = Window.partitionBy("_mix_source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("_mix_start", F.coalesce(F.sum("_mix_n").over(before), F.lit(0))).drop("_mix_n")
-    t = targets.select(F.col("_mix_source").alias("_mix_s"), "_mix_total", "_mix_rank", "_mix_target")
-    starts = starts.join(t, F.col("_mix_source").eqNullSafe(F.col("_mix_s"))).select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_part").alias("_mix_p"), "_mix_start", "_mix_total", "_mix_rank", "_mix_target")
-    within = Window.partitionBy("_mix_source", "_mix_part").orderBy("_mix_key", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col(size_col) if size_col else words_of(text_col)
+    group = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))  # never null: joins and windows share it
+    sized = docs.withColumns({"_mix_size": size, "_mix_key": key, "_mix_part": F.substring(key, 1, 3), "_mix_group": group, "_mix_source": F.col(source_col)})
+    parts = sized.groupBy("_mix_group", "_mix_part").agg(F.sum("_mix_size").alias("_mix_n"), F.first("_mix_source").alias("_mix_source"))
+    targets = source_targets(parts.groupBy("_mix_group").agg(F.sum("_mix_n").alias("_mix_total"), F.first("_mix_source").alias("_mix_source")), weights, share, repeats)
+    before = Window.partitionBy("_mix_group").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_mix_start", F.coalesce(F.sum("_mix_n").over(before), F.lit(0))).drop("_mix_n", "_mix_source")
+    starts = starts.join(targets.drop("_mix_source"), "_mix_group")
+    within = Window.partitionBy("_mix_group", "_mix_part").orderBy("_mix_key", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_mix_within", F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
-    joined = placed.join(starts, F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_part") == F.col("_mix_p")))
+    joined = placed.join(starts, ["_mix_group", "_mix_part"])
     middle = F.col("_mix_start") + F.col("_mix_within") + F.col("_mix_size") / F.lit(2.0)
     passes = F.floor((F.col("_mix_target") - middle) / F.col("_mix_total")) + 1
     times = F.when(F.col("_mix_size") > 0, F.greatest(F.lit(0), F.least(F.lit(repeats), passes))).otherwise(0).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, licenses, linededup, media, mixing, packing, sharding, simhash, topk
+from .common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +89,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and when at first (in billionths of the training time)."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sizes = written(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_of().alias("size")))  # texts are read once
+    mixed = mixing.mix(sizes, size_col="size")
     taken = (F.col("_mix_size") * F.col("_mix_times")).alias("taken")
     rows = mixed.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), taken, F.round(F.get("_mix_positions", F.lit(0)) * 1e9).cast("long").alias("first_position"))
     return rows.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
