@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import forget, slices, written
+from . import neardup
+from .common import keep_rows, row_identity, slices, written
+from .graph import Forest, components
 
-#: Fingerprints, at most, that the shards' tree is fitted on.
-SAMPLE = 65_536
-#: Distinct fingerprints that a shard is meant to hold.
-SHARD_POINTS = 4_096
+#: Fingerprints for each shard that the shards' tree is fitted on.
+SAMPLE = 16
+#: Distinct fingerprints, at most, that a shard is meant to hold: 8 MB of them.  Fewer and larger shards
+#: mean fewer visits, so memory alone bounds them, but work is dealt to SPREAD shards if they get LEAST each.
+SHARD_POINTS, SPREAD, LEAST = 1 << 20, 24, 4_096
 _BLOCK = 512
 _SLICE = 65_536
 
@@ -67,8 +69,8 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius that halve ``points`` with few of them near the border."""
+def _split(points: np.ndarray, reach: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and radius that halve ``points`` with few of them within ``reach`` of the border."""
     best = None
     for vantage in points[:: max(1, len(points) // 8)][:8]:
         d = np.sort(np.bitwise_count(points ^ vantage))
@@ -78,20 +80,20 @@ def _split(points: np.ndarray) -> tuple[np.uint64, int] | None:
             radius -= 1
             inner = int(np.searchsorted(d, radius, side="right"))
         if 0 < inner < len(d):
-            cost = max(inner, len(d) - inner) + int(((d > radius) & (d <= radius + 2)).sum())
+            cost = max(inner, len(d) - inner) + int(((d > radius) & (d <= radius + reach)).sum())
             if best is None or cost < best[0]:
                 best = (cost, vantage, radius)
     return best and (best[1], best[2])
 
 
-def fit_tree(sample: np.ndarray, shards: int) -> list:
+def fit_tree(sample: np.ndarray, shards: int, reach: int = 2) -> list:
     """Nodes [vantage, radius, inner, outer]; a child of -1 - s is shard s."""
     nodes: list = []
     leaves = 0
 
     def grow(points: np.ndarray, parts: int) -> int:
         nonlocal leaves
-        found = _split(points) if parts > 1 and len(points) >= 8 else None
+        found = _split(points, reach) if parts > 1 and len(points) >= 8 else None
         if found is None:
             leaves += 1
             return -leaves
@@ -129,36 +131,15 @@ def _routes(tree: list, points: np.ndarray, radius: int) -> Iterator[tuple[int,
             stack += [(inner, idx[d <= mu + radius], False), (outer, idx[d > mu - radius], False)]
 
 
-class _Forest:
-    """Union of array pairs: labels sink to the smallest index."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            differ = x != y
-            if not differ.any():
-                return
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = self.label[self.label]
-                if (up == self.label).all():
-                    break
-                self.label = up
-
-
 def _link_within(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (two index arrays) of the links that touch a home point."""
-    forest = _Forest(len(points))
+    forest = Forest(len(points))
     stack = [(np.nonzero(home)[0], np.arange(len(points)))]
     while stack:
         own, others = stack.pop()
         if not len(own) or not len(others):
             continue
-        found = _split(points[own]) if len(own) > _BLOCK else None
+        found = _split(points[own], radius) if len(own) > _BLOCK else None
         if found is None:
             for at in range(0, len(own), _BLOCK):
                 block = own[at : at + _BLOCK]
@@ -173,21 +154,24 @@ def _link_within(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.
     return forest.label[node], node
 
 
-def links(distinct: DataFrame, radius: int = 2, shard_points: int = SHARD_POINTS, sample: int = SAMPLE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, shard_points: int = SHARD_POINTS, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) between distinct fingerprints at most ``radius`` apart: a spanning forest of each
     shard's, so that the components are those of all links.  ``distinct``: column ``fp``, no repeats."""
     n = distinct.count()
-    shards = max(1, -(-n // shard_points))
-    drawn = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, 16 * shards))
+    shards = max(1, -(-n // shard_points), min(SPREAD, -(-n // least)))
+    drawn = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample * shards)
     points = np.array([r["fp"] for r in drawn.collect()], dtype=np.int64).view(np.uint64)
-    tree = fit_tree(points, shards)
+    tree = fit_tree(points, shards, radius)
     routed = "shard int, fp long, home boolean"
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for shard, idx, home in _routes(tree, fps, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), shard, np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(np.full(len(idx), home))], ["shard", "fp", "home"])
+            routes = list(_routes(tree, fps, radius))
+            if routes:
+                long = [len(idx) for _, idx, _ in routes]
+                shard, home = (np.repeat(np.array([r[k] for r in routes], kind), long) for k, kind in ((0, np.int32), (2, bool)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[np.concatenate([idx for _, idx, _ in routes])].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
 
     def join(group: pa.Table) -> pa.Table:
         fps, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy(zero_copy_only=False)
@@ -197,44 +181,11 @@ def links(distinct: DataFrame, radius: int = 2, shard_points: int = SHARD_POINTS
     return distinct.select("fp").mapInArrow(route, routed).groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node that is reachable.
-
-    Alternating large and small stars: each round's edges go to the shared folder, none to the
-    driver but their count and a checksum, which tell when they no longer change.
-    """
-
-    def stars(e: DataFrame, both: bool) -> DataFrame:
-        pairs = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        if both:
-            pairs = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = pairs.join(least, "u")
-        if both:
-            out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        return out.where("a != b").distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(now)
-    while seen[0]:
-        new = written(stars(stars(now, True), False))
-        forget(now)
-        now, last, seen = new, seen, mark(new)
-        if seen == last:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
-
-
-def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", shard_points: int = SHARD_POINTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", shard_points: int = SHARD_POINTS, least: int = LEAST) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (smallest id linked directly or over others)."""
     marked = written(fingerprints(docs, words_per_shingle, id_col, text_col))
     nodes = written(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(links(nodes, radius, shard_points))
+    roots = components(links(nodes, radius, shard_points, least))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     by_fp = rooted.join(of, rooted.root == of.r).select("fp", "component_id")
@@ -242,9 +193,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3
 
 
 def keep_one(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group; of repeated rows of an id one stays.
-    Rows without an id can't be told apart by it and all stay."""
-    kept = near_duplicates(docs, radius, words_per_shingle, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(id_col)
-    chosen = docs.join(kept.hint("merge"), id_col, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document (the smallest id; rows without one come last) of each group; of repeated
+    rows (same id and text) one stays."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), row_identity(id_col, text_col).alias("key")).alias("row"), F.col(text_col).alias("text"))
+    rows = written(fingerprints(keyed, words_per_shingle, "row", "text"))
+    nodes = written(rows.groupBy("fp").agg(F.min("row").alias("first")))
+    rooted = nodes.join(components(links(nodes, radius)).withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return keep_rows(docs, rooted.groupBy("root").agg(F.min("first").alias("f")).select("f.key"), id_col, text_col)
+
+
+def keep_similar(docs: DataFrame, percent: int = 80, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document (the smallest id) of each group linked by a Jaccard similarity of their
+    shingle sets of ``percent`` or more, which no radius that trees can prune finds: see ``neardup``."""
+    return neardup.keep_one(docs, percent, words_per_shingle, id_col, text_col)
