@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasframe.llm import common, mixing, neardup, packing, sharding, simhash, topk
+from atlasframe.llm import common, graph, mixing, neardup, packing, sharding, simhash, topk
 from atlasframe.llm.queries import tokenizer_path
 
 WEIRD = ["", None, "Hello,  World's end!", "ﬁ İstanbul ΣΑΣ", "á café", "<|endoftext|> x", "don't we'll", "\x1c\x85  ", "12 345", "word,' ''s", "日本語 テキスト", "x" * 300, "tab\tand\r\nlines", "é" * 80]
@@ -149,7 +149,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(400)]
     rows += [(500 + i, rows[3][1]) for i in range(60)] + [(20, rows[0][1])]
-    odd = [(900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, rows[0][1]), (920, [1.0] * 3), (921, [2.0] * 3)]
+    odd = [(960, [1e20] * 8), (961, [3e7] + [0.0] * 7), (900, None), (901, [1.0, None] * 4), (902, [float("nan")] * 8), (903, [float("inf")] * 8), (None, rows[0][1]), (920, [1.0] * 3), (921, [2.0] * 3)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int").repartition(5)
     vectors = topk.impact_vectors(df)
     asked = vectors.where("id % 20 = 0")
@@ -157,7 +157,7 @@ def test_top_k(spark):
     for r in topk.top_k(vectors, asked, 20, block_rows=150).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     q = lambda v: [int(np.floor(64 * np.float64(np.float32(x)))) for x in v]
-    ints = [(i, q(v)) for i, v in rows] + [(920, [64] * 3), (921, [128] * 3)]
+    ints = [(i, q(v)) for i, v in rows] + [(961, q(odd[1][1])), (920, [64] * 3), (921, [128] * 3)]
     for i, v in ints:
         if i % 20 or i == 20:  # 20 is asked with two vectors
             continue
@@ -168,11 +168,11 @@ def test_top_k(spark):
 
 def test_top_k_index_is_exact():
     rng = np.random.default_rng(1)
-    for n, dims, top in ((2000, 16, 30), (500, 1, 3), (300, 64, 2**22)):
+    for n, dims, top in ((2000, 16, 30), (500, 1, 3), (300, 64, 2**22), (900, 3, 2**30), (3000, 20, 2), (1, 4, 9)):
         v = rng.integers(-top, top, (n, dims))
         index = topk.ImpactIndex(np.arange(n) * 3, v)
-        for i in range(0, n, 97):
-            at, scores = index.search(i * 3, v[i], 7)
+        asked = np.arange(0, n, 7)
+        for i, (at, scores) in zip(asked, index.search(asked * 3, v[asked], 7)):
             s = v @ v[i]
             order = [j for j in np.lexsort((np.arange(n), -s)) if j != i][:7]
             assert list(at) == order and list(scores) == [s[j] for j in order]
@@ -218,8 +218,11 @@ def test_near_duplicates(spark):
     want = sorted((str(i), f"{keys[k]:016x}", least[find(k)]) for k, (i, _) in enumerate(rows))
     assert sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in out) == want
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    kept = sorted(r["doc_id"] for r in simhash.keep_one(df.where("doc_id is not null"), radius=2).collect())
-    assert kept == sorted(set(least.values()))
+    clash = df.withColumns({"_n": F.lit(1), "key": F.lit(2), "node": F.lit(3)})
+    kept = [r["doc_id"] for r in simhash.keep_one(clash, radius=2).collect()]
+    assert sorted(kept, key=str) == sorted(least.values(), key=str) or sorted(i for i in kept if i is not None) == sorted(set(least.values()))
+    two = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (None, "l m n"), (None, "l m n"), (None, "a b c d e")], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(two, radius=2).collect())) == sorted(map(str, two.distinct().where("doc_id is not null or text = 'l m n'").collect()))
 
 
 def test_pipeline_near_dedup_by_jaccard(spark):
@@ -248,11 +251,37 @@ def test_pipeline_near_dedup_by_jaccard(spark):
         if shingles[a] == shingles[b] or 10 * len(shingles[a] & shingles[b]) >= 8 * len(shingles[a] | shingles[b]):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     want = sorted({find(i) for i in range(len(docs))})
-    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(3, " ".join(docs[3])), (None, " ".join(docs[7]))]
-    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "")
-    got = [r["doc_id"] for r in out.collect()]
-    assert got.count(None) == 1 and sorted(i for i in got if i is not None) == want
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(3, " ".join(docs[3])), (None, " ".join(docs[7])), (None, "only " * 9), (None, "only " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for out in (corpus_pipeline.drop_near_duplicates(spark, df, ""), neardup.keep_one(df, block=4, block_shingles=300)):
+        got = [r["doc_id"] for r in out.collect()]
+        assert got.count(None) == 1 and sorted(i for i in got if i is not None) == want
     assert len(want) < len(docs) - 60
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_dedup_compares_what_no_hub_has_met(spark):
+    """Families whose members share fingerprints with many but are close to few: all links by brute force."""
+    rng = random.Random(8)
+    docs = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(90)]
+        for _ in range(70):
+            near = base[:]
+            for at in rng.sample(range(18), rng.randrange(1, 5)):
+                near[5 * at] = f"y{rng.randrange(6)}"
+            docs.append(near)
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    parent = list(range(len(docs)))
+    find = lambda a: a if parent[a] == a else find(parent[a])
+    for a, b in combinations(range(len(docs)), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = sorted({find(i) for i in range(len(docs))})
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    assert 10 < len(want) < 190
+    for block in (512, 8):
+        assert sorted(r["doc_id"] for r in neardup.keep_one(df, block=block).collect()) == want
 
 
 def test_tree_routes_every_link():
@@ -275,10 +304,28 @@ def test_tree_routes_every_link():
 
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)]
-    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_scratch_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 def test_running_sums(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), i, rng.randrange(5)) for i in range(300)]

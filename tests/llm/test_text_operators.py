@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import os
 import random
 import struct
@@ -51,11 +52,31 @@ def test_line_dedup(spark, seed):
 
 def test_line_dedup_repeated_and_empty(spark):
     line = "one two three four five six"
-    df = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["text"]) for r in linededup.dedup_lines(df, 5).collect()) == [(1, line), (1, line), (2, "")]
+    df = spark.createDataFrame([(1, line), (1, line), (2, line), (None, f"\n{line}\nx"), (None, f"\n{line}\nx")], "doc_id long, text string")
+    found = sorted(((r["doc_id"] is None, r["doc_id"], r["text"]) for r in linededup.dedup_lines(df, 5).collect()), key=str)
+    assert found == [(False, 1, ""), (False, 1, line), (False, 2, ""), (True, None, ""), (True, None, "\nx")]
+    assert linededup.dedup_lines(df, 7).where("removed_lines > 0").select("doc_id", "text").collect() == [(None, "")]
     assert linededup.dedup_lines(df.limit(0), 5).count() == 0
 
 
+def test_line_dedup_matches_are_whole(spark):
+    rng = random.Random(9)
+    say = lambda n: [" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(4)) for _ in range(n)]
+    shared, other = say(30), say(12)
+    docs = [(1, [*say(5), *shared, *say(3)]), (2, [*say(2), *shared[3:25], "", *other, *say(9)]), (3, [*other, *say(4), *shared[20:], *shared[:4]])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")
+    rid = {bytes(r["rid"]): r["doc_id"] for r in df.select("doc_id", linededup.row_identity("doc_id", "text").alias("rid")).collect()}
+    found = sorted((rid[bytes(r["rid"])], r["first"], r["last"], r["source_id"], r["source_begin"]) for r in linededup.matches(df, 12).collect())
+    assert found == [(2, 2, 23, 1, 8), (3, 0, 11, 2, 24), (3, 16, 25, 1, 25), (3, 26, 29, 1, 5)]
+
+
+def test_line_dedup_long_text(spark):
+    lines = [f"line {i % 5000} of a long text" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    out = linededup.dedup_lines(df, 50).first()
+    assert out["text"] == "\n".join(lines[:5000]) and out["removed_lines"] == 15_000
+
+
 def naive_phrases(sample, text):
     n, at = 0, 0
     while at < len(text):
@@ -71,7 +92,7 @@ def test_suffix_automaton_parses_greedily():
         automaton = langid.SuffixAutomaton(sample)
         for _ in range(20):
             text = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30)))
-            assert automaton.phrases(text) == naive_phrases(sample, text)
+            assert automaton.parse(text) == (naive_phrases(sample, text), sum(c not in sample for c in text))
 
 
 def test_language_id(spark):
@@ -89,12 +110,38 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), learned).count() == 0
 
 
+def test_language_id_by_brute_force(spark):
+    """``learn`` and ``identify`` against plain Python: samples, whole parses, ties and scores."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    say = lambda letters, n: " ".join(word(letters) for _ in range(n)) + rng.choice(["", "!", " 12"])
+    kinds = {"b": "abcé", "a": "bcdx", "c": "xyzñ"}
+    rows = [(i, say(kinds[k], 9), k) for i, k in enumerate("abc" * 5)] + [(90, None, "a"), (91, "zzz", None), (92, "", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = langid.learn(df, chars=70)
+    spaced = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    whole = {k: {spaced(t).strip() for _, t, x in rows if x == k and t} for k in "abc"}
+    for k, sample in learned.samples.items():
+        texts = sorted(whole[k], key=lambda t: sample.find(t) if t in sample else 10**6)
+        assert len(sample) == 70 and sample == " ".join(texts)[:70] or all(w in " ".join(texts).split() for w in sample.split()[:-1])
+    held = {k: f" {s} " for k, s in learned.samples.items()}
+    tied = langid.Languages({"q": ["ab ab"], "p": ["ab ab"]})
+    assert tied.predict("ab") == ("p", 0.0, True)
+    assert not tied.predict("uvw xyz")[2] and tied.predict("b" * 50)[2] and tied.predict("ba")[2] and not tied.predict("1")[2]
+    odd = [say("abcdxyzé", rng.randrange(1, 12)) for _ in range(40)] + ["abcé" * 300, "Éa B", "q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)] * 2, "doc_id long, text string")
+    for r in langid.identify(df, learned).collect():
+        bits = sorted((naive_phrases(s, spaced(r["text"])) * math.log2(len(s) + 2) + 21 * sum(c not in s for c in spaced(r["text"])), k) for k, s in held.items())
+        assert r["lang_pred"] == bits[0][1] and abs(r["score"] - (bits[1][0] - bits[0][0]) / bits[1][0]) < 1e-12
+
+
 def test_language_id_held_out():
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables here")
-    import pyarrow.parquet as pq
     import zlib
 
+    import pyarrow.parquet as pq
+
     rows = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
     held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
     samples = {}
@@ -102,8 +149,7 @@ def test_language_id_held_out():
         if not held(r) and r["lang"]:
             samples.setdefault(r["lang"], []).append(r["text"])
     languages = langid.Languages(samples)
-    counts = langid._Counts(languages)
-    right = [langid._predict(languages, counts, r["text"])[0] == r["lang"] for r in rows if held(r)]
+    right = [languages.predict(r["text"])[0] == r["lang"] for r in rows if held(r)]
     assert sum(right) / len(right) > 0.95
 
 
@@ -156,7 +202,7 @@ def test_chat_round_trip(spark):
     out = chat.format_turns(chat.canonical_turns(chat.conversations_as_records(df), "record"))
     for r in out.withColumn("back", chat.read_turns(F.col("formatted"))).collect():
         said = [(role or "", text or "") for c, _, role, text in rows if c == r["conv_id"]]
-        assert [(b["role"], b["text"]) for b in r["back"]] == said and r["layout"] == "turns"
+        assert [(b["role"], b["text"]) for b in r["back"]] == said
         spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
         back = [s for s in spans]
         for mark in ("<", "["):
@@ -165,6 +211,21 @@ def test_chat_round_trip(spark):
         assert [b["text"] for b in r["back"] if b["learn"]] == back
 
 
+def test_chat_deals_every_layout(spark):
+    rng = random.Random(3)
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["human", "gpt"], ["user", "assistant", "user", "assistant"]]
+    rows = [(c, t, role, rng.choice(["", "x", "</s>", "y" * 50_000 if c % 50 == 0 else "z", None])) for c in range(300) for t, role in enumerate(shapes[c % 5])]
+    rows += [(None, 0, "user", "who?"), (7, 0, "user", "again"), (7, 0, "user", "again")]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "conv_id long, turn int, role string, text string, layout string").repartition(4)
+    records = chat.conversations_as_records(df).withColumns({"formatted": F.lit("old"), "layout": F.lit("old")})
+    out = chat.format_turns(chat.canonical_turns(records, "record")).withColumn("back", chat.read_turns(F.col("formatted"))).collect()
+    assert {r["layout"] for r in out} == {m["name"] for m in chat.MAPPINGS}
+    for r in out:
+        said = sorted(((t, role, text or "") for c, t, role, text in rows if c == r["conv_id"]))
+        assert [(b["role"], b["text"]) for b in r["back"]] == [x[1:] for x in said]
+    assert chat.format_turns(chat.canonical_turns(chat.conversations_as_records(df.limit(0)), "record")).count() == 0
+
+
 def test_chat_layouts(spark):
     records = [
         ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}]}, "messages", [("user", "hi"), ("assistant", "")]),
@@ -218,6 +279,64 @@ def test_media_other_streams():
     assert media.header(bytes((0xFF, 0xFF, 0x90, 0))).layer == 1 and media.header(bytes((0xFF, 0xFD, 0x90, 0))).layer == 2 and media.header(b"\xff\xe8\x90\0") is None
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_media_survives_any_bytes(seed):
+    rng = random.Random(seed)
+    whole = media.encode(rng.randbytes(3000))
+    for _ in range(500):
+        data = bytearray(rng.randbytes(rng.randrange(400)) if rng.random() < 0.5 else whole[: rng.randrange(len(whole))])
+        for _ in range(rng.randrange(8) * (len(data) > 8)):
+            at = rng.randrange(len(data) - 4)
+            data[at : at + 4] = bytes((0xFF, rng.randrange(0xE0, 256), rng.randrange(256), rng.randrange(256)))
+            if rng.random() < 0.4:
+                data[at + 36 : at + 40] = b"VBRI"
+        s = media.probe(bytes(data))
+        media.decode(bytes(data), s)
+        assert all(a < b for a, b in zip(s.offsets, s.offsets[1:], strict=False)) and s.failed <= s.checked
+
+
+def slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ b else 0)
+    return crc
+
+
+@pytest.mark.parametrize(("four", "widths", "layer"), [
+    ((0xFF, 0xFE, 0x90, 0xC0), [4] * 32, 1),  # layer I, mono
+    ((0xFF, 0xFC, 0x24, 0xC0), [4, 4] + [3] * 6, 2),  # layer II, 48 kbit/s mono, 48 kHz
+    ((0xFF, 0xFC, 0x80, 0xC0), [4] * 11 + [3] * 12 + [2] * 7, 2),  # layer II, 128 kbit/s mono, 44.1 kHz
+    ((0xFF, 0xF4, 0x80, 0xC0), [4] * 4 + [3] * 7 + [2] * 19, 2),  # MPEG-2 layer II
+])
+def test_media_checks_layers_one_and_two(four, widths, layer):
+    rng = random.Random(layer)
+    h = media.header(bytes(four))
+    assert h.layer == layer and h.protected and h.mono
+    told = [rng.randrange(1 << w) for w in widths]
+    bits = [v >> w - 1 - i & 1 for v, w in zip(told, widths, strict=True) for i in range(w)]
+    bits += [rng.randrange(2) for _ in range(2 * sum(map(bool, told)) * (layer == 2))]
+    full = bits + [rng.randrange(2) for _ in range(8 * (h.length - 6) - len(bits))]
+    body = bytes(sum(b << 7 - i for i, b in enumerate(full[at : at + 8])) for at in range(0, len(full), 8))
+    crc = slow_crc([x >> 7 - i & 1 for x in four[2:] for i in range(8)] + bits)
+    frame = bytes(four) + crc.to_bytes(2, "big") + body
+    s = media.probe(frame * 3)
+    assert (s.checked, s.failed, len(s.offsets)) == (3, 0, 3)
+    broken = bytearray(frame * 3)
+    broken[len(frame) + 7] ^= 1
+    assert media.probe(bytes(broken)).failed >= 1
+
+
+def test_media_columns_replace_names(spark):
+    df = media.store(spark.createDataFrame([(1, "hello")], "doc_id long, text string")).withColumns({"rate": F.lit("x"), "ok": F.lit(3)})
+    out = media.read(df).first()
+    assert out["ok"] is True and out["rate"] == 48000 and out["payload"].startswith(b"hello") and out["doc_id"] == 1
+    vbri = bytearray(bytes((0xFF, 0xF3, 0x80, 0x00)) + bytes(204))
+    vbri[36:62] = b"VBRI" + bytes(10) + struct.pack(">IHHHH", 2**32 - 1, 30, 65535, 4, 1)
+    vbri[62:182] = b"\xff" * 120
+    got = media.read(spark.createDataFrame([(bytearray(vbri) + bytes(vbri[:4]) + bytes(204),)], "media binary")).first()
+    assert got["toc"] == [65535 * (2**32 - 1)] * 30 and got["vbr_frames"] == 2**32 - 1
+
+
 def test_media_columns(spark):
     rows = [(1, "", "m"), (2, None, "m"), (3, "ü" * 500, "m"), (3, "ü" * 500, "m"), (None, "x", "m")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")
