@@ -5,10 +5,10 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .plans.build import build, build_bundle, build_sections, verify_sections
+from .plans.build import build, build_bundle, build_sections, tokenize, verify_sections
 from .plans.gazetteer import Gazetteer
 from .session import session
-from .sources.bundle import composition, problems
+from .sources.bundle import SECTIONS, composition, problems, read_section
 
 
 def main(args: list[str] | None = None) -> int:
@@ -21,6 +21,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("store")
     p.add_argument("--vocab-size", type=int, default=1000)
     p.add_argument("--keep-cities-without-region", action="store_true")
+    p.add_argument("--overwrite", action="store_true", help="replace a store that is there; else it asks, or fails where nobody can answer")
+    p = commands.add_parser("tokenize", help="a store's tables with names as tokens, to Parquet")
+    p.add_argument("store")
+    p.add_argument("output")
+    p.add_argument("--keep-original", action="store_true", help="keep the names beside their tokens")
+    p.add_argument("--token-format", choices=("blob", "csv"), default="blob")
     p = commands.add_parser("bundle", help="a store to a single file")
     p.add_argument("store")
     p.add_argument("output")
@@ -28,6 +34,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("store")
     p.add_argument("folder")
     p.add_argument("--verify", action="store_true", help="decode the files again and compare")
+    p = commands.add_parser("decode", help="read column files alone: how many values each holds")
+    p.add_argument("folder")
     p = commands.add_parser("sizes", help="what a bundle's bytes hold")
     p.add_argument("bundle")
     p = commands.add_parser("verify", help="check a bundle's structure")
@@ -53,7 +61,19 @@ def main(args: list[str] | None = None) -> int:
     spark = session()
     if a.command == "build":
         source = {"country": a.country, "geoname": a.geoname, "admin1": a.admin1}
-        print(build(spark, source, a.store, a.vocab_size, not a.keep_cities_without_region))
+        make = lambda mode: print(build(spark, source, a.store, a.vocab_size, not a.keep_cities_without_region, mode))
+        try:
+            make("overwrite" if a.overwrite else "error")
+        except FileExistsError as there:
+            if not sys.stdin.isatty() or input(f"{there}. Overwrite? (y/N): ").lower() not in ("y", "yes"):
+                print(f"{there}; nothing is changed")
+                return 1
+            make("overwrite")
+    elif a.command == "tokenize":
+        print(tokenize(spark, a.store, a.output, a.keep_original, a.token_format))
+    elif a.command == "decode":
+        for name in SECTIONS:
+            print(f"{name}: {read_section(spark, a.folder, name).count():,}")
     elif a.command == "columns":
         print(build_sections(spark, a.store, a.folder))
         if a.verify:

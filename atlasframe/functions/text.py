@@ -45,3 +45,18 @@ def search_terms(text: Column) -> Column:
 
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
+
+
+def fixed(n: Column, digits: int) -> Column:
+    """``n`` with so many decimals, as coordinates, sizes and times are shown."""
+    return F.format_string(f"%.{digits}f", n.cast("double"))
+
+
+def coordinate_label(name: Column, lat: Column, lon: Column, region: Column, country: Column) -> Column:
+    """A sample row as a line: name (lat, lon) - region, country."""
+    return F.format_string("%s (%.4f, %.4f) - %s, %s", name, lat, lon, or_default(region), country)
+
+
+def base36(n: Column, digits: int) -> Column:
+    """The last so many base-36 digits of ``n``, in lower case: invented keys to probe with."""
+    return F.lower(F.right(F.lpad(F.conv(n.cast("string"), 10, 36), digits, "0"), F.lit(digits)))

@@ -2,6 +2,7 @@
 
 Spark counts words; the merge loop is sequential by nature and runs on the driver over the table of
 distinct words (of place names: tens of thousands), updating pair counts where a merge changed them.
+The table's size is checked before it is fetched.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..functions.codec import decode_tokens
 from ..functions.text import name_words
 
 UNKNOWN = "<unk>"
+#: Distinct words that the driver learns from at most, and that a task remembers.
+MOST_WORDS, MEMO_WORDS = 5_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,11 @@ class Vocabulary:
             object.__setattr__(self, "_cached", (letters, ranks))
         return self._cached
 
+    def memo(self) -> dict[str, list[int]]:
+        if "_memo" not in self.__dict__:
+            object.__setattr__(self, "_memo", {})
+        return self.__dict__["_memo"]
+
     def __getstate__(self):
         return {"tokens": self.tokens, "merges": self.merges}
 
@@ -123,18 +131,26 @@ def train(counts: Iterable[tuple[str, int]], vocab_size: int = 1000) -> Vocabula
     return Vocabulary(tuple(tokens), tuple(merges))
 
 
-def learn(names: DataFrame, column: str = "name", vocab_size: int = 1000) -> Vocabulary:
-    """Count words with Spark, then ``train``; words come to the driver in a stream."""
-    found = word_counts(names, column).orderBy("word")
-    return train(((r["word"], r["n"]) for r in found.toLocalIterator()), vocab_size)
+def learn(names: DataFrame, column: str = "name", vocab_size: int = 1000, least: int = 1, most_words: int = MOST_WORDS) -> Vocabulary:
+    """Count words with Spark, then ``train`` on those that occur ``least`` times or more.
+
+    More than ``most_words`` of these are an error, not a sample: raise ``least`` then.
+    """
+    found = word_counts(names, column).where(F.col("n") >= least)
+    rows = found.orderBy("word").limit(most_words + 1)
+    counts = [(r["word"], r["n"]) for r in rows.toLocalIterator()]
+    if len(counts) > most_words:
+        raise ValueError(f"over {most_words} distinct words occur {least} times or more: raise least")
+    return train(counts, vocab_size)
 
 
 def encode(vocabulary: Vocabulary, name: Column) -> Column:
-    """Token ids of ``name``: words by expression, ids by an Arrow UDF that remembers words."""
+    """Token ids of ``name``: words by expression, ids by an Arrow UDF that remembers words for as long
+    as its task runs."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(words: pd.Series) -> pd.Series:
-        seen: dict[str, list[int]] = {}
+        seen = vocabulary.memo()
 
         def of(found) -> list[int] | None:
             if found is None:
@@ -142,6 +158,8 @@ def encode(vocabulary: Vocabulary, name: Column) -> Column:
             out: list[int] = []
             for w in found:
                 if w not in seen:
+                    if len(seen) >= MEMO_WORDS:
+                        seen.clear()
                     seen[w] = vocabulary.encode_word(w)
                 out += seen[w]
             return out

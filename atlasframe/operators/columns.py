@@ -1,9 +1,10 @@
 """Order-dependent column codecs as windows: front coding and delta coding.
 
-``pos`` (0..N-1) is the order.  With ``block`` rows a block restarts the coding, so that blocks are
-coded apart; a sequential reader reads the result as it reads any other, because a first row that
-shares nothing with the one before it is always allowed.  Without, all rows meet in one task, which
-the single-file format implies anyway.
+``pos`` (0..N-1) is the order.  Rows are worked on in parts of PART rows, each in a task of its own;
+what a part needs of those before it (a last value, a sum, the newest characters) is one small row a
+part, so that no order of all rows is needed.  With ``block`` the coding itself restarts every so many
+rows; a sequential reader reads the result as it reads any other, because a first row that shares
+nothing with the one before it is always allowed.
 """
 
 from __future__ import annotations
@@ -16,9 +17,24 @@ from ..functions.codec import MAX_PART, checked, hex_bytes, little_endian, pack_
 from ..functions.geo import common_prefix
 
 
-def _by(block: int | None, pos: str = "pos"):
-    part = [F.floor(F.col(pos) / block)] if block else [F.lit(0)]
-    return Window.partitionBy(*part).orderBy(pos)
+#: Rows of a part.
+PART = 65_536
+
+
+def _cut(df: DataFrame, rows: int) -> tuple[DataFrame, Window]:
+    """``df`` with its part, and a window over it."""
+    return df.withColumn("_part", F.floor(F.col("pos") / rows)), Window.partitionBy("_part").orderBy("pos")
+
+
+def _before(df: DataFrame, value: str, block: int | None, part: int = PART) -> DataFrame:
+    """``df`` with ``_before``: the value of the row before; null for the first row, of each block if any."""
+    cut, w = _cut(df, block or part)
+    inside = cut.withColumn("_before", F.lag(value).over(w))
+    if block:
+        return inside.drop("_part")
+    ends = cut.groupBy("_part").agg(F.max_by(value, "pos").alias("_end")).withColumn("_part", F.col("_part") + 1)
+    joined = inside.join(ends, "_part", "left")
+    return joined.withColumn("_before", F.when(F.col("pos") % part == 0, F.col("_end")).otherwise(F.col("_before"))).drop("_part", "_end")
 
 
 def positions(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
@@ -34,11 +50,16 @@ def positions(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
     return numbered.join(starts, F.col("_b").eqNullSafe(F.col("_bucket"))).select(*df.columns, (F.col("_start") + F.col("_in")).alias("pos"))
 
 
-def front_encode(df: DataFrame, value: str, block: int | None = None) -> DataFrame:
+def by_key(cities: DataFrame) -> DataFrame:
+    """``cities`` with ``pos`` in the order of their keys; a bucket is a cell of 20 by 40 km."""
+    return positions(cities, ["geohash"], F.left("geohash", F.lit(4)))
+
+
+def front_encode(df: DataFrame, value: str, block: int | None = None, part: int = PART) -> DataFrame:
     """``df`` with shared (characters shared with the row before) and suffix (the rest)."""
-    before = F.coalesce(F.lag(value).over(_by(block)), F.lit(""))
-    shared = common_prefix(F.col(value), before, 2 * MAX_PART)
-    return df.withColumn("shared", shared.cast("int")).withColumn("suffix", F.substr(F.col(value), F.col("shared") + 1))
+    shared = common_prefix(F.col(value), F.coalesce("_before", F.lit("")), 2 * MAX_PART)
+    met = _before(df, value, block, part).withColumn("shared", shared.cast("int")).drop("_before")
+    return met.withColumn("suffix", F.substr(F.col(value), F.col("shared") + 1))
 
 
 def front_rows(encoded: DataFrame) -> DataFrame:
@@ -48,35 +69,65 @@ def front_rows(encoded: DataFrame) -> DataFrame:
     return encoded.select("pos", checked(ok, F.concat(sizes, F.encode("suffix", "US-ASCII")), F.concat(F.lit("shared or new part too long at "), F.col("pos").cast("string"))).alias("data"))
 
 
-def front_decode(df: DataFrame, shared: str = "shared", suffix: str = "suffix", longest: int = 2 * MAX_PART, block: int | None = None) -> DataFrame:
-    """``df`` with ``value``: character k is the newest one written at k."""
-    upto = _by(block).rowsBetween(Window.unboundedPreceding, 0)
+def front_decode(df: DataFrame, shared: str = "shared", suffix: str = "suffix", longest: int = 2 * MAX_PART, block: int | None = None, part: int = PART) -> DataFrame:
+    """``df`` with ``value``: character k is the newest one written at k, in this part or one before (in
+    this block, if there are any)."""
+    cut, w = _cut(df, block or part)
 
     def char(k: int) -> Column:
         here = (F.lit(k) >= F.col(shared)) & (F.lit(k) < F.col(shared) + F.length(suffix))
-        return F.coalesce(F.last(F.when(here, F.substr(F.col(suffix), F.lit(k + 1) - F.col(shared), F.lit(1))), ignorenulls=True).over(upto), F.lit(""))
-
-    spread = df.select("*", *[char(k).alias(f"_c{k}") for k in range(longest)])
-    value = F.left(F.concat(*[F.col(f"_c{k}") for k in range(longest)]), F.col(shared) + F.length(suffix))
-    return spread.select(*df.columns, value.alias("value"))
+        return F.when(here, F.substr(F.col(suffix), F.lit(k + 1) - F.col(shared), F.lit(1)))
+
+    upto, places = w.rowsBetween(Window.unboundedPreceding, 0), range(longest)
+    spread = cut.select("*", *[F.last(char(k), ignorenulls=True).over(upto).alias(f"_c{k}") for k in places])
+    if block:
+        value = F.left(F.concat(*[F.coalesce(f"_c{k}", F.lit("")) for k in places]), F.col(shared) + F.length(suffix))
+        return spread.select(*df.columns, value.alias("value"))
+    ends = cut.groupBy("_part").agg(*[F.max_by(char(k), F.when(char(k).isNotNull(), F.col("pos"))).alias(f"_e{k}") for k in places])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_part", *[F.last(f"_e{k}", ignorenulls=True).over(earlier).alias(f"_e{k}") for k in places])
+    spread = spread.join(ends, "_part")
+    newest = [F.coalesce(f"_c{k}", f"_e{k}", F.lit("")) for k in places]
+    return spread.select(*df.columns, F.left(F.concat(*newest), F.col(shared) + F.length(suffix)).alias("value"))
+
+
+def delta_encode(df: DataFrame, value: str, block: int | None = None, part: int = PART) -> DataFrame:
+    """``df`` with ``delta``: the step from the row before; the first row's is its value."""
+    return _before(df, value, block, part).withColumn("delta", F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before")
 
 
-def delta_encode(df: DataFrame, value: str, block: int | None = None) -> DataFrame:
-    """``df`` with ``delta``: the step from the row before; the first row's is its value."""
-    return df.withColumn("delta", F.col(value) - F.lag(value, 1, 0).over(_by(block)))
+def step_bytes(step: Column, where: Column) -> Column:
+    """A step as two little-endian bytes; one beyond 16 bits, or none, fails."""
+    ok = F.coalesce(step.between(-32768, 32767), F.lit(False))
+    return checked(ok, little_endian(step, 2), F.concat(F.lit("step too large at "), where.cast("string")))
 
 
 def delta_rows(encoded: DataFrame) -> DataFrame:
     """pos and data: two little-endian bytes a row; steps beyond 16 bits fail."""
-    ok = F.col("delta").between(-32768, 32767)
-    return encoded.select("pos", checked(ok, little_endian(F.col("delta"), 2), F.concat(F.lit("step too large at "), F.col("pos").cast("string"))).alias("data"))
+    return encoded.select("pos", step_bytes(F.col("delta"), F.col("pos")).alias("data"))
 
 
-def delta_decode(df: DataFrame, delta: str = "delta", block: int | None = None) -> DataFrame:
-    return df.withColumn("value", F.sum(delta).over(_by(block).rowsBetween(Window.unboundedPreceding, 0)))
+def delta_decode(df: DataFrame, delta: str = "delta", block: int | None = None, part: int = PART) -> DataFrame:
+    """``df`` with ``value``: the sum of the steps so far, of the block if there are any."""
+    cut, w = _cut(df, block or part)
+    summed = cut.withColumn("value", F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if block:
+        return summed.drop("_part")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_part").agg(F.sum(delta).alias("_sum"))
+    sums = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_so_far"))
+    return summed.join(sums, "_part").withColumn("value", F.col("value") + F.col("_so_far")).drop("_part", "_so_far")
 
 
 def unsorted_rows(df: DataFrame, value: str, order: str) -> DataFrame:
-    """One row: how many values are below the one before them."""
-    w = Window.orderBy(order)
-    return df.withColumn("_last", F.lag(value).over(w)).agg(F.count_if(F.col(value) < F.col("_last")).alias("unsorted"))
+    """One row: how many values are below the one before them.
+
+    Rows are compared within ranges of the order; each range's ends, one small row, are compared with
+    those of its neighbours.
+    """
+    ranges = df.select(F.col(order).alias("_at"), F.col(value).alias("_v")).repartitionByRange("_at").withColumn("_range", F.spark_partition_id())
+    w = Window.partitionBy("_range").orderBy("_at")
+    below = ranges.withColumn("_low", F.col("_v") < F.lag("_v").over(w))
+    each = below.groupBy("_range").agg(F.count_if("_low").alias("_n"), F.min("_at").alias("_from"), F.min_by(F.struct("_v"), "_at").alias("_first"), F.max_by(F.struct("_v"), "_at").alias("_final"))
+    border = F.col("_first._v") < F.lag("_final").over(Window.orderBy("_from"))["_v"]
+    return each.withColumn("_border", border).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_in"), F.count_if("_border").alias("_out")).select((F.col("_in") + F.col("_out")).alias("unsorted"))

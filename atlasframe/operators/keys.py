@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.geo import MAX_PRECISION, common_prefix
 
 
-def _prefixes(key: Column, longest: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.least(F.length(key), F.lit(longest))), lambda n: F.left(key, n))
+def _prefixes(key: Column) -> Column:
+    """All prefixes of a key but the empty one; of an empty or null key none."""
+    return F.when(F.length(key) > 0, F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.left(key, n)))
 
 
 def _finish(gh: Column, length: Column, row_id: Column) -> list[Column]:
@@ -25,7 +26,7 @@ def shortest_unique_keys(df: DataFrame, gh: str, row_id: str) -> DataFrame:
     partial counts first, so that a cell with a third of all rows is a few rows when it is shuffled;
     no order of all rows is needed.  ``row_id`` identifies a row; rows without a hash are left out.
     """
-    each = df.select(F.col(row_id).alias("_id"), F.explode(_prefixes(F.col(gh), MAX_PRECISION)).alias("_prefix"))
+    each = df.select(F.col(row_id).alias("_id"), F.explode(_prefixes(F.left(gh, F.lit(MAX_PRECISION)))).alias("_prefix"))
     alone = each.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).where("_n = 1")
     shortest = alone.groupBy("_id").agg(F.min(F.length("_prefix")).alias("_length"))
     joined = df.join(shortest, df[row_id] == shortest["_id"], "left")
@@ -53,20 +54,21 @@ def uniqueness(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("all_unique", F.col("total") == F.col("unique_keys"))
 
 
-def prefix_join(probes: DataFrame, prefix: str, cities: DataFrame, key: str, longest: int = 24) -> DataFrame:
+def prefix_join(probes: DataFrame, prefix: str, cities: DataFrame, key: str) -> DataFrame:
     """Every probe with every row whose key begins with it.
 
-    A ``startswith`` join compares all pairs; here each key is expanded into its prefixes (at most
-    ``longest``, the length of the longest key) and met by equality.  The empty prefix meets all.
+    A ``startswith`` join compares all pairs; here each key is expanded into its prefixes, as many as
+    it is long (a key's format bounds that), and met by equality.  The empty prefix meets all.
     """
-    expanded = cities.withColumn("_prefix", F.explode(F.concat(F.array(F.lit("")), _prefixes(F.col(key), longest))))
+    every = F.concat(F.array(F.lit("")), F.coalesce(_prefixes(F.col(key)), F.array().cast("array<string>")))
+    expanded = cities.where(F.col(key).isNotNull()).withColumn("_prefix", F.explode(every))
     return probes.join(expanded, probes[prefix] == expanded["_prefix"]).drop("_prefix")
 
 
 def locate(points: DataFrame, gh: str, cities: DataFrame, key: str) -> DataFrame:
     """Every point with the city whose key is the longest prefix of its geohash (an extension: the
     lookup functions match stored keys only).  Points in no city's cell keep their row."""
-    expanded = points.withColumn("_row", F.monotonically_increasing_id()).withColumn("_prefix", F.explode_outer(_prefixes(F.col(gh), MAX_PRECISION)))
+    expanded = points.withColumn("_row", F.monotonically_increasing_id()).withColumn("_prefix", F.explode_outer(_prefixes(F.left(gh, F.lit(MAX_PRECISION)))))
     hits = expanded.join(cities, expanded["_prefix"] == cities[key], "left")
     best = Window.partitionBy("_row").orderBy(F.length(F.when(F.col(key).isNotNull(), F.col("_prefix"))).desc_nulls_last())
     return hits.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", "_row", "_prefix")

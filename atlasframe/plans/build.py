@@ -32,8 +32,10 @@ def build(spark: SparkSession, source: dict[str, str], out: str, vocab_size: int
     """Build a store at ``out`` from the dumps at ``source`` (geoname, admin1, country: paths).
 
     The classified places and the keyed cities are written and read back, once each: the natural
-    places to cut the plan.  Returns counts, also of rejected lines and of places left out.
+    places to cut the plan.  With ``mode`` "error" a store that is there stays as it is and
+    FileExistsError is raised.  Returns counts, also of rejected lines and of places left out.
     """
+    store.refuse_or_replace(spark, out, mode)
     read = {name: tsv.read_dump(spark, path, schema.DUMPS[name]) for name, path in source.items()}
     rows = {name: d.rows for name, d in read.items()}
     for name, key in (("geoname", "geonameid"), ("admin1", "key"), ("country", "ISO")):
@@ -56,10 +58,15 @@ def token_rows(df: DataFrame, name: str, vocabulary: bpe.Vocabulary) -> DataFram
     return df.select("pos", length_prefixed(tokens_to_blob(bpe.encode(vocabulary, F.col(name)))).alias("data"))
 
 
-def bundle_sections(cities: DataFrame, regions: DataFrame, countries: DataFrame, vocabulary: bpe.Vocabulary) -> dict[str, tuple[DataFrame, int]]:
-    """The six encoded columns; ids of regions and countries must be 1..N."""
-    placed = columns.positions(cities, ["geohash"], F.left("geohash", F.lit(3)))
-    n, m, k = cities.count(), regions.count(), countries.count()
+def region_numbers(placed: DataFrame) -> DataFrame:
+    """``placed`` with no region as region 0, as the format has it."""
+    return placed.withColumn("region_id", F.coalesce("region_id", F.lit(0)))
+
+
+def bundle_sections(placed: DataFrame, regions: DataFrame, countries: DataFrame, vocabulary: bpe.Vocabulary) -> dict[str, tuple[DataFrame, int]]:
+    """The six encoded columns of cities with ``pos``; ids of regions and countries must be 1..N."""
+    placed = region_numbers(placed)
+    n, m, k = placed.count(), regions.count(), countries.count()
     return {
         "geohash": (columns.front_rows(columns.front_encode(placed, "geohash")), n),
         "region_id": (columns.delta_rows(columns.delta_encode(placed, "region_id")), n),
@@ -71,20 +78,31 @@ def bundle_sections(cities: DataFrame, regions: DataFrame, countries: DataFrame,
 
 
 def _stored(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], bpe.Vocabulary]:
+    """The store's tables; ``placed``, the cities in the order of their keys, is written there once."""
     tables = {t: store.load(spark, path, t) for t in ("cities", "regions", "countries", "vocabulary", "merges")}
+    store.save({"placed": columns.by_key(tables["cities"])}, path, "overwrite")
+    tables["placed"] = store.load(spark, path, "placed")
     return tables, bpe.load_vocabulary(tables["vocabulary"], tables["merges"])
 
 
+def tokenize(spark: SparkSession, path: str, out: str, keep_original: bool = False, packing: str = "blob") -> dict[str, int]:
+    """Write the store's cities, regions and countries with names as tokens, and the vocabulary; returns row counts."""
+    tables, vocabulary = _stored(spark, path)
+    done = {t: bpe.tokenize_table(tables[t], vocabulary, keep_original, packing) for t in ("cities", "regions", "countries")}
+    store.save(done | {"vocabulary": tables["vocabulary"]}, out)
+    return {t: store.load(spark, out, t).count() for t in (*done, "vocabulary")}
+
+
 def build_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
     """Write the six columns of the store at ``path`` as files; returns their sizes."""
     tables, vocabulary = _stored(spark, path)
-    return bundle.write_sections(spark, folder, bundle_sections(tables["cities"], tables["regions"], tables["countries"], vocabulary))
+    return bundle.write_sections(spark, folder, bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary))
 
 
 def verify_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
     """How many rows of the column files differ from the store, are missing or too many, by column."""
     tables, vocabulary = _stored(spark, path)
-    placed = columns.positions(tables["cities"], ["geohash"], F.left("geohash", F.lit(3)))
+    placed = region_numbers(tables["placed"])
     tokens = lambda name: tokens_to_blob(bpe.encode(vocabulary, F.col(name)))
     want = {name: placed.select("pos", F.col(name).alias("value")) for name in ("geohash", "region_id", "country_id")}
     want["city_tokens"] = placed.select("pos", tokens("city_name").alias("value"))
@@ -96,4 +114,4 @@ def verify_sections(spark: SparkSession, path: str, folder: str) -> dict[str, in
 def build_bundle(spark: SparkSession, path: str, out: str) -> int:
     """Write the store at ``path`` as the bundle ``out``; returns its size in bytes."""
     tables, vocabulary = _stored(spark, path)
-    return bundle.write_bundle(spark, out, tables["vocabulary"], bundle_sections(tables["cities"], tables["regions"], tables["countries"], vocabulary))
+    return bundle.write_bundle(spark, out, tables["vocabulary"], bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary))

@@ -75,9 +75,13 @@ class Gazetteer:
             return None
         return {name: df.count() for name, df in self.tables.items()}
 
+    def city_rows(self, key: str) -> DataFrame:
+        """The rows stored under exactly ``key``: the predicate reaches the scan."""
+        return self.table("cities").where(F.col("geohash") == key)
+
     def find_by_geohash(self, key: str) -> Row | None:
         """The city stored under exactly ``key``."""
-        return self.table("cities").where(F.col("geohash") == key).select("geohash", "city_name", "region_id", "country_id").first()
+        return self.city_rows(key).select("geohash", "city_name", "region_id", "country_id").first()
 
     def find_by_geohash_all(self, probes: DataFrame, column: str) -> DataFrame:
         """Every probe with its city, or nulls."""
@@ -85,7 +89,7 @@ class Gazetteer:
 
     def city_label(self, key: str) -> str | None:
         """``city, region, country`` of exactly ``key``."""
-        hit = labelled(self.table("cities").where(F.col("geohash") == key), self.table("regions"), self.table("countries")).first()
+        hit = labelled(self.city_rows(key), self.table("regions"), self.table("countries")).first()
         return hit and hit["label"]
 
     def find_by_prefix(self, prefix: str, limit: int = 50) -> DataFrame:

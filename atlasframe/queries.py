@@ -7,18 +7,17 @@ engines agree to the bit.  Where an operator has two formulations, the SQL uses
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
+from . import schema, scratch
 from .functions import codec, geo, text
 from .operators import bpe, columns, keys, normalize, search, verify
 from .plans import build, gazetteer
-from .sources import bundle, tsv
+from .sources import bundle, sqlite, store, tsv
 from .streaming import enrich
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,46 +145,31 @@ def prefix_search_empty(spark, d):
 
 @query(f"WITH {_CITIES} SELECT geohash, city_name, country_id FROM cities WHERE geohash = (SELECT max(geohash) FROM cities)")
 def point_lookup(spark, d):
-    c = cities(spark, d)
-    return c.join(c.agg(F.max("geohash").alias("m")), F.col("geohash") == F.col("m"), "left_semi").select("geohash", "city_name", "country_id")
+    """A stored key, looked up in the stored table: the predicate reaches the scan."""
+    path = scratch.new_path(spark)
+    store.save({"cities": cities(spark, d)}, path)
+    stored = store.load(spark, path, "cities")
+    key = stored.agg(F.max("geohash")).first()[0]
+    return gazetteer.Gazetteer.of(stored, None, None, None).city_rows(key).select("geohash", "city_name", "country_id")
 
 
-@query(f"""WITH {_CITIES},
-probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe, c_custkey AS id FROM keyed WHERE c_custkey % 5 = 0)
+@query(f"""WITH {_CITIES}, digits AS (SELECT c_custkey AS id, (c_custkey * 48271) % 2176782336 AS n FROM customer),
+probes AS (SELECT id, {" || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((n // {36**k}) % 36 AS INTEGER) + 1, 1)" for k in range(5, -1, -1))} AS probe FROM digits
+  UNION ALL SELECT -c_custkey, geohash FROM cities)
 SELECT p.id, p.probe, c.city_name FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
-def batch_lookup_join(spark, d):
-    """Keys match exactly: a whole 12-character hash in a city's cell finds nothing."""
-    probes = keyed(spark, d).where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("gh")).otherwise(F.col("key")).alias("probe"))
-    found = gazetteer.Gazetteer.of(cities(spark, d).select("geohash", "city_name"), None, None, None).find_by_geohash_all(probes, "probe")
-    return found.select("id", "probe", "city_name")
-
-
-@query(f"""WITH {_CITIES},
-probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe FROM keyed WHERE c_custkey % 5 = 0)
-SELECT count(*) AS probes, count(c.geohash) AS hits FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
-def probe_hit_count(spark, d):
-    return batch_lookup_join(spark, d).agg(F.count(F.lit(1)).alias("probes"), F.count("city_name").alias("hits"))
-
-
-@query(f"""WITH {_CITIES}, probes AS (SELECT DISTINCT left(key, 2) AS probe FROM keyed WHERE c_custkey % 11 = 0 UNION ALL SELECT 'zzzz')
-SELECT p.probe, c.geohash, c.city_name FROM probes p JOIN cities c ON starts_with(c.geohash, p.probe)""")
-def batch_prefix_join(spark, d):
-    probes = keyed(spark, d).where("c_custkey % 11 = 0").select(F.left("key", F.lit(2)).alias("probe")).distinct().unionAll(spark.range(1).select(F.lit("zzzz").alias("probe")))
-    return keys.prefix_join(probes, "probe", cities(spark, d), "geohash").select("probe", "geohash", "city_name")
-
-
-@query(f"""WITH {_CITIES}, points AS (SELECT c_custkey AS id, gh FROM hashed WHERE c_custkey % 4 = 0)
-SELECT p.id, c.geohash FROM points p LEFT JOIN cities c ON starts_with(p.gh, c.geohash) AND c.c_custkey % 2 = 0""")
-def locate_points(spark, d):
-    points = hashed(spark, d).where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("id"), "gh")
-    return keys.locate(points, "gh", cities(spark, d).where("c_custkey % 2 = 0").select("geohash"), "geohash").select("id", "geohash")
+def invented_key_probes(spark, d):
+    """Six base-36 digits for each customer, which mostly are no key, and every stored key."""
+    c = cities(spark, d)
+    invented = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.base36(F.col("c_custkey") * 48271 % 36**6, 6).alias("probe"))
+    probes = invented.unionAll(c.select(-F.col("c_custkey"), "geohash"))
+    return gazetteer.Gazetteer.of(c.select("geohash", "city_name"), None, None, None).find_by_geohash_all(probes, "probe").select("id", "probe", "city_name")
 
 
 @query(f"""WITH {_CITIES},
 probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe, c_custkey AS id FROM keyed)
 SELECT p.id, p.probe, c.city_name FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
-def batch_lookup_join_all(spark, d):
-    """``batch_lookup_join`` with every customer as a probe."""
+def batch_lookup_join(spark, d):
+    """Every customer is a probe.  Keys match exactly: a whole 12-character hash in a city's cell finds nothing."""
     probes = keyed(spark, d).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("gh")).otherwise(F.col("key")).alias("probe"))
     found = gazetteer.Gazetteer.of(cities(spark, d).select("geohash", "city_name"), None, None, None).find_by_geohash_all(probes, "probe")
     return found.select("id", "probe", "city_name")
@@ -194,13 +178,13 @@ def batch_lookup_join_all(spark, d):
 @query(f"""WITH {_CITIES},
 probes AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN gh ELSE key END AS probe FROM keyed)
 SELECT count(*) AS probes, count(c.geohash) AS hits FROM probes p LEFT JOIN cities c ON c.geohash = p.probe""")
-def probe_hit_count_all(spark, d):
-    return batch_lookup_join_all(spark, d).agg(F.count(F.lit(1)).alias("probes"), F.count("city_name").alias("hits"))
+def probe_hit_count(spark, d):
+    return batch_lookup_join(spark, d).agg(F.count(F.lit(1)).alias("probes"), F.count("city_name").alias("hits"))
 
 
 @query(f"""WITH {_CITIES}, probes AS (SELECT left(key, 2) AS probe FROM keyed UNION SELECT key FROM keyed UNION SELECT gh FROM keyed UNION SELECT 'zzzz')
 SELECT p.probe, c.geohash, c.city_name FROM probes p JOIN cities c ON starts_with(c.geohash, p.probe)""")
-def batch_prefix_join_all(spark, d):
+def batch_prefix_join(spark, d):
     """Of every customer the key, its first two characters and the whole hash, which mostly finds nothing."""
     probes = keyed(spark, d).select(F.explode(F.array(F.left("key", F.lit(2)), "key", "gh")).alias("probe")).unionAll(spark.range(1).select(F.lit("zzzz").alias("probe"))).distinct()
     return keys.prefix_join(probes, "probe", cities(spark, d), "geohash").select("probe", "geohash", "city_name")
@@ -208,7 +192,7 @@ def batch_prefix_join_all(spark, d):
 
 @query(f"""WITH {_CITIES}, points AS (SELECT c_custkey AS id, gh FROM hashed UNION ALL SELECT -1 - c_custkey, reverse(gh) FROM hashed)
 SELECT p.id, c.geohash FROM points p LEFT JOIN cities c ON starts_with(p.gh, c.geohash)""")
-def locate_points_all(spark, d):
+def locate_points(spark, d):
     """Every customer's own hash, and the hash reversed, which mostly lies in no city's cell, against all cities."""
     at = hashed(spark, d)
     points = at.select(F.col("c_custkey").alias("id"), "gh").unionAll(at.select(-1 - F.col("c_custkey"), F.reverse("gh")))
@@ -371,7 +355,7 @@ def packed_names(spark, d):
 
 
 def _front(spark, d):
-    return columns.front_encode(columns.positions(cities(spark, d), ["geohash"], F.left("geohash", F.lit(3))), "geohash")
+    return columns.front_encode(columns.by_key(cities(spark, d)), "geohash")
 
 
 _FRONT = f"""{_CITIES}, ordered AS (SELECT geohash, row_number() OVER (ORDER BY geohash) - 1 AS pos, coalesce(lag(geohash) OVER (ORDER BY geohash), '') AS before FROM cities),
@@ -388,10 +372,10 @@ def front_code_decode(spark, d):
     return columns.front_decode(_front(spark, d).select("pos", "shared", "suffix")).select("pos", "value")
 
 
-@query(f"WITH {_FRONT} SELECT pos, hex(chr(CAST((shared << 4) | (length(geohash) - shared) AS INTEGER)))  AS head FROM coded WHERE shared < 8")
+@query(f"WITH {_FRONT} SELECT pos, printf('%02X', CAST((shared << 4) | (length(geohash) - shared) AS INTEGER)) || hex(substr(geohash, shared + 1)) AS data FROM coded")
 def front_code_bytes(spark, d):
-    """The first byte of a coded row, in hexadecimal; below 128, where SQL can write it as a character."""
-    return columns.front_rows(_front(spark, d).where("shared < 8")).select("pos", F.hex(F.substring("data", 1, 1)).alias("head"))
+    """Every coded row's bytes, in hexadecimal."""
+    return columns.front_rows(_front(spark, d)).select("pos", F.hex("data").alias("data"))
 
 
 def _deltas(spark, d):
@@ -475,6 +459,20 @@ def verify_roundtrip(spark, d):
     return verify.mismatches(coded.select("pos", "geohash"), back, "pos", ["geohash"])
 
 
+@query("""WITH a AS (SELECT c_custkey, c_name, c_nationkey FROM customer),
+b AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS c_nationkey FROM customer)
+SELECT count(*) FILTER (WHERE b.c_custkey IS NULL) AS missing, count(*) FILTER (WHERE a.c_custkey IS NULL) AS extra,
+  count(*) FILTER (WHERE a.c_custkey = b.c_custkey AND a.c_name IS DISTINCT FROM b.c_name) AS c_name_differs,
+  count(*) FILTER (WHERE a.c_custkey = b.c_custkey AND a.c_nationkey IS DISTINCT FROM b.c_nationkey) AS c_nationkey_differs
+FROM a FULL JOIN b ON a.c_custkey = b.c_custkey""")
+def verify_corrupted(spark, d):
+    """The comparison of a table with a copy that lost, gained and changed rows."""
+    a = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    key = F.col("c_custkey")
+    b = a.select(F.when(key % 11 == 0, -key).otherwise(key).alias("c_custkey"), F.when(key % 7 != 0, F.col("c_name")).alias("c_name"), (F.col("c_nationkey") + F.when(key % 5 == 0, 1).otherwise(0)).alias("c_nationkey"))
+    return verify.mismatches(a, b, "c_custkey", ["c_name", "c_nationkey"])
+
+
 @query("SELECT 'cities' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'countries', count(*) FROM nation UNION ALL SELECT 'vocabulary', count(*) FROM part")
 def db_stats(spark, d):
     return verify.table_counts({"cities": table(spark, d, "customer"), "regions": table(spark, d, "region"), "countries": table(spark, d, "nation"), "vocabulary": table(spark, d, "part")})
@@ -524,13 +522,20 @@ def round_and_format(spark, d):
     return places(spark, d).select("c_custkey", F.round("lat", 6).alias("lat6"), text.thousands(F.col("c_custkey") * 1000).alias("shown"))
 
 
+@query("SELECT c_custkey, printf('%s (%.4f, %.4f) - %s, %s', c_name, lat, lat / 2, c_mktsegment, CAST(c_nationkey AS VARCHAR)) AS shown, printf('%.2f', lat) AS lat2, printf('%.3f', lat) AS lat3 FROM (SELECT *, CAST((c_custkey * 7919) % 17999 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(90 AS DOUBLE) AS lat FROM customer)")
+def fixed_decimals(spark, d):
+    p = places(spark, d)
+    shown = text.coordinate_label(F.col("c_name"), F.col("lat"), F.col("lat") / 2, F.col("c_mktsegment"), F.col("c_nationkey").cast("string"))
+    return p.select("c_custkey", shown.alias("shown"), text.fixed(F.col("lat"), 2).alias("lat2"), text.fixed(F.col("lat"), 3).alias("lat3"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE (o_orderkey % 200) - 100 < -90 OR (o_orderkey % 200) - 100 >= 90")
 def quarantined_coordinates(spark, d):
     lat = (F.col("o_orderkey") % 200 - 100).cast("double")
     return table(spark, d, "orders").where(~geo.valid_coordinate(lat, F.lit(0.0))).select("o_orderkey")
 
 
-@query("SELECT 'customer' AS table_name, unnest(['c_acctbal', 'c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey']) AS column_name")
+@query("SELECT 'customer' AS table_name, column_name FROM (DESCRIBE SELECT * FROM customer)")
 def schema_columns(spark, d):
     names = [f.name for f in table(spark, d, "customer").schema.fields]
     return spark.range(1).select(F.lit("customer").alias("table_name"), F.explode(F.array(*[F.lit(n) for n in names])).alias("column_name"))
@@ -546,11 +551,6 @@ def stream_enrichment(spark, d):
     return enrich.with_city(table(spark, d, "events").select("event_id", lat.alias("lat"), lon.alias("lon")), named, "lat", "lon").select("event_id", "city_name")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="atlasframe-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _dumps(spark, d) -> dict[str, DataFrame]:
     """The test tables in the dumps' layouts."""
     p = places(spark, d)
@@ -562,7 +562,7 @@ def _dumps(spark, d) -> dict[str, DataFrame]:
 
 
 def _written_dumps(spark, d) -> dict[str, str]:
-    base = _scratch(spark)
+    base = scratch.new_path(spark)
     out = {}
     for name, df in _dumps(spark, d).items():
         out[name] = f"{base}/{name}"
@@ -578,7 +578,7 @@ def tsv_scan(spark, d):
 @query(f"""WITH {_KEYED} SELECT key AS geohash, replace(c_name, ' ', '') AS city_name FROM keyed""")
 def bundle_roundtrip(spark, d):
     """Dumps to a store, the store to a bundle, the bundle read back and decoded."""
-    base = _scratch(spark)
+    base = scratch.new_path(spark)
     build.build(spark, _written_dumps(spark, d), f"{base}/store", vocab_size=300)
     build.build_bundle(spark, f"{base}/store", f"{base}/cities.bin")
     return gazetteer.Gazetteer.load_bundle(spark, f"{base}/cities.bin").table("cities").select("geohash", "city_name")
@@ -586,12 +586,72 @@ def bundle_roundtrip(spark, d):
 
 @query("SELECT count(*) AS cities, (SELECT count(*) FROM nation) AS countries, (SELECT count(DISTINCT c_nationkey || '.' || c_mktsegment) FROM customer) AS regions FROM customer")
 def bundle_header(spark, d):
-    base = _scratch(spark)
+    base = scratch.new_path(spark)
     build.build(spark, _written_dumps(spark, d), f"{base}/store", vocab_size=300)
     build.build_bundle(spark, f"{base}/store", f"{base}/cities.bin")
     return bundle.header_counts(spark, f"{base}/cities.bin").select("cities", "countries", "regions")
 
 
+def _built(spark, d) -> str:
+    """A store of the test tables and its column files; their folder."""
+    base = scratch.new_path(spark)
+    build.build(spark, _written_dumps(spark, d), f"{base}/store", vocab_size=300)
+    build.build_sections(spark, f"{base}/store", f"{base}/columns")
+    return base
+
+
+_REGIONS = "regions AS (SELECT key, row_number() OVER (ORDER BY name, key) AS id FROM (SELECT DISTINCT 'N' || c_nationkey || '.' || c_mktsegment AS key, c_mktsegment || ' ' || c_nationkey AS name FROM customer))"
+
+
+@query(f"""WITH {_KEYED}, {_REGIONS}
+SELECT row_number() OVER (ORDER BY k.key) - 1 AS pos, k.key AS geohash, CAST(r.id AS INTEGER) AS region_id, CAST(n.id AS INTEGER) AS country_id FROM keyed k
+JOIN regions r ON r.key = 'N' || c_nationkey || '.' || c_mktsegment JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_name, n_nationkey) AS id FROM nation) n ON n.n_nationkey = c_nationkey""")
+def section_files(spark, d):
+    """Three of the column files, decoded on their own and put side by side."""
+    folder = f"{_built(spark, d)}/columns"
+    out = bundle.read_section(spark, folder, "geohash").withColumnRenamed("value", "geohash")
+    for name in ("region_id", "country_id"):
+        out = out.join(bundle.read_section(spark, folder, name).withColumnRenamed("value", name), "pos")
+    return out.select("pos", "geohash", "region_id", "country_id")
+
+
+@query("SELECT unnest(['geohash', 'region_id', 'country_id', 'city_tokens', 'region_tokens', 'country_tokens']) AS name, CAST(0 AS BIGINT) AS faults")
+def section_verify(spark, d):
+    """Column files against the store they were made of: faults by column."""
+    base = _built(spark, d)
+    found = build.verify_sections(spark, f"{base}/store", f"{base}/columns")
+    return spark.createDataFrame(list(found.items()), "name string, faults long")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def sqlite_scan(spark, d):
+    """A table written to a SQLite file in the shared folder and read back in ranges of its rows."""
+    folder = scratch.new_path(spark).removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    sqlite.write_sqlite(c, f"{folder}/places.db", "customer")
+    spark.dataSource.register(sqlite.SqliteSource)
+    return spark.read.format("sqlitefile").option("table", "customer").load(f"{folder}/places.db")
+
+
+@query("SELECT c_custkey AS geonameid, c_name || ', ' || c_mktsegment || ' ' || c_nationkey || ', ' || n_name AS longname FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def fulltext_table(spark, d):
+    """The full-text table that a build writes, read back."""
+    base = scratch.new_path(spark)
+    build.build(spark, _written_dumps(spark, d), base, vocab_size=300)
+    return store.load(spark, base, "fulltext").select("geonameid", "longname")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey * 50 <= 65535 THEN printf('%04X', o_custkey * 50) END AS token, CASE WHEN o_custkey * 50 - 20000 <= 32767 THEN CAST(o_custkey * 50 - 20000 AS INTEGER) END AS step FROM orders")
+def range_guards(spark, d):
+    """What fits two bytes is coded and read back; what doesn't never gets there (it would fail)."""
+    n = F.col("o_custkey") * 50
+    token = F.when(n <= codec.MAX_TOKEN, F.hex(codec.tokens_to_blob(F.array(F.when(n <= codec.MAX_TOKEN, n).otherwise(0)))))
+    fits = n - 20000 <= 32767
+    step = codec.read_little_endian(columns.step_bytes(F.when(fits, n - 20000).otherwise(0), F.col("o_orderkey")), 0, 2, signed=True)
+    return table(spark, d, "orders").select("o_orderkey", token.alias("token"), F.when(fits, step).cast("int").alias("step"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places with their shortest unique keys and labels, those below one prefix, in key order."""
     countries, regions = dimensions(spark, sf_dir)

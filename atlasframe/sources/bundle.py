@@ -1,7 +1,7 @@
 """The single-file bundle: a header, the vocabulary, six column sections.
 
 Decoding works on a file's bytes, read by Spark's ``binaryFile`` source (any store that Spark reads)
-or by the ``citybundle`` data source (a path that Python can open).  Writing streams the rows, already
+or by the ``citybundle`` data source (a store that Arrow reads, on every worker).  Writing streams the rows, already
 encoded as bytes by expressions, in order through the driver to one file, as the format demands.
 """
 
@@ -133,14 +133,14 @@ def problems(data: bytes) -> list[str]:
 
 
 def rows(b: Bundle, table: str) -> list[tuple]:
-    """The rows of one of the tables of ``SCHEMAS``."""
+    """The rows of one of the tables of ``SCHEMAS``; region 0 is none."""
     s = b.sections
     if table == "header":
         return [b.counts]
     if table == "vocabulary":
         return b.vocabulary
     if table == "cities":
-        return list(zip(range(b.counts[1]), s["geohash"], s["region_id"], s["country_id"], s["city_tokens"], strict=True))
+        return list(zip(range(b.counts[1]), s["geohash"], (r or None for r in s["region_id"]), s["country_id"], s["city_tokens"], strict=True))
     return list(enumerate(s["region_tokens" if table == "regions" else "country_tokens"], 1))
 
 
@@ -163,11 +163,17 @@ def _arrow(table: str) -> pa.Schema:
 
 
 def header_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The header's counts by built-in expressions alone."""
-    from ..functions.codec import read_little_endian
-
-    data = spark.read.format("binaryFile").load(path)
-    return data.select(*[read_little_endian(F.col("content"), 8 + 4 * k, 4).alias(n) for k, n in enumerate(("vocabulary", "cities", "regions", "countries"))])
+    """The header's counts; no more than the header is read, whatever the file's size."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        head = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(file, HEADER_BYTES))
+    finally:
+        file.close()
+    if head[:8] != MAGIC:
+        raise BundleError(f"not a bundle: it begins with {head[:8]!r}")
+    counts = zip(("vocabulary", "cities", "regions", "countries"), struct.unpack("<4I", head[8:24]), strict=True)
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in counts])
 
 
 class CityBundleSource(DataSource):
@@ -192,7 +198,10 @@ class _BundleReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(self.path.removeprefix("file:"), "rb") as f:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+        with store.open_input_stream(path) as f:
             yield from rows(parse(f.read()), self.table)
 
 
@@ -202,21 +211,36 @@ def _create(spark: SparkSession, path: str, overwrite: bool):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
 
 
-def _section_bytes(df: DataFrame, n: int) -> bytes:
-    return struct.pack("<I", n) + b"".join(bytes(r["data"]) for r in df.orderBy("pos").select("data").toLocalIterator())
+#: Rows that a task joins before they go to the driver.
+_RUN = 65_536
+
+
+def _section_parts(df: DataFrame, n: int) -> tuple[int, Iterator[bytes]]:
+    """A section's size, and its bytes in parts: rows are joined by tasks, a run of rows each, and the
+    runs stream through the driver in order."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
+    runs = df.groupBy(F.floor(F.col("pos") / _RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("rows"))
+    joined = runs.select("run", F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["data"])), "")).alias("data"))
+
+    def parts() -> Iterator[bytes]:
+        yield struct.pack("<I", n)
+        for r in joined.orderBy("run").toLocalIterator():
+            yield bytes(r["data"])
+
+    return 4 + size, parts()
 
 
 def write_sections(spark: SparkSession, folder: str, sections: dict[str, tuple[DataFrame, int]], overwrite: bool = True) -> dict[str, int]:
     """Write each section as a file of its own; their sizes are returned."""
     sizes = {}
     for name, (df, n) in sections.items():
-        body = _section_bytes(df, n)
+        sizes[name], parts = _section_parts(df, n)
         out = _create(spark, f"{folder}/{FILES[name]}", overwrite)
         try:
-            out.write(bytearray(body))
+            for part in parts:
+                out.write(bytearray(part))
         finally:
             out.close()
-        sizes[name] = len(body)
     return sizes
 
 
@@ -268,8 +292,10 @@ def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections
             text = r["token"].encode("utf-8")
             put(struct.pack(">HB", r["token_id"], len(text)) + text)
         for name in SECTIONS:
-            body = _section_bytes(*sections[name])
-            put(struct.pack("<I", len(body)) + body)
+            size, parts = _section_parts(*sections[name])
+            put(struct.pack("<I", size))
+            for part in parts:
+                put(part)
     finally:
         out.close()
     return total

@@ -17,7 +17,7 @@ def _connect(path: str) -> sqlite3.Connection:
 
 
 class SqliteSource(DataSource):
-    """Rows of one table, dealt out by rowid."""
+    """Rows of one table or view, dealt out by ranges of rowid; the path must be one that every worker can open."""
 
     @classmethod
     def name(cls) -> str:
@@ -37,14 +37,25 @@ class _SqliteReader(DataSourceReader):
         self.path, self.table, self.schema, self.parts = path, table, schema, parts
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(self.parts)]
+        """Ranges of rowid; one part for views and tables without rowids."""
+        table = self.table.replace('"', '""')
+        with _connect(self.path) as db:
+            try:
+                low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+            except sqlite3.OperationalError:
+                low = high = None
+        if not isinstance(low, int):
+            return [InputPartition(None)]
+        step = max(1, -(-(high - low + 1) // self.parts))
+        return [InputPartition((at, at + step - 1)) for at in range(low, high + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         quoted = ", ".join('"{}"'.format(n.replace('"', '""')) for n in self.schema.names)
         convert = [float if isinstance(f.dataType, T.DoubleType) else str if isinstance(f.dataType, T.StringType) else (lambda v: v) for f in self.schema.fields]
+        table = self.table.replace('"', '""')
+        where = " WHERE rowid BETWEEN ? AND ?" if partition.value else ""
         with _connect(self.path) as db:
-            table = self.table.replace('"', '""')
-            for row in db.execute(f'SELECT {quoted} FROM "{table}" WHERE rowid % ? = ?', (self.parts, partition.value)):
+            for row in db.execute(f'SELECT {quoted} FROM "{table}"{where}', partition.value or ()):
                 yield tuple(v if v is None else f(v) for v, f in zip(row, convert, strict=True))
 
 

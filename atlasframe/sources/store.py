@@ -16,5 +16,12 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", city_
         df.write.mode(mode).parquet(f"{path}/{name}")
 
 
+def refuse_or_replace(spark: SparkSession, path: str, mode: str) -> None:
+    """FileExistsError if ``mode`` is "error" and something is at ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if mode in ("error", "errorifexists") and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise FileExistsError(f"{path} is there already")
+
+
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")

@@ -17,16 +17,17 @@ class Dump:
     rejects: DataFrame
 
 
-def read_dump(spark: SparkSession, path: str, layout: T.StructType, multi_line: bool = True) -> Dump:
+def read_dump(spark: SparkSession, path: str, layout: T.StructType, multi_line: bool = False) -> Dump:
     """Read a dump.
 
     Lines whose first field begins with ``#``, quoted or not, are no rows.  Of the rest, those with
     another number of fields are rejects, kept with their file and raw line.  Empty text fields are
-    empty strings; numbers that can't be read are null.  ``multi_line`` lets quoted fields hold line
-    ends; without it large files are split between tasks.
+    empty strings; numbers that can't be read are null.  Large files are split between tasks, which
+    takes a line for a row; ``multi_line`` lets quoted fields hold line ends, one task a file.
     """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in layout.fields] + [T.StructField("_raw", T.StringType())])
-    lines = spark.read.csv(path, schema=raw, sep="\t", quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    whole = spark.read.option("columnPruning", "false")  # else a line's fields are only counted as far as they are used
+    lines = whole.csv(path, schema=raw, sep="\t", quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     lines = lines.withColumn("_file", F.input_file_name())
     first = F.coalesce(F.col(layout.fields[0].name), F.lit(""))
     kept = lines.where(~F.startswith(first, F.lit("#")))

@@ -78,7 +78,19 @@ def test_front_and_delta_coding_round_trip(spark):
         assert [r["value"] for r in back.orderBy("pos").collect()] == words
         steps = columns.delta_encode(placed, "v", block)
         assert [r["value"] for r in columns.delta_decode(steps, block=block).orderBy("pos").collect()] == [i * 7 % 1000 for i in range(len(words))]
+    for part in (7, 50):  # parts change nothing
+        coded = columns.front_encode(placed, "w", part=part)
+        assert sorted(map(tuple, coded.collect())) == sorted(map(tuple, columns.front_encode(placed, "w").collect()))
+        assert [r["value"] for r in columns.front_decode(coded.select("pos", "shared", "suffix"), part=part).orderBy("pos").collect()] == words
+        steps = columns.delta_encode(placed, "v", part=part)
+        assert [r["delta"] for r in steps.orderBy("pos").collect()] == [i * 7 % 1000 - (i - 1) * 7 % 1000 if i else 0 for i in range(len(words))]
+        assert [r["value"] for r in columns.delta_decode(steps, part=part).orderBy("pos").collect()] == [i * 7 % 1000 for i in range(len(words))]
     assert columns.unsorted_rows(placed, "w", "pos").first()[0] == 0
+    shuffled = words[:]
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame(list(enumerate(shuffled)), "at int, w string").repartition(5)
+    assert columns.unsorted_rows(df, "w", "at").first()[0] == sum(b < a for a, b in zip(shuffled, shuffled[1:]))
+    assert columns.unsorted_rows(df.limit(0), "w", "at").first()[0] == 0
 
 
 @pytest.mark.parametrize(("words", "ok"), [(["a" * 15, "a" * 15 + "b" * 15], True), (["a" * 16], False), (["a" * 15, "a" * 15 + "b", "a" * 15 + "b" + "c"], False)])
@@ -153,6 +165,27 @@ def test_bpe_matches_public_library():
     assert all(vocabulary.encode_word(n) == library.encode(n).ids for n in names)
 
 
+def test_learning_is_bounded(spark):
+    df = spark.createDataFrame([("aa bb",), ("aa cc",)], "name string")
+    with pytest.raises(ValueError, match="raise least"):
+        bpe.learn(df, most_words=2)
+    assert bpe.learn(df, least=2, most_words=2).tokens == ("<unk>", "a", "aa")
+
+
+def test_learned_vocabulary_of_a_corpus_matches_public_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    rng = random.Random(4)
+    names = [" ".join("".join(rng.choice("abcdeéñ-'") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    library = tokenizers.Tokenizer(tokenizers.models.BPE())
+    library.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    library.train_from_iterator(names, tokenizers.trainers.BpeTrainer(special_tokens=["<unk>"], vocab_size=150, show_progress=False))
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string").repartition(4)
+    vocabulary = bpe.learn(df, vocab_size=150)
+    assert {t: k for k, t in enumerate(vocabulary.tokens)} == library.get_vocab()
+    got = {r["id"]: r["ids"] for r in df.select("id", bpe.encode(vocabulary, F.col("name")).alias("ids")).collect()}
+    assert all(got[i] == library.encode(n).ids for i, n in enumerate(names))
+
+
 def test_tokenized_table(spark):
     df = spark.createDataFrame([(1, "New York"), (2, "Yorkshire")], "id int, city_name string")
     vocabulary = bpe.learn(df, "city_name", 40)
@@ -169,6 +202,9 @@ def test_prefix_join_and_locate(spark):
     probes = spark.createDataFrame([("u1",), ("",), ("x",), ("u1a",)], "p string")
     got = sorted((r["p"], r["geohash"]) for r in keys.prefix_join(probes, "p", cities, "geohash").collect())
     assert got == sorted((p, c) for p in ("u1", "", "x", "u1a") for c in ("u1a", "u1b", "s") if c.startswith(p))
+    long = spark.createDataFrame([("u4pruydqqvj8_123456789012345678",), (None,)], "geohash string")
+    probes = spark.createDataFrame([("u4pruydqqvj8_1234567890123456",)], "p string")
+    assert keys.prefix_join(probes, "p", long, "geohash").count() == 1
     points = spark.createDataFrame([(1, "u1aaaa"), (2, "zzz"), (3, "s12"), (4, None)], "id int, gh string")
     assert {r["id"]: r["geohash"] for r in keys.locate(points, "gh", cities, "geohash").collect()} == {1: "u1a", 2: None, 3: "s", 4: None}
 

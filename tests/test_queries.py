@@ -38,9 +38,16 @@ def test_entry(spark):
 
 def test_every_customer_is_a_probe(spark, db):
     n = db.sql("select count(*) from customer").fetchall()[0][0]
-    assert QUERIES["batch_lookup_join_all"](spark, SF).select("id").distinct().count() == n
-    assert QUERIES["probe_hit_count_all"](spark, SF).first()["probes"] == n
-    assert QUERIES["batch_prefix_join_all"](spark, SF).select("geohash").distinct().count() == n
-    found = QUERIES["locate_points_all"](spark, SF).collect()
+    assert QUERIES["batch_lookup_join"](spark, SF).select("id").distinct().count() == n
+    assert QUERIES["probe_hit_count"](spark, SF).first()["probes"] == n
+    assert QUERIES["batch_prefix_join"](spark, SF).select("geohash").distinct().count() == n
+    found = QUERIES["locate_points"](spark, SF).collect()
     assert len(found) == 2 * n and sum(r["geohash"] is not None for r in found) >= n
     assert any(r["geohash"] is None for r in found)
+    invented = QUERIES["invented_key_probes"](spark, SF).collect()
+    assert len(invented) == 2 * n and all(r["city_name"] for r in invented if r["id"] < 0) and any(r["city_name"] is None for r in invented)
+
+
+def test_point_lookup_reaches_the_scan(spark):
+    plan = QUERIES["point_lookup"](spark, SF)._jdf.queryExecution().toString()
+    assert "EqualTo(geohash," in plan and "ReadSchema: struct<geohash:string,city_name:string,country_id:" in plan

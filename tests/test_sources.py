@@ -178,6 +178,54 @@ def test_sqlite_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_sqlite_views_and_tables_without_rowids(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "y.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (k TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID")
+        db.execute("CREATE TABLE e (n INTEGER)")
+        db.execute("CREATE TABLE far (n INTEGER)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(f"k{i}", i) for i in range(20)])
+        db.executemany("INSERT INTO far (rowid, n) VALUES (?, ?)", [(-5, 1), (0, 2), (10**6, 3)])
+        db.execute("CREATE VIEW v AS SELECT n FROM t WHERE n > 4")
+    spark.dataSource.register(sqlite.SqliteSource)
+    read = lambda t: sorted(r["n"] for r in spark.read.format("sqlitefile").option("table", t).load(path).collect())
+    assert read("t") == list(range(20)) and read("v") == list(range(5, 20)) and read("e") == [] and read("far") == [1, 2, 3]
+
+
+def test_places_without_a_region_go_through_the_bundle(spark, dumps, tmp_path):
+    build(spark, dumps, f"{tmp_path}/store", vocab_size=120, require_region=False)
+    build_bundle(spark, f"{tmp_path}/store", f"{tmp_path}/cities.bin")
+    rows = {r["city_name"]: r["region_id"] for r in Gazetteer.load_bundle(spark, f"{tmp_path}/cities.bin").table("cities").collect()}
+    assert len(rows) == 4 and rows["NoRegion"] is None and None not in {v for k, v in rows.items() if k != "NoRegion"}
+    build_sections(spark, f"{tmp_path}/store", f"{tmp_path}/columns")
+    assert set(verify_sections(spark, f"{tmp_path}/store", f"{tmp_path}/columns").values()) == {0}
+
+
+def test_command_line(spark, dumps, built, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr("atlasframe.__main__.session", lambda: spark)
+    store = f"{tmp_path}/store"
+    args = ["build", dumps["country"], dumps["geoname"], dumps["admin1"], store, "--vocab-size", "50"]
+    assert main(args) == 0 and main(args) == 1 and "nothing is changed" in capsys.readouterr().out
+    assert main([*args, "--overwrite"]) == 0
+    assert main(["tokenize", store, f"{tmp_path}/csv", "--keep-original", "--token-format", "csv"]) == 0
+    cities = spark.read.parquet(f"{tmp_path}/csv/cities")
+    assert {"city_name", "city_name_tokens"} <= set(cities.columns) and dict(cities.dtypes)["city_name_tokens"] == "string"
+    assert main(["tokenize", store, f"{tmp_path}/blob"]) == 0
+    assert dict(spark.read.parquet(f"{tmp_path}/blob/cities").dtypes)["city_name_tokens"] == "binary"
+    assert main(["columns", store, f"{tmp_path}/columns", "--verify"]) == 0 and main(["decode", f"{tmp_path}/columns"]) == 0
+    assert "geohash: 3" in capsys.readouterr().out
+
+
+def test_header_alone_is_read(spark, tmp_path):
+    (tmp_path / "head.bin").write_bytes(packed(**TWO)[:32])  # what follows is cut off
+    assert bundle.header_counts(spark, str(tmp_path / "head.bin")).first().asDict() == {"vocabulary": 2, "cities": 2, "regions": 1, "countries": 2}
+    (tmp_path / "bad.bin").write_bytes(bytes(40))
+    with pytest.raises(bundle.BundleError):
+        bundle.header_counts(spark, str(tmp_path / "bad.bin"))
+
+
 def test_stream_meets_gazetteer(spark, built, tmp_path):
     cities = Gazetteer.load(spark, f"{built[0]}/store").table("cities").select("geohash", "city_name")
     events = spark.createDataFrame([(k, f"2024-01-01 00:0{k}:00", 40.71, -74.0) for k in range(3)] + [(9, "2024-01-01 00:09:00", -80.0, -170.0)], "id int, ts string, lat double, lon double")
