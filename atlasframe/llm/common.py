@@ -1,51 +1,26 @@
 """Helpers that several training-data operators share.
 
 Scratch tables: what an operator must read twice, or must cut from its lineage, is written as
-Parquet below the folder that the session names in ``spark.checkpoint.dir``, which every executor
-can reach.  A folder of this machine stands in only where the master is local (tests, a laptop).
+Parquet to the folder that the driver and all executors share (see ``atlasframe.scratch``).
 """
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Paths written by this process, deleted at its end.
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; an error on a cluster that names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="atlasframe-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+from .. import scratch
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: later uses don't compute it again,
     and a lost executor costs no more than the tasks it ran."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_delete_all)
-    _written.append(path)
+    path = scratch.new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,18 +28,8 @@ def written(df: DataFrame) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the scratch table behind ``df``, once nothing reads it any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        for path in [p for p in _written if file.endswith(p.rsplit("/", 1)[1])]:
-            _delete(df.sparkSession, path)
-            _written.remove(path)
-
-
-def _delete_all() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _written if spark is not None else ():
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+        for path in [p for p in scratch.given() if file.endswith(p.rsplit("/", 1)[1])]:
+            scratch.forget(df.sparkSession, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
