@@ -1,6 +1,5 @@
 """Packing, sharding, mixing, top-k, near-duplicates and the pipeline against brute force."""
 
-import os
 import random
 import zlib
 from itertools import combinations
@@ -9,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from atlasframe import scratch
 from atlasframe.llm import common, graph, mixing, neardup, packing, sharding, simhash, topk
 from atlasframe.llm.queries import tokenizer_path
 
@@ -102,6 +102,35 @@ def test_sharding(spark, rows, hot):
         assert together >= 0.7 * sum(len(g) * (len(g) - 1) // 2 for g in linked if len(g) < 12)
 
 
+def test_sharding_cuts_no_more_than_plain_propagation(spark):
+    """Cut links against label propagation row by row under the same quotas."""
+    rng = random.Random(6)
+    texts = [f"g{g}" for g in range(50) for _ in range(rng.choice([2, 2, 3, 3, 4, 6, 9, 14]))]
+    rng.shuffle(texts)
+    shards, n = 6, len(texts)
+    quota = [n // shards + (j < n % shards) for j in range(shards)]
+    label = [i % shards for i in range(n)]
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, []).append(i)
+    for _ in range(6):
+        for i in range(n):
+            near = [sum(label[j] == s for j in groups[texts[i]] if j != i) for s in range(shards)]
+            for s in sorted(range(shards), key=lambda s: -near[s]):
+                if near[s] <= near[label[i]]:
+                    break
+                if sum(x == s for x in label) < quota[s]:
+                    label[i] = s
+                    break
+    cut = lambda of: sum(of[a] != of[b] for g in groups.values() for a, b in combinations(g, 2))
+    out = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards).collect()}
+    assert sorted(sum(x == s for x in out.values()) for s in range(shards)) == sorted(quota)
+    assert cut(out) <= cut(label)
+    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (1, "a"), (2, "b" * 200_000), (3, None)], "doc_id long, text string")
+    placed = sharding.shard(odd, 3).collect()
+    assert sorted(r["shard"] for r in placed) == [0, 0, 1, 1, 2, 2] and {r["size"] for r in placed if r["doc_id"] == 2} == {200_008}
+
+
 def filled(sizes, weights, share=1.5, repeats=2):
     """Targets by resharing the excess until none is above its cap."""
     target, fixed = {}, set()
@@ -323,7 +352,7 @@ def test_scratch_needs_a_shared_folder():
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(Session())
+        scratch.shared_dir(Session())
 
 
 def test_running_sums(spark):
@@ -339,24 +368,90 @@ def test_running_sums(spark):
 
 
 def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("no test tables here")
-    import corpus_pipeline
+    """Every stage against plain Python, each on what the stage before it kept."""
+    import hashlib
+    import math
+
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    spiked = docs.limit(150).union(spark.createDataFrame([(10**6, "123 !!", None, "s", 6), (10**6 + 1, docs.first()["text"], None, "s", 1)], docs.schema))
-    seen = [spiked]
+    import corpus_pipeline
+    from atlasframe.llm import langid
+
+    from .test_text_operators import naive_dedup
+
+    rng = random.Random(21)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k, letters in (("en", "abcdefghi"), ("fr", "éàçlmnopq"))}
+    say = lambda k, n: "\n".join(" ".join(rng.choice(words[k]) for _ in range(rng.randrange(5, 14))) for _ in range(n))
+    rows = [(i, say(k, rng.randrange(1, 25)), k if i % 5 else None, rng.choice("abc")) for i, k in enumerate(["en", "fr"] * 60)]
+    shared = say("en", 9)
+    rows += [(200 + i, f"{say('en', 6)}\n{shared}\n{say('en', 3)}", "en", "a") for i in range(4)]
+    rows += [(300 + i, rows[i][1].replace(rows[i][1].split()[0], "changed", 1), "en", "b") for i in range(0, 40, 2)]
+    rows += [(400, "Привет мир", None, "a"), (401, "123 !!", None, "a"), (402, None, "en", "c"), (403, "", "en", "c"), (404, rows[3][1], "fr", None), (None, say("fr", 12), "fr", "b"), (404, rows[3][1], "fr", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema).repartition(5)
+    seen = [docs]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        seen.append(common.written(stage(spark, seen[-1], sf)))
-        assert k == 4 or seen[-1].columns == columns
-    ids = [{r["doc_id"] for r in df.select("doc_id").collect()} for df in seen]
-    assert ids[0] - ids[1] == {10**6}  # nothing but the one without letters
-    assert 10**6 + 1 not in ids[3] and ids[3] <= ids[2] <= ids[1]
+        seen.append(common.written(stage(spark, seen[-1], "")))
+        assert k == 4 or seen[-1].columns == docs.columns
+    bag = lambda df: sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=str)
+
+    learned = langid.learn(docs.where("doc_id is null or crc32(cast(doc_id as string)) % 3 != 1"))
+    parsed = [(*r, learned.predict(r[1])) for r in rows]
+    want = [(i, t, lang or p[0], source) for i, t, lang, source, p in parsed if p[2]]
+    assert bag(seen[1]) == sorted(want, key=str) and {400, 401, 402, 403} & {r[0] for r in want} == set()
+
+    once = list(dict.fromkeys(want))  # a repeated row is a later repeat of the first, and long enough here
+    lines = naive_dedup([(r[0], r[1]) for r in once], 50)
+    left = [(i, lines[i], lang, source) for i, _, lang, source in once]
+    left = [r for r in left if r[1].strip() or not dict((x[0], x[1]) for x in once)[r[0]].strip()]
+    assert bag(seen[2]) == sorted(left, key=str) and len(left) < len(once)
     assert all(r["n_chars"] == len(r["text"]) for r in seen[2].collect())
-    prints = [simhash.fingerprint(r["text"]) for r in seen[3].collect()]
-    assert all(bin(a ^ b).count("1") > 3 for a, b in combinations(prints, 2))
-    words = lambda df: sum(len(r["text"].split()) for r in df.select("text").collect())
-    assert abs(words(seen[4]) / words(seen[3]) - 1.5) < 0.1
-    assert {r["doc_id"] for r in seen[5].collect()} == ids[4]
+
+    tokens = [(r[1] or "").lower().split() for r in left]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in tokens]
+    parent = list(range(len(left)))
+    find = lambda a: a if parent[a] == a else find(parent[a])
+    order = sorted(range(len(left)), key=lambda k: (left[k][0] is None, left[k][0] or 0))
+    place = {k: n for n, k in enumerate(order)}
+    for a, b in combinations(range(len(left)), 2):
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)), key=place.get)
+            parent[y] = x
+    kept = [left[k] for k in range(len(left)) if find(k) == k]
+    assert bag(seen[3]) == sorted(kept, key=str) and len(kept) < len(left)
+
+    sources = sorted({r[3] for r in kept}, key=lambda s: (s is None, s))
+    size = lambda t: len((t or "").split())
+    sizes = {s: sum(size(r[1]) for r in kept if r[3] == s) for s in sources}
+    target = filled(sizes, dict(zip(sources, (5, 2, 1) * 2)))
+    mixed = []
+    for s in sources:
+        at = 0
+        for r in sorted((r for r in kept if r[3] == s), key=lambda r: hashlib.md5(str(r[0] if r[0] is not None else "").encode()).hexdigest()):
+            n = size(r[1])
+            passes = math.floor((target[s] - at - n / 2) / sizes[s]) + 1 if n else 0
+            mixed += [r] * max(0, min(2, passes))
+            at += n
+    assert bag(seen[4]) == sorted(mixed, key=str) and len(mixed) > len(kept)
+
+    library = Tokenizer.from_file(tokenizer_path())
+    pieces = []
+    for r in mixed:
+        total = len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1
+        pieces += [(r[0], at, min(2048, total - at)) for at in range(0, total, 2048)]
+    packed = seen[5].collect()
+    assert sorted(((r["doc_id"], r["start"], r["length"]) for r in packed), key=str) == sorted(pieces, key=str)
+    filled_to = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled_to.get(r["sequence_id"], 0)
+        filled_to[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled_to.values()) <= 2048 and len(filled_to) <= -(-sum(filled_to.values()) // 2048) + 1
+
+
+def test_pipeline_on_nothing(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, ""))
+    assert docs.count() == 0 and "sequence_id" in docs.columns

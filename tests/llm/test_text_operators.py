@@ -167,6 +167,10 @@ def test_license_scan(spark):
             parts[at:at] = told
         docs.append((i, " ".join(parts)))
     docs += [(100, None), (101, ""), (102, "ALL RIGHTS\nRESERVED"), (103, "all rights")]
+    for i, t in enumerate((licenses.TEMPLATES["mit"], licenses.TEMPLATES["bsd_2_clause"])):  # whole, at any place, and with every tenth word lost
+        told = t.split()
+        docs += [(200 + 10 * i + k, " ".join(["x"] * k * 37 + told + ["y"] * 50)) for k in range(5)]
+        docs += [(206 + 10 * i, " ".join(w for at, w in enumerate(told) if at % 10)), (207 + 10 * i, " ".join(w for at, w in enumerate(told) if at % 60))]
 
     def shingles(text, k):
         w = [x for x in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (text or "").translate({c: c + 32 for c in range(65, 91)})).split()]
@@ -188,6 +192,8 @@ def test_license_scan(spark):
     df = spark.createDataFrame([(i, t, "h") for i, t in docs], "doc_id long, text string, h string")
     got = {(r["doc_id"], r["template_id"], r["matched"], r["shingles"]) for r in licenses.scan(df, templates).collect()}
     assert got == want and (102, "all_rights_reserved", 1, 1) in got
+    named = {(i, name) for i, name, _, _ in got}
+    assert all((200 + k, "mit") in named and (210 + k, "bsd_2_clause") in named for k in (0, 1, 2, 3, 4, 7)) and (206, "mit") not in named
     assert licenses.scan(df.limit(0), templates).count() == 0
     assert licenses.scan(df, templates.limit(0)).count() == 0
 
