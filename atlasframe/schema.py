@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_KINDS = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType()}
 
-def _layout(text: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType(), "i": T.IntegerType(), "b": T.BinaryType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for name, _, kind in (part.partition(":") for part in text.split())])
+
+def _layout(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in columns.items()])
 
 
 # Field names and order of the public gazetteer dumps.
 GEONAME = _layout(
-    "geonameid:l name:s asciiname:s alternatenames:s latitude:d longitude:d fclass:s fcode:s country:s cc2:s "
-    "admin1:s admin2:s admin3:s admin4:s population:l elevation:l gtopo30:l timezone:s moddate:s"
+    geonameid="bigint", name="string", asciiname="string", alternatenames="string", latitude="double",
+    longitude="double", fclass="string", fcode="string", country="string", cc2="string",
+    admin1="string", admin2="string", admin3="string", admin4="string", population="bigint",
+    elevation="bigint", gtopo30="bigint", timezone="string", moddate="string",
 )
-ADMIN1 = _layout("key:s name:s asciiname:s geonameid:l")
+ADMIN1 = _layout(key="string", name="string", asciiname="string", geonameid="bigint")
 COUNTRY = _layout(
-    "ISO:s ISO3:s IsoNumeric:s fips:s Country:s Capital:s Area:d Population:l Continent:s tld:s CurrencyCode:s "
-    "CurrencyName:s Phone:s PostalCodeFormat:s PostalCodeRegex:s Languages:s geonameid:l neighbours:s EquivalentFipsCode:s"
+    ISO="string", ISO3="string", IsoNumeric="string", fips="string", Country="string",
+    Capital="string", Area="double", Population="bigint", Continent="string", tld="string",
+    CurrencyCode="string", CurrencyName="string", Phone="string", PostalCodeFormat="string", PostalCodeRegex="string",
+    Languages="string", geonameid="bigint", neighbours="string", EquivalentFipsCode="string",
 )
 DUMPS = {"geoname": GEONAME, "admin1": ADMIN1, "country": COUNTRY}
 
-COUNTRIES = _layout("country_id:i country_name:s")
-REGIONS = _layout("region_id:i region_name:s")
-CITIES = _layout("geohash:s city_name:s region_id:i country_id:i")
-VOCABULARY = _layout("token_id:i token:s")
+COUNTRIES = _layout(country_id="int", country_name="string")
+REGIONS = _layout(region_id="int", region_name="string")
+CITIES = _layout(geohash="string", city_name="string", region_id="int", country_id="int")
+VOCABULARY = _layout(token_id="int", token="string")
