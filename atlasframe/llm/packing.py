@@ -56,7 +56,7 @@ class _Chunks(dict):
         if ids is None:
             shown = word.encode().decode("latin-1").translate(self.chars)
             ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-            if len(self.words) < CACHE_ENTRIES:
+            if len(self.words) < CACHE_ENTRIES and len(word) < 64:
                 self.words[word] = ids
         return ids
 
