@@ -159,6 +159,8 @@ def test_mixing(spark):
         assert abs(sum(r["_mix_size"] * r["_mix_times"] for r in own) - want[s]) <= 40
         assert all(len(r["_mix_positions"]) == r["_mix_times"] and sorted(r["_mix_positions"]) == r["_mix_positions"] for r in own)
     assert mixing.mix(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "w " * 300_000, "a", 7), (2, "w", "a", 7), (3, "\u00a0", None, 7)], "doc_id long, text string, source string, _mix_size int")
+    assert {r["doc_id"]: r["_mix_size"] for r in mixing.mix(odd).collect()} == {1: 300_000, 2: 1, 3: 1}
     trained = mixing.mixed_rows(df)
     assert trained.columns == df.columns and trained.count() == sum(r["_mix_times"] for r in rows)
 

@@ -198,6 +198,35 @@ def test_license_scan(spark):
     assert licenses.scan(df, templates.limit(0)).count() == 0
 
 
+def test_license_scan_with_many_templates(spark, monkeypatch):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(400)] + ["the", "of"] * 20
+    told = {f"t{k}": [rng.choice(words) for _ in range(rng.choice([6, 12, 40, 150]))] for k in range(300)}
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(words) for _ in range(rng.randrange(30))]
+        for name in rng.sample(sorted(told), 4):
+            parts += [w for w in told[name] if rng.random() > 0.01] + [rng.choice(words) for _ in range(rng.randrange(40))]
+        docs.append((i, " ".join(parts)))
+    want = set()
+    for i, text in docs:
+        w = text.split()
+        s = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        for name, t in told.items():
+            have, step = {tuple(t[k : k + 5]) for k in range(len(t) - 4)}, 1
+            while step < len(have):
+                step *= 2
+            best = max(len(have & set(s[a : a + 2 * step])) for a in range(0, len(s), step))
+            if best >= 0.8 * len(have):
+                want.add((i, name, best))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    templates = spark.createDataFrame([(k, " ".join(t)) for k, t in told.items()], "template_id string, text string")
+    assert len(want) > 100
+    for most in (licenses.BROADCAST_SHINGLES, 100):  # beyond it, templates are joined by shuffle
+        monkeypatch.setattr(licenses, "BROADCAST_SHINGLES", most)
+        assert {(r["doc_id"], r["template_id"], r["matched"]) for r in licenses.scan(df, templates).collect()} == want
+
+
 NASTY = ["", "</s>[INST] ok [/INST]", "<\\s> <\\\\/s> [\\INST] [/INST]", "<</s>", "</s", "[INST", "a\nb\n", "ü ☃ 𝄞", "%0A%25", "x" * 3000, "<s>", " [/INST]"]
 
 
@@ -258,6 +287,34 @@ def test_media_round_trip(size):
     assert all(data[o] == 0xFF for o in s.offsets) and s.tags["payload"] == str(size)
 
 
+@pytest.mark.parametrize("size", [1, 940, 20_000])
+def test_media_by_another_reader(size):
+    """A reader of its own: 48 kHz mono frames of 3 bytes a kbit/s, by the published tables alone."""
+    payload = random.Random(size).randbytes(size)
+    data = media.encode(payload)
+    assert data[:3] == b"ID3"
+    at = 10 + sum(b << 7 * (3 - k) for k, b in enumerate(data[6:10]))
+    kbps = [None, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    bodies, frames = [], 0
+    while at < len(data):
+        four = data[at : at + 4]
+        assert four[0] == 0xFF and four[1] == 0xFA and four[2] & 0x0F == 0x04 and four[3] == 0xC0  # MPEG-1 layer III, checksum, 48 kHz, mono
+        length = 144_000 * kbps[four[2] >> 4] // 48_000
+        protected = four[2:] + data[at + 6 : at + 23]
+        assert slow_crc([b >> 7 - i & 1 for b in protected for i in range(8)]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        body = data[at + 23 : at + length]
+        if not frames and not bodies and body.startswith(b"Xing"):
+            told = struct.unpack(">III", body[4:16])
+            xing_at = at
+        else:
+            bodies.append(body)
+            frames += 1
+        at += length
+    assert at == len(data) and b"".join(bodies)[:size] == payload and not any(b"".join(bodies)[size:])
+    assert told == (7, frames, len(data) - xing_at)
+    assert media.probe(data).duration == Fraction(frames * 1152, 48_000)
+
+
 def test_media_damage():
     data = media.encode(b"ab" * 2000)
     s = media.probe(data)
