@@ -105,11 +105,13 @@ def _matches(found: DataFrame) -> DataFrame:
     places = found.select("rid", F.posexplode("places").alias("nth", "least"))
     place = F.xxhash64("rid", "nth")
     twice = places.groupBy("least").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("least")
+    twice = written(twice)  # read back, so that a join with a hot hash can be split
     matched = places.join(twice, "least", "left_semi").groupBy("rid").agg(F.collect_set("nth").alias("matched"))
     brought = F.flatten(F.transform("matched", lambda nth: F.get("windows", nth)))
     spans = found.join(matched, "rid").select("id", "rid", F.explode(brought).alias("w")).select("id", "rid", "w.*")
     placed = spans.withColumn("place", F.struct(F.col("id").isNull().alias("n"), "id", "rid", "begin"))
     firsts = placed.groupBy("window").agg(F.min("place").alias("source"), F.max("place").alias("final")).where("source < final").select("window", "source")
+    firsts = written(firsts)
     seeds = placed.join(firsts, "window").where("place > source").select("rid", "first", "last", "begin", "end", "source", (F.col("begin") - F.col("source.begin")).alias("shift"))
     same_way = Window.partitionBy("rid").orderBy("source.rid", "shift", "begin", "end").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("rid", "source.rid", "shift").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
