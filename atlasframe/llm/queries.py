@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, linededup, media, mixing, packing, sharding, simhash, topk
+from . import chat, langid, licenses, linededup, media, mixing, packing, periodic, sharding, simhash, tokencount, topk, whitening
 from .common import written
 
 
@@ -107,6 +107,45 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and whether these are over 2048."""
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
+def repeating_documents(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where each document whose id's crc32 ends in 0 is made to repeat its words from some place on.
+    Documents without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    sized = split.select("*", F.when(F.col("words").isNotNull() & (F.size("words") > 0), F.size("words")).alias("n"))
+    placed = sized.select("*", (F.col("g") % F.col("n")).cast("int").alias("a"))
+    dealt = placed.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    repeated = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return dealt.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(repeated).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, and the text without the repetitions."""
+    found = periodic.collapse_runs(repeating_documents(_table(spark, sf_dir, "documents")))
+    better = lambda best, r: F.when(best["length"].isNull() | (r["length"].cast("decimal(19,0)") * best["period"] > best["length"].cast("decimal(19,0)") * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    digest = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.aggregate("runs", none, better).alias("best"), F.sha2(digest, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exact = F.expr("1000 * best.length div best.period")
+    return best.select("doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"), exact.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's coordinates along the 16 largest components of the distinct vectors, each of variance one."""
+    vectors = whitening.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    rows = whitening.whiten(vectors, whitening.fit(vectors, 16))
+    each = rows.select(F.col("id").alias("vec_id"), "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("_at", "whitened"))
+    return each.select("vec_id", (F.col("_at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("_at")).alias("explained"), "identity_error")
+
+
 def _license_sql() -> str:
     """The scan without bands: the same windows, each held against every template."""
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
@@ -143,6 +182,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
