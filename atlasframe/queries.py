@@ -551,9 +551,9 @@ def stream_enrichment(spark, d):
     return enrich.with_city(table(spark, d, "events").select("event_id", lat.alias("lat"), lon.alias("lon")), named, "lat", "lon").select("event_id", "city_name")
 
 
-def _dumps(spark, d) -> dict[str, DataFrame]:
+def _dumps(spark, d, places_of: DataFrame | None = None) -> dict[str, DataFrame]:
     """The test tables in the dumps' layouts."""
-    p = places(spark, d)
+    p = places_of or places(spark, d)
     text_or = lambda layout, known: [known.get(f.name, F.lit("")).cast(f.dataType if f.name in known else "string").alias(f.name) for f in layout.fields]
     g = {"geonameid": F.col("c_custkey"), "name": F.col("c_name"), "asciiname": F.col("c_name"), "latitude": F.col("lat"), "longitude": F.col("lon"), "fclass": F.lit("P"), "country": F.concat(F.lit("N"), F.col("c_nationkey")), "admin1": F.col("c_mktsegment"), "population": F.abs("c_acctbal").cast("long") + 1}
     a = p.select(F.concat(F.lit("N"), F.col("c_nationkey"), F.lit("."), F.col("c_mktsegment")).alias("key"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("name")).distinct()
@@ -561,18 +561,35 @@ def _dumps(spark, d) -> dict[str, DataFrame]:
     return {"geoname": p.select(*text_or(schema.GEONAME, g)), "admin1": a.select("key", "name", F.col("name").alias("asciiname"), F.lit("1").alias("geonameid")), "country": table(spark, d, "nation").select(*text_or(schema.COUNTRY, c))}
 
 
-def _written_dumps(spark, d) -> dict[str, str]:
+def _written_dumps(spark, d, places_of: DataFrame | None = None) -> dict[str, str]:
     base = scratch.new_path(spark)
     out = {}
-    for name, df in _dumps(spark, d).items():
+    for name, df in _dumps(spark, d, places_of).items():
         out[name] = f"{base}/{name}"
         df.write.csv(out[name], sep="\t", quote='"', escape='"', emptyValue="")
     return out
 
 
-@query("SELECT c_custkey AS geonameid, c_name AS name, c_mktsegment AS admin1 FROM customer")
+@query("""SELECT c_custkey AS geonameid, c_name || CASE WHEN c_custkey % 5 = 0 THEN chr(10) || '"' || c_mktsegment || '"' || chr(9) || 'end' ELSE '' END AS name, c_mktsegment AS admin1 FROM customer""")
 def tsv_scan(spark, d):
-    return tsv.read_dump(spark, _written_dumps(spark, d)["geoname"], schema.GEONAME).rows.select("geonameid", "name", "admin1")
+    """Every fifth name holds a line end, quotes and a tab."""
+    more = F.concat(F.lit('\n"'), "c_mktsegment", F.lit('"\tend'))
+    named = places(spark, d).withColumn("c_name", F.concat("c_name", F.when(F.col("c_custkey") % 5 == 0, more).otherwise("")))
+    return tsv.read_dump(spark, _written_dumps(spark, d, named)["geoname"], schema.GEONAME).rows.select("geonameid", "name", "admin1")
+
+
+@query("""SELECT c_nationkey, n AS "row", 2 AS fields, c_custkey || chr(9) || CASE WHEN c_custkey % 5 = 0 THEN '"' || c_name || chr(10) || chr(10) || repeat('"', 2) || 'x' || repeat('"', 3) ELSE c_name END AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) WHERE c_custkey % 7 = 0 AND c_custkey % 11 > 0""")
+def tsv_rejects(spark, d):
+    """A file for each nation; every seventh row lacks a field, every eleventh is a comment, every fifth holds line ends."""
+    base = scratch.new_path(spark)
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.concat(F.lit('"'), "c_name", F.lit('\n\n""x"""'))).otherwise(F.col("c_name"))
+    line = F.concat_ws("\t", F.concat(F.when(key % 11 == 0, "#").otherwise(""), key), name, F.when(key % 7 != 0, F.col("c_mktsegment")))
+    rows = table(spark, d, "customer").select("c_nationkey", "c_custkey", line.alias("value")).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(base)
+    rejects = tsv.read_dump(spark, base, schema.layout(key="bigint", name="string", segment="string")).rejects
+    return rejects.select(F.regexp_extract("file", r"c_nationkey=(\d+)", 1).cast("long").alias("c_nationkey"), "row", "fields", "line")
 
 
 @query(f"""WITH {_KEYED} SELECT key AS geohash, replace(c_name, ' ', '') AS city_name FROM keyed""")

@@ -7,19 +7,19 @@ from pyspark.sql import types as T
 _KINDS = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType()}
 
 
-def _layout(**columns: str) -> T.StructType:
+def layout(**columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in columns.items()])
 
 
 # Field names and order of the public gazetteer dumps.
-GEONAME = _layout(
+GEONAME = layout(
     geonameid="bigint", name="string", asciiname="string", alternatenames="string", latitude="double",
     longitude="double", fclass="string", fcode="string", country="string", cc2="string",
     admin1="string", admin2="string", admin3="string", admin4="string", population="bigint",
     elevation="bigint", gtopo30="bigint", timezone="string", moddate="string",
 )
-ADMIN1 = _layout(key="string", name="string", asciiname="string", geonameid="bigint")
-COUNTRY = _layout(
+ADMIN1 = layout(key="string", name="string", asciiname="string", geonameid="bigint")
+COUNTRY = layout(
     ISO="string", ISO3="string", IsoNumeric="string", fips="string", Country="string",
     Capital="string", Area="double", Population="bigint", Continent="string", tld="string",
     CurrencyCode="string", CurrencyName="string", Phone="string", PostalCodeFormat="string", PostalCodeRegex="string",
@@ -27,7 +27,7 @@ COUNTRY = _layout(
 )
 DUMPS = {"geoname": GEONAME, "admin1": ADMIN1, "country": COUNTRY}
 
-COUNTRIES = _layout(country_id="int", country_name="string")
-REGIONS = _layout(region_id="int", region_name="string")
-CITIES = _layout(geohash="string", city_name="string", region_id="int", country_id="int")
-VOCABULARY = _layout(token_id="int", token="string")
+COUNTRIES = layout(country_id="int", country_name="string")
+REGIONS = layout(region_id="int", region_name="string")
+CITIES = layout(geohash="string", city_name="string", region_id="int", country_id="int")
+VOCABULARY = layout(token_id="int", token="string")

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Paths given out by this process, deleted at its end.
 _given: list[str] = []
@@ -37,6 +37,14 @@ def new_path(spark: SparkSession) -> str:
     return _given[-1]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later uses don't compute it again."""
+    spark = df.sparkSession
+    path = new_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete what is at a path given out, once nothing reads it any more."""
     delete(spark, path)

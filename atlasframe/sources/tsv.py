@@ -1,42 +1,212 @@
-"""Tab-separated dumps with quoting, comments and rejects."""
+"""Tab-separated dumps with quoting, comments and rejects.
+
+A quoted field may hold tabs and line ends, so whether a line begins a row depends on all lines before
+it.  Lines are read in splits by Spark's text source, in two passes.  Where a line begins is one of two
+states, outside or inside a quoted field; a line without a quote keeps the state, any other maps each
+state to one.  The first pass maps both states through each split and counts the rows that begin there;
+one small row a split, chained along each file, tells where the splits really begin and with which
+row.  The second pass cuts the rows.  Only a row that crosses a border of splits is put together by a
+shuffle; all others stay in the task that read them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
+
+#: Splits whose begins are sent to all tasks at most (about 100 bytes each); beyond, lines are shuffled to meet them.
+MOST_SENT = 1_000_000
+
 
 @dataclass(frozen=True)
 class Dump:
-    """Rows of the expected layout, and the lines that don't have it."""
+    """Rows of the expected layout, and those that don't have it: file, row (its number in the file, from 1),
+    fields (how many it has) and line (its text)."""
 
     rows: DataFrame
     rejects: DataFrame
 
 
-def read_dump(spark: SparkSession, path: str, layout: T.StructType, multi_line: bool = False) -> Dump:
+def _closes(piece: str) -> bool:
+    """Whether text inside quotes has the quote that ends them: one that isn't doubled."""
+    return '"' in piece.replace('""', "")
+
+
+def ends_inside(line: str, inside: bool) -> bool:
+    """Whether a line that begins inside quotes, or outside, ends inside.  Quotes open at a field's begin only."""
+    for piece in line.split("\t"):
+        if inside:
+            inside = not _closes(piece)
+        elif piece.startswith('"'):
+            inside = not _closes(piece[1:])
+    return inside
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut where another split begins."""
+    files, blocks = batch.column(0), batch.column(1)
+    if batch.num_rows:
+        other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for a, z in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, z - a)
+
+
+def _states(lines: pa.Array, inside: bool) -> tuple[np.ndarray, bool]:
+    """Whether each line begins inside quotes, and whether the last one ends there.  Lines without quotes may be null."""
+    begins = np.empty(len(lines), dtype=bool)
+    at = 0
+    for k in np.flatnonzero(pc.fill_null(pc.match_substring(lines, '"'), False).to_numpy(zero_copy_only=False)).tolist():
+        begins[at : k + 1] = inside
+        inside, at = ends_inside(lines[k].as_py(), inside), k + 1
+    begins[at:] = inside
+    return begins, inside
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split: where it ends and how many rows begin in it, if it begins outside or inside quotes."""
+    now: list | None = None
+    names = ["file", "block", "out_end", "out_rows", "in_end", "in_rows"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
+    shown = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+    for batch in batches:
+        for part in _parts(batch):
+            key = [part.column(0)[0].as_py(), part.column(1)[0].as_py()]
+            if now is None or now[:2] != key:
+                if now is not None:
+                    yield shown(now)
+                now = [*key, False, 0, True, 0]
+            for at in (2, 4):
+                begins, now[at] = _states(part.column(2), now[at])
+                now[at + 1] += len(begins) - int(begins.sum())
+    if now is not None:
+        yield shown(now)
+
+
+def _begins(surveys: DataFrame) -> DataFrame:
+    """file, block, inside and row (rows begun before) of every split, chained along each file."""
+
+    def chain(done: Column, split: Column) -> Column:
+        here = F.struct(split["block"].alias("block"), done["inside"].alias("inside"), done["row"].alias("row"))
+        end = F.when(done["inside"], split["in_end"]).otherwise(split["out_end"])
+        rows = F.when(done["inside"], split["in_rows"]).otherwise(split["out_rows"])
+        return F.struct(end.alias("inside"), (done["row"] + rows).alias("row"), F.concat(done["splits"], F.array(here)).alias("splits"))
+
+    none = F.array().cast("array<struct<block:bigint,inside:boolean,row:bigint>>")
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("row"), none.alias("splits"))
+    of_file = surveys.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "out_end", "out_rows", "in_end", "in_rows"))).alias("all"))
+    return of_file.select("file", F.inline(F.aggregate("all", start, chain, lambda d: d["splits"])))
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, row, block, text and whole of the rows, or of the parts that a split has of rows across its borders."""
+    key, inside, row = None, False, 0
+    held: list[str] = []  # lines of the row not ended yet; its first may be in a split before
+    begun_here = False
+
+    def shown(file: str, block: int, rows: np.ndarray, texts: pa.Array, whole: bool) -> pa.RecordBatch:
+        n = len(texts)
+        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(rows, pa.int64()), pa.array([block] * n, pa.int64()), texts.cast(pa.string()), pa.array([whole] * n, pa.bool_())], ["file", "row", "block", "text", "whole"])
+
+    for batch in batches:
+        for part in _parts(batch):
+            here = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+            if here != key:
+                if held:
+                    yield shown(*key, np.array([row]), pa.array(["\n".join(held)]), False)
+                key, inside, row, held, begun_here = here, part.column(3)[0].as_py(), part.column(4)[0].as_py(), [], False
+            lines = part.column(2)
+            begins, ends = _states(lines, inside)
+            goes_on = np.r_[begins[1:], ends]  # whether the line's row has more lines
+            alone = ~begins & ~goes_on
+            if not inside and alone.all():  # as most batches are
+                yield shown(*key, row + 1 + np.arange(len(lines)), lines, True)
+                row += len(lines)
+                continue
+            numbers = row + np.cumsum(~begins)
+            if alone.any():
+                yield shown(*key, numbers[alone], lines.filter(pa.array(alone)), True)
+            for k in np.flatnonzero(~alone).tolist():
+                if not begins[k]:
+                    held, begun_here = [], True
+                held.append(lines[k].as_py())
+                if not goes_on[k]:
+                    yield shown(*key, numbers[k : k + 1], pa.array(["\n".join(held)]), begun_here)
+                    held = []
+            inside, row = ends, int(numbers[-1])
+    if held:
+        yield shown(*key, np.array([row]), pa.array(["\n".join(held)]), False)
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (number in the file, from 1) and text of every row of the files at ``path``, as the csv rules
+    cut them: a quoted field may hold tabs, line ends (one ``\\n`` each) and doubled quotes.
+
+    At any size of splits the rows are the same.  A quote that is never closed takes all lines to the file's
+    end into its row.  Line ends are ``\\n``, ``\\r\\n`` and ``\\r``.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(F.col(at[0]).alias("file"), F.col(at[1]).alias("block"), F.col("value").alias("line"))
+    quoted = lines.select("file", "block", F.when(F.contains("line", F.lit('"')), F.col("line")).alias("line"))
+    surveys = quoted.mapInArrow(_survey, "file string, block long, out_end boolean, out_rows long, in_end boolean, in_rows long")
+    begins = scratch.written(_begins(surveys))
+    if begins.count() <= MOST_SENT:
+        met = lines.join(F.broadcast(begins), ["file", "block"]).select("file", "block", "line", "inside", "row")
+    else:
+        numbered = lines.withColumn("_nth", F.monotonically_increasing_id())  # in the order of the lines of a split
+        met = numbered.join(begins.hint("merge"), ["file", "block"]).sortWithinPartitions("file", "block", "_nth").select("file", "block", "line", "inside", "row")
+    cut = met.mapInArrow(_cut_rows, "file string, row long, block long, text string, whole boolean")
+    across = cut.where(~F.col("whole")).groupBy("file", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return cut.where("whole").select("file", "row", "text").unionByName(across)
+
+
+def fields_of(text: Column) -> Column:
+    """The fields of a row: quotes at a field's begin are taken off, doubled ones inside them are one."""
+    quote, two = F.lit('"'), F.lit('""')
+    end = lambda inner: F.locate('"', F.replace(inner, two, F.lit("..")))
+    undoubled = lambda inner: F.replace(inner, two, quote)
+    plain = lambda inner: F.when(end(inner) == 0, undoubled(inner)).otherwise(F.concat(undoubled(F.left(inner, end(inner) - 1)), F.substr(inner, end(inner) + 1)))
+
+    def step(done: Column, piece: Column) -> Column:
+        opens = done["open"].isNull() & F.startswith(piece, quote)
+        inner = F.when(done["open"].isNull(), F.substr(piece, F.lit(2))).otherwise(F.concat(done["open"], F.lit("\t"), piece))
+        ended = end(F.when(done["open"].isNull(), F.substr(piece, F.lit(2))).otherwise(piece)) > 0
+        literal = done["open"].isNull() & ~opens
+        added = F.when(literal, F.array(piece)).when(ended, F.array(plain(inner))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(done["fields"], added).alias("fields"), F.when(~literal & ~ended, inner).alias("open"))
+
+    none = F.struct(F.array().cast("array<string>").alias("fields"), F.lit(None).cast("string").alias("open"))
+    last = lambda d: F.when(d["open"].isNull(), d["fields"]).otherwise(F.concat(d["fields"], F.array(plain(d["open"]))))
+    cut = F.split(text, "\t")
+    return F.when(F.contains(text, quote), F.aggregate(cut, none, step, last)).otherwise(cut)
+
+
+def read_dump(spark: SparkSession, path: str, layout: T.StructType) -> Dump:
     """Read a dump.
 
-    Lines whose first field begins with ``#``, quoted or not, are no rows.  Of the rest, those with
-    another number of fields are rejects, kept with their file and raw line.  Empty text fields are
-    empty strings; numbers that can't be read are null.  Large files are split between tasks, which
-    takes a line for a row; ``multi_line`` lets quoted fields hold line ends, one task a file.
+    Empty lines and rows whose first field begins with ``#``, quoted or not, count as rows but are none.
+    Of the rest, those with another number of fields are rejects.  Empty text fields are empty strings;
+    numbers that can't be read are null.
     """
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in layout.fields] + [T.StructField("_raw", T.StringType())])
-    whole = spark.read.option("columnPruning", "false")  # else a line's fields are only counted as far as they are used
-    lines = whole.csv(path, schema=raw, sep="\t", quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    lines = lines.withColumn("_file", F.input_file_name())
-    first = F.coalesce(F.col(layout.fields[0].name), F.lit(""))
-    kept = lines.where(~F.startswith(first, F.lit("#")))
-
-    def typed(field: T.StructField):
-        value = F.col(field.name)
-        return (F.coalesce(value, F.lit("")) if isinstance(field.dataType, T.StringType) else value.try_cast(field.dataType)).alias(field.name)
-
-    return Dump(kept.where("_raw is null").select(*[typed(f) for f in layout.fields]), kept.where("_raw is not null").select(F.col("_file").alias("file"), F.col("_raw").alias("line")))
+    found = csv_rows(spark, path).where("text <> ''").withColumn("_f", fields_of(F.col("text")))
+    found = found.where(~F.startswith(F.get("_f", F.lit(0)), F.lit("#")))
+    fits = F.size("_f") == len(layout.fields)
+
+    def typed(k: int, field: T.StructField) -> Column:
+        value = F.get("_f", F.lit(k))
+        return (value if isinstance(field.dataType, T.StringType) else value.try_cast(field.dataType)).alias(field.name)
+
+    rejects = found.where(~fits).select("file", "row", F.size("_f").alias("fields"), F.col("text").alias("line"))
+    return Dump(found.where(fits).select(*[typed(k, f) for k, f in enumerate(layout.fields)]), rejects)
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
