@@ -8,7 +8,7 @@ import sys
 from .plans.build import build, build_bundle, build_sections, tokenize, verify_sections
 from .plans.gazetteer import Gazetteer
 from .session import session
-from .sources.bundle import SECTIONS, composition, problems, read_section
+from .sources.bundle import SECTIONS, composition, faults, read_section
 
 
 def main(args: list[str] | None = None) -> int:
@@ -54,8 +54,7 @@ def main(args: list[str] | None = None) -> int:
                 print(f"{part}: {n:,}")
         return 0
     if a.command == "verify":
-        with open(a.bundle, "rb") as f:
-            found = problems(f.read())
+        found = [r["fault"] for r in faults(session(), a.bundle).limit(20).collect()]
         print("\n".join(found) or "ok")
         return int(bool(found))
     spark = session()

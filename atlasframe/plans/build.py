@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import schema, scratch
 from ..functions.codec import length_prefixed, tokens_to_blob
 from ..functions.geo import geohash, valid_coordinate
 from ..operators import bpe, columns, keys, normalize, verify
-from ..sources import bundle, store, tsv
+from ..sources import bundle, ranged, store, tsv
 
 
 def simplified(dumps: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -93,10 +93,28 @@ def tokenize(spark: SparkSession, path: str, out: str, keep_original: bool = Fal
     return {t: store.load(spark, out, t).count() for t in (*done, "vocabulary")}
 
 
+def _encoded(tables: dict[str, DataFrame], vocabulary: bpe.Vocabulary) -> tuple[dict[str, tuple[DataFrame, int]], DataFrame]:
+    """The encoded columns, each written once, and the index that lets readers begin within them."""
+    sections = bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary)
+    kept = {name: (scratch.written(df), n) for name, (df, n) in sections.items()}
+    return kept, ranged.index_of(region_numbers(tables["placed"]), kept["geohash"][0], kept["city_tokens"][0])
+
+
 def build_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
-    """Write the six columns of the store at ``path`` as files; returns their sizes."""
-    tables, vocabulary = _stored(spark, path)
-    return bundle.write_sections(spark, folder, bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary))
+    """Write the six columns of the store at ``path`` as files, and their index; returns the files' sizes."""
+    sections, index = _encoded(*_stored(spark, path))
+    sizes = bundle.write_sections(spark, folder, sections)
+    ranged.save_index(index, f"{folder}/cities")
+    for df, _ in sections.values():
+        scratch.forget_written(df)
+    return sizes
+
+
+def column_values(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """pos and value of a column file: columns of cities in ranges where they can be, else in one task."""
+    if name in ("region_tokens", "country_tokens") or not ranged.reachable(folder) or not ranged.has_index(spark, f"{folder}/cities"):
+        return bundle.read_section(spark, folder, name)
+    return ranged.read_column(spark, folder, name)
 
 
 def verify_sections(spark: SparkSession, path: str, folder: str) -> dict[str, int]:
@@ -108,10 +126,15 @@ def verify_sections(spark: SparkSession, path: str, folder: str) -> dict[str, in
     want["city_tokens"] = placed.select("pos", tokens("city_name").alias("value"))
     for table, name in (("regions", "region"), ("countries", "country")):
         want[f"{name}_tokens"] = tables[table].select((F.col(f"{name}_id") - 1).alias("pos"), tokens(f"{name}_name").alias("value"))
-    return {name: sum(verify.mismatches(df, bundle.read_section(spark, folder, name), "pos", ["value"]).first()) for name, df in want.items()}
+    return {name: sum(verify.mismatches(df, column_values(spark, folder, name), "pos", ["value"]).first()) for name, df in want.items()}
 
 
 def build_bundle(spark: SparkSession, path: str, out: str) -> int:
-    """Write the store at ``path`` as the bundle ``out``; returns its size in bytes."""
+    """Write the store at ``path`` as the bundle ``out``, and its index beside it; returns the bundle's size in bytes."""
     tables, vocabulary = _stored(spark, path)
-    return bundle.write_bundle(spark, out, tables["vocabulary"], bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary))
+    sections, index = _encoded(tables, vocabulary)
+    size = bundle.write_bundle(spark, out, tables["vocabulary"], sections)
+    ranged.save_index(index, out)
+    for df, _ in sections.values():
+        scratch.forget_written(df)
+    return size

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..functions.codec import decode_tokens, tokens_from_blob
 from ..functions.text import label
 from ..operators import bpe, keys, search
-from ..sources import bundle, store
+from ..sources import bundle, ranged, store
 
 
 class NotLoaded(RuntimeError):
@@ -49,17 +51,24 @@ class Gazetteer:
 
     @classmethod
     def load_bundle(cls, spark: SparkSession, path: str) -> Gazetteer:
-        """From a bundle: names are decoded, and so without white space."""
-        from ..functions.codec import tokens_from_blob
-
-        vocabulary = bundle.read_bundle(spark, path, "vocabulary").cache()
+        """From a bundle: names are decoded, and so without white space.
+
+        Cities are read in ranges, and lookups of keys and prefixes read only the blocks that can hold
+        them.  A bundle without an index gets one in the shared folder, by one scan.
+        """
+        if not ranged.reachable(path):
+            read = lambda table: bundle.read_bundle(spark, path, table)
+        else:
+            index = path + ranged.SUFFIX
+            if not ranged.has_index(spark, path):
+                index = scratch.new_path(spark)
+                ranged.scanned_index(spark, path).write.parquet(index)
+            read = lambda table: ranged.read_ranges(spark, path, table, index)
+        vocabulary = read("vocabulary")
         token_map = bpe.token_map(vocabulary)
 
         def named(table: str, name: str) -> DataFrame:
-            from ..functions.codec import decode_tokens
-
-            df = bundle.read_bundle(spark, path, table)
-            return df.withColumn(name, decode_tokens(tokens_from_blob(F.col("tokens")), token_map)).drop("tokens")
+            return read(table).withColumn(name, decode_tokens(tokens_from_blob(F.col("tokens")), token_map)).drop("tokens")
 
         cities = named("cities", "city_name").select("geohash", "city_name", "region_id", "country_id")
         return cls.of(cities, named("regions", "region_name"), named("countries", "country_name"), vocabulary)

@@ -17,7 +17,7 @@ from . import schema, scratch
 from .functions import codec, geo, text
 from .operators import bpe, columns, keys, normalize, search, verify
 from .plans import build, gazetteer
-from .sources import bundle, sqlite, store, tsv
+from .sources import bundle, ranged, sqlite, store, tsv
 from .streaming import enrich
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,6 +601,54 @@ def bundle_roundtrip(spark, d):
     return gazetteer.Gazetteer.load_bundle(spark, f"{base}/cities.bin").table("cities").select("geohash", "city_name")
 
 
+_REGIONS = "regions AS (SELECT key, name, row_number() OVER (ORDER BY name, key) AS id FROM (SELECT DISTINCT 'N' || c_nationkey || '.' || c_mktsegment AS key, c_mktsegment || ' ' || c_nationkey AS name FROM customer))"
+
+
+def _bundle(spark, d) -> str:
+    """A bundle of the test tables, with its index; its path."""
+    base = scratch.new_path(spark)
+    build.build(spark, _written_dumps(spark, d), f"{base}/store", vocab_size=300)
+    build.build_bundle(spark, f"{base}/store", f"{base}/cities.bin")
+    return f"{base}/cities.bin"
+
+
+@query(f"""WITH {_KEYED} SELECT key AS geohash, replace(c_name, ' ', '') AS city_name FROM keyed
+WHERE starts_with(key, 's') OR key IN (SELECT max(key) FROM keyed UNION SELECT min(key) FROM keyed) OR key BETWEEN 'b' AND 'c'""")
+def bundle_ranges(spark, d):
+    """A prefix, two keys and an interval of keys, each looked up in a bundle: their conditions choose the blocks that are read."""
+    cities = gazetteer.Gazetteer.load_bundle(spark, _bundle(spark, d)).table("cities")
+    ends = cities.agg(F.min("geohash"), F.max("geohash")).first()
+    parts = [F.startswith("geohash", F.lit("s")), F.col("geohash").isin(*ends), F.col("geohash").between("b", "c")]
+    found = [cities.where(p) for p in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct().select("geohash", "city_name")
+
+
+@query(f"""WITH {_KEYED}, {_REGIONS}
+SELECT k.key AS geohash, replace(r.name, ' ', '') AS region_name, n.n_name AS country_name FROM keyed k JOIN regions r ON r.key = 'N' || c_nationkey || '.' || c_mktsegment JOIN nation n ON n_nationkey = c_nationkey""")
+def bundle_scanned(spark, d):
+    """A bundle whose index is lost: one scan makes another, then cities are read in ranges."""
+    path = _bundle(spark, d)
+    scratch.delete(spark, path + ranged.SUFFIX)
+    g = gazetteer.Gazetteer.load_bundle(spark, path)
+    return g.table("cities").join(g.table("regions"), "region_id").join(g.table("countries"), "country_id").select("geohash", "region_name", "country_name")
+
+
+@query("""SELECT 'behind.bin' AS file, '1 bytes after the last section' AS fault UNION ALL SELECT 'mark.bin', 'not a bundle' UNION ALL
+SELECT 'short.bin', 'bytes wanted' UNION ALL SELECT 'counts.bin', (SELECT count(*) FROM customer) || ' rows, the header says ' || (SELECT count(*) + 1 FROM customer)""")
+def bundle_faults(spark, d):
+    """A sound bundle and four damaged copies, checked: which is damaged, and how."""
+    path = _bundle(spark, d)
+    folder = scratch.new_path(spark)
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    n = int.from_bytes(data[12:16], "little") + 1
+    copies = {"sound": data, "behind": data + b"x", "mark": b"X" + data[1:], "short": data[:-1], "counts": data[:12] + n.to_bytes(4, "little") + data[16:]}
+    for name, content in copies.items():
+        bundle.put(spark, f"{folder}/{name}.bin", content)
+    found = bundle.faults(spark, folder).select(F.element_at(F.split("file", "/"), -1).alias("file"), "fault")
+    kind = F.regexp_extract("fault", r"(\d+ bytes after the last section|not a bundle|bytes wanted|\d+ rows, the header says \d+)", 1)
+    return found.select("file", kind.alias("fault"))
+
+
 @query("SELECT count(*) AS cities, (SELECT count(*) FROM nation) AS countries, (SELECT count(DISTINCT c_nationkey || '.' || c_mktsegment) FROM customer) AS regions FROM customer")
 def bundle_header(spark, d):
     base = scratch.new_path(spark)
@@ -617,7 +665,6 @@ def _built(spark, d) -> str:
     return base
 
 
-_REGIONS = "regions AS (SELECT key, row_number() OVER (ORDER BY name, key) AS id FROM (SELECT DISTINCT 'N' || c_nationkey || '.' || c_mktsegment AS key, c_mktsegment || ' ' || c_nationkey AS name FROM customer))"
 
 
 @query(f"""WITH {_KEYED}, {_REGIONS}
@@ -626,9 +673,9 @@ JOIN regions r ON r.key = 'N' || c_nationkey || '.' || c_mktsegment JOIN (SELECT
 def section_files(spark, d):
     """Three of the column files, decoded on their own and put side by side."""
     folder = f"{_built(spark, d)}/columns"
-    out = bundle.read_section(spark, folder, "geohash").withColumnRenamed("value", "geohash")
+    out = build.column_values(spark, folder, "geohash").withColumnRenamed("value", "geohash")
     for name in ("region_id", "country_id"):
-        out = out.join(bundle.read_section(spark, folder, name).withColumnRenamed("value", name), "pos")
+        out = out.join(build.column_values(spark, folder, name).withColumnRenamed("value", name), "pos")
     return out.select("pos", "geohash", "region_id", "country_id")
 
 

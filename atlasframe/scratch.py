@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import re
 import tempfile
 import uuid
@@ -30,10 +29,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing is at, deleted when the process ends."""
-    if not _given:
-        atexit.register(_delete_all)
-    _given.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    """A path in the shared folder that nothing is at.  Its own parent folder is deleted when the JVM ends,
+    with or without a session."""
+    name = uuid.uuid4().hex
+    parent = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{name}")
+    store = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(parent)
+    store.deleteOnExit(parent)
+    _given.append(f"{parent.toString()}/{name}")
     return _given[-1]
 
 
@@ -47,18 +50,16 @@ def written(df: DataFrame) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete what is at a path given out, once nothing reads it any more."""
-    delete(spark, path)
+    delete(spark, path.rsplit("/", 1)[0])
     _given.remove(path)
 
 
-def given() -> tuple[str, ...]:
-    return tuple(_given)
+def forget_written(df: DataFrame) -> None:
+    """Delete the table behind ``df``, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in [p for p in _given if folder.endswith(p.rsplit("/", 1)[1])]:
+            forget(df.sparkSession, path)
 
 
-def _delete_all() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _given if spark is not None else ():
-        try:
-            delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+def given() -> tuple[str, ...]:
+    return tuple(_given)

@@ -132,6 +132,19 @@ def problems(data: bytes) -> list[str]:
     return out + [f"key {i} is below the one before it" for i in range(1, len(keys)) if keys[i] < keys[i - 1]][:5]
 
 
+def faults(spark: SparkSession, path: str) -> DataFrame:
+    """file and fault: what is wrong with the bundles at ``path`` (a file, a folder or a pattern, in any store that
+    Spark reads); a sound one gives no row.  A task checks a bundle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = problems(data)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(found, pa.string())], ["file", "fault"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, fault string")
+
+
 def rows(b: Bundle, table: str) -> list[tuple]:
     """The rows of one of the tables of ``SCHEMAS``; region 0 is none."""
     s = b.sections
@@ -211,6 +224,15 @@ def _create(spark: SparkSession, path: str, overwrite: bool):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, overwrite)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file in any store that Spark writes."""
+    out = _create(spark, path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 #: Rows that a task joins before they go to the driver.
 _RUN = 65_536
 
