@@ -28,29 +28,36 @@ def keyed_cities(cities: DataFrame, require_region: bool = True) -> tuple[DataFr
     return found.select(F.col("key").alias("geohash"), "precision", "city_name", "region_id", "country_id", "geonameid"), kept.where(~ok)
 
 
-def build(spark: SparkSession, source: dict[str, str], out: str, vocab_size: int = 1000, require_region: bool = True, mode: str = "overwrite") -> dict[str, int]:
+def build(spark: SparkSession, source: dict[str, str], out: str, vocab_size: int = 1000, require_region: bool = True, mode: str = "overwrite", city_files: int | None = None) -> dict[str, int]:
     """Build a store at ``out`` from the dumps at ``source`` (geoname, admin1, country: paths).
 
     The classified places and the keyed cities are written and read back, once each: the natural
-    places to cut the plan.  With ``mode`` "error" a store that is there stays as it is and
-    FileExistsError is raised.  Returns counts, also of rejected lines and of places left out.
+    places to cut the plan.  All tables belong to a new version, which is shown when the last one is
+    written; the version before stays for readers that have it open.  With ``mode`` "error" a store that
+    is there stays as it is and FileExistsError is raised.  Returns counts, also of rejected lines and of
+    places left out.
     """
     store.refuse_or_replace(spark, out, mode)
     read = {name: tsv.read_dump(spark, path, schema.DUMPS[name]) for name, path in source.items()}
     rows = {name: d.rows for name, d in read.items()}
     for name, key in (("geoname", "geonameid"), ("admin1", "key"), ("country", "ISO")):
         tsv.require_unique(rows[name], key, name)
+    version = store.Version.begin(spark, out)
     made = simplified(rows)
-    store.save({"classified": made["classified"], "countries": made["countries"], "regions": made["regions"], "fulltext": normalize.fulltext_rows(rows["geoname"], rows["admin1"], rows["country"])}, out, mode)
-    classified, countries, regions = (store.load(spark, out, t) for t in ("classified", "countries", "regions"))
+    version.save({"classified": made["classified"], "countries": made["countries"], "regions": made["regions"], "fulltext": normalize.fulltext_rows(rows["geoname"], rows["admin1"], rows["country"])})
+    classified, countries, regions = (version.load(t) for t in ("classified", "countries", "regions"))
     cities, quarantine = keyed_cities(normalize.cities_of(classified), require_region)
-    store.save({"cities": cities, "quarantine": quarantine}, out, mode)
-    cities = store.load(spark, out, "cities")
+    version.save({"cities": cities, "quarantine": quarantine}, city_files)
+    store.add_paths(spark, version.place, "cities", ["country_id", "region_id", "city_name"])
+    cities = version.load("cities")
     vocabulary = bpe.learn(bpe.corpus((cities, "city_name"), (regions, "region_name"), (countries, "country_name")), "name", vocab_size)
-    store.save({"vocabulary": bpe.vocabulary_table(spark, vocabulary), "merges": bpe.merges_table(spark, vocabulary)}, out, mode)
+    version.save({"placed": columns.by_key(cities), "vocabulary": bpe.vocabulary_table(spark, vocabulary), "merges": bpe.merges_table(spark, vocabulary)})
     counts = normalize.outcome_counts(classified).first().asDict()
     counts |= {f"{name}_rejects": d.rejects.count() for name, d in read.items()}
-    return counts | {"cities": cities.count(), "quarantined": store.load(spark, out, "quarantine").count(), "regions": regions.count(), "countries": countries.count(), "vocabulary": len(vocabulary.tokens)}
+    counts |= {"cities": cities.count(), "quarantined": version.load("quarantine").count(), "regions": regions.count(), "countries": countries.count(), "vocabulary": len(vocabulary.tokens)}
+    version.publish()
+    store.vacuum(spark, out)
+    return counts
 
 
 def token_rows(df: DataFrame, name: str, vocabulary: bpe.Vocabulary) -> DataFrame:
@@ -78,10 +85,9 @@ def bundle_sections(placed: DataFrame, regions: DataFrame, countries: DataFrame,
 
 
 def _stored(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], bpe.Vocabulary]:
-    """The store's tables; ``placed``, the cities in the order of their keys, is written there once."""
-    tables = {t: store.load(spark, path, t) for t in ("cities", "regions", "countries", "vocabulary", "merges")}
-    store.save({"placed": columns.by_key(tables["cities"])}, path, "overwrite")
-    tables["placed"] = store.load(spark, path, "placed")
+    """The tables of the store's current version; ``placed`` are the cities in the order of their keys."""
+    place = store.current(spark, path)
+    tables = {t: spark.read.parquet(f"{place}/{t}") for t in ("cities", "regions", "countries", "vocabulary", "merges", "placed")}
     return tables, bpe.load_vocabulary(tables["vocabulary"], tables["merges"])
 
 

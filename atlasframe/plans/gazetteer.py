@@ -37,6 +37,7 @@ class Gazetteer:
 
     def __init__(self) -> None:
         self.tables: dict[str, DataFrame] | None = None
+        self.place: str | None = None
 
     @classmethod
     def of(cls, cities: DataFrame, regions: DataFrame, countries: DataFrame, vocabulary: DataFrame) -> Gazetteer:
@@ -46,8 +47,11 @@ class Gazetteer:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Gazetteer:
-        """From the Parquet store that a build wrote."""
-        return cls.of(*[store.load(spark, path, t) for t in ("cities", "regions", "countries", "vocabulary")])
+        """From the Parquet store that a build wrote: the version that it shows now, whatever is published later."""
+        place = store.current(spark, path)
+        out = cls.of(*[spark.read.parquet(f"{place}/{t}") for t in ("cities", "regions", "countries", "vocabulary")])
+        out.place = place
+        return out
 
     @classmethod
     def load_bundle(cls, spark: SparkSession, path: str) -> Gazetteer:
@@ -107,6 +111,11 @@ class Gazetteer:
     def find_by_prefix_all(self, probes: DataFrame, column: str) -> DataFrame:
         return keys.prefix_join(probes, column, self.table("cities"), "geohash")
 
+    def cities_with(self, column: str, value: int | str) -> DataFrame:
+        """Cities by country_id, region_id or city_name; of a stored database only files that may hold such are opened."""
+        cities = self.table("cities")
+        return cities.where(F.col(column) == F.lit(value)) if self.place is None else store.find(cities.sparkSession, self.place, "cities", column, value)
+
     def locate(self, points: DataFrame, geohash: str) -> DataFrame:
         """Every point with the city in whose cell it lies (an extension)."""
         return keys.locate(points, geohash, self.table("cities"), "geohash")

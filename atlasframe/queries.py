@@ -706,6 +706,21 @@ def fulltext_table(spark, d):
     return store.load(spark, base, "fulltext").select("geonameid", "longname")
 
 
+@query("""SELECT 'country_id' AS "by", c_custkey, c_name FROM customer WHERE c_nationkey = 7 UNION ALL
+SELECT 'region_id', c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_custkey % 3 = 1 UNION ALL SELECT 'city_name', c_custkey, c_name FROM customer WHERE c_custkey = 11""")
+def secondary_lookups(spark, d):
+    """Cities stored in the order of their keys, looked up by country, region and name: each file's filters choose what is opened."""
+    base = scratch.new_path(spark)
+    key = F.col("c_custkey")
+    near = geo.geohash(F.col("c_nationkey") * 6.0 - 75 + key % 97 / 100.0, F.col("c_nationkey") * 13.0 - 160 + key % 89 / 100.0)  # nations lie apart
+    stored = table(spark, d, "customer").select(F.concat(near, F.lit("_"), key).alias("geohash"), F.col("c_name").alias("city_name"), F.col("c_nationkey").alias("country_id"), (F.col("c_nationkey") * 3 + key % 3).alias("region_id"), key)
+    store.save({"cities": stored}, base, city_files=12)
+    store.add_paths(spark, base, "cities", ["country_id", "region_id", "city_name"])
+    asked = {"country_id": 7, "region_id": 22, "city_name": "Customer#000000011"}
+    parts = [store.find(spark, base, "cities", c, v).select(F.lit(c).alias("by"), "c_custkey", F.col("city_name").alias("c_name")) for c, v in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_custkey * 50 <= 65535 THEN printf('%04X', o_custkey * 50) END AS token, CASE WHEN o_custkey * 50 - 20000 <= 32767 THEN CAST(o_custkey * 50 - 20000 AS INTEGER) END AS step FROM orders")
 def range_guards(spark, d):
     """What fits two bytes is coded and read back; what doesn't never gets there (it would fail)."""

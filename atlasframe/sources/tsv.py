@@ -195,18 +195,19 @@ def read_dump(spark: SparkSession, path: str, layout: T.StructType) -> Dump:
 
     Empty lines and rows whose first field begins with ``#``, quoted or not, count as rows but are none.
     Of the rest, those with another number of fields are rejects.  Empty text fields are empty strings;
-    numbers that can't be read are null.
+    numbers that can't be read are null.  What is parsed is written to the shared folder once.
     """
     found = csv_rows(spark, path).where("text <> ''").withColumn("_f", fields_of(F.col("text")))
     found = found.where(~F.startswith(F.get("_f", F.lit(0)), F.lit("#")))
     fits = F.size("_f") == len(layout.fields)
 
     def typed(k: int, field: T.StructField) -> Column:
-        value = F.get("_f", F.lit(k))
+        value = F.when(fits, F.get("_f", F.lit(k)))
         return (value if isinstance(field.dataType, T.StringType) else value.try_cast(field.dataType)).alias(field.name)
 
-    rejects = found.where(~fits).select("file", "row", F.size("_f").alias("fields"), F.col("text").alias("line"))
-    return Dump(found.where(fits).select(*[typed(k, f) for k, f in enumerate(layout.fields)]), rejects)
+    reject = F.when(~fits, F.struct("file", "row", F.size("_f").alias("fields"), F.col("text").alias("line")))
+    parsed = scratch.written(found.select(*[typed(k, f) for k, f in enumerate(layout.fields)], reject.alias("_reject")))
+    return Dump(parsed.where("_reject is null").drop("_reject"), parsed.where("_reject is not null").select("_reject.*"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,6 @@ import random
 
 import pytest
 
-from atlasframe import schema
 from atlasframe.sources import tsv
 from pyspark.sql import types as T
 
@@ -90,6 +89,6 @@ def test_rejects_have_file_and_row(spark, splits, tmp_path):
 
 def test_nothing_but_line_scans_is_shuffled_by_the_rows(spark, tmp_path):
     (tmp_path / "d.txt").write_text(dump_of(11, 10))
-    plan = tsv.read_dump(spark, str(tmp_path), schema.ADMIN1).rows._jdf.queryExecution().executedPlan().toString()
+    plan = tsv.csv_rows(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     whole = plan.split("Union")[1].split("Exchange hashpartitioning")[0]
     assert "BroadcastHashJoin" in whole and "Scan text" in whole
