@@ -43,6 +43,11 @@ def search_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda t: t != ""))
 
 
+def term_places(text: Column) -> Column:
+    """All search terms of ``text`` in their order, repeats kept; none of null."""
+    return F.coalesce(F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda t: t != ""), F.array().cast("array<string>"))
+
+
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions.codec import MAX_PART, checked, hex_bytes, little_endian, pack_nibbles
 from ..functions.geo import common_prefix
 
@@ -37,22 +38,28 @@ def _before(df: DataFrame, value: str, block: int | None, part: int = PART) -> D
     return joined.withColumn("_before", F.when(F.col("pos") % part == 0, F.col("_end")).otherwise(F.col("_before"))).drop("_part", "_end")
 
 
-def positions(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    """``df`` with ``pos``, 0..N-1 in ``order``; ``bucket`` must not fall along that order.
+def positions(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``pos``, 0..N-1 in ``order``.
 
-    Rows are numbered within their bucket; the buckets' counts, one row each, say where each begins.
+    Spark samples the order for splitters and sorts the ranges between them; equal values may fall into
+    several ranges, by a hash of the row, so neither a dense stretch nor a repeated value is one task.  Rows
+    are numbered as they lie in their range, and the ranges' counts, one small row each, say where each
+    begins.  The sorted rows are written to the shared folder once, so that later uses sort nothing.
     """
-    cut = df.withColumn("_b", bucket)
-    starts = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(F.col("_b").alias("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1)
-    return numbered.join(starts, F.col("_b").eqNullSafe(F.col("_bucket"))).select(*df.columns, (F.col("_start") + F.col("_in")).alias("pos"))
+    tie = F.xxhash64(*df.columns)
+    by = [F.col(c) for c in order]
+    ranged = (df.repartitionByRange(parts, *by, tie) if parts else df.repartitionByRange(*by, tie)).sortWithinPartitions(*by, tie)
+    kept = scratch.written(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return kept.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, (F.col("_start") + inside).alias("pos"))
 
 
 def by_key(cities: DataFrame) -> DataFrame:
-    """``cities`` with ``pos`` in the order of their keys; a bucket is a cell of 20 by 40 km."""
-    return positions(cities, ["geohash"], F.left("geohash", F.lit(4)))
+    """``cities`` with ``pos`` in the order of their keys."""
+    return positions(cities, ["geohash"])
 
 
 def front_encode(df: DataFrame, value: str, block: int | None = None, part: int = PART) -> DataFrame:

@@ -67,8 +67,13 @@ def prefix_join(probes: DataFrame, prefix: str, cities: DataFrame, key: str) ->
 
 def locate(points: DataFrame, gh: str, cities: DataFrame, key: str) -> DataFrame:
     """Every point with the city whose key is the longest prefix of its geohash (an extension: the
-    lookup functions match stored keys only).  Points in no city's cell keep their row."""
-    expanded = points.withColumn("_row", F.monotonically_increasing_id()).withColumn("_prefix", F.explode_outer(_prefixes(F.left(gh, F.lit(MAX_PRECISION)))))
-    hits = expanded.join(cities, expanded["_prefix"] == cities[key], "left")
-    best = Window.partitionBy("_row").orderBy(F.length(F.when(F.col(key).isNotNull(), F.col("_prefix"))).desc_nulls_last())
-    return hits.withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", "_row", "_prefix")
+    lookup functions match stored keys only).  Points in no city's cell keep their row.
+
+    Distinct hashes are resolved, by aggregation, and points meet the answers by their hash: rows need no
+    number of their own, and many points at one place are one hash.
+    """
+    hashes = points.select(F.col(gh).alias("_hash")).where("_hash is not null").distinct()
+    expanded = hashes.withColumn("_prefix", F.explode(_prefixes(F.left("_hash", F.lit(MAX_PRECISION)))))
+    hits = expanded.join(cities, expanded["_prefix"] == cities[key])
+    best = hits.groupBy("_hash").agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in cities.columns]), F.length("_prefix")).alias("_city"))
+    return points.join(best, points[gh] == best["_hash"], "left").select(*[points[c] for c in points.columns], *[F.col(f"_city.{c}").alias(c) for c in cities.columns])

@@ -1,14 +1,20 @@
-"""Searching names: an inverted index with exact and prefix terms, and prefixes of whole names.
+"""Searching names: an inverted index with exact and prefix terms, phrases and nearness, and prefixes of
+whole names.
 
-The gazetteer's users are meant to complete names as they type; these operators serve that intent.
+The gazetteer's users are meant to complete names as they type; these operators serve that intent.  An
+index is a table of postings: terms with their row and, for phrases, their column and place in it.  Written
+with ``save_postings`` it is in the order of terms, so that a term's blocks are found by the least and
+greatest terms that Parquet keeps, and a term in many rows is spread over several files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import search_terms
+from ..functions.text import search_terms, term_places
 
 
 def postings(df: DataFrame, row_id: str, *columns: str) -> DataFrame:
@@ -30,6 +36,66 @@ def match(index: DataFrame, query: str, row_id: str) -> DataFrame:
     return hits.distinct().groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(terms)).select(row_id)
 
 
+def positional_postings(df: DataFrame, row_id: str, *columns: str) -> DataFrame:
+    """term, row id, field (a column's number) and place (a term's number in it), once for each occurrence."""
+    each = F.array(*[F.struct(F.lit(k).alias("field"), term_places(F.col(c)).alias("terms")) for k, c in enumerate(columns)])
+    fields = df.select(F.col(row_id), F.inline(each))
+    return fields.select(F.posexplode("terms").alias("place", "term"), F.col(row_id), "field").select("term", row_id, "field", "place")
+
+
+def save_postings(index: DataFrame, path: str, files: int | None = None) -> None:
+    """Write an index in the order of its terms, and of rows within a term."""
+    order = [F.col(c) for c in index.columns]
+    spread = index.repartitionByRange(files, *order) if files else index.repartitionByRange(*order)
+    spread.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def _test(term: str) -> Column:
+    return F.startswith("term", F.lit(term[:-1])) if term.endswith("*") else F.col("term") == term
+
+
+def _begins(index: DataFrame, words: str, row_id: str) -> DataFrame:
+    """row id, field, place and end of each occurrence of a phrase; its last word may end in ``*``.
+
+    A posting votes for the place where the phrase would begin; no postings are joined with each other."""
+    terms = [t for t in re.split(r"[^a-z0-9*\u0080-\U0010ffff]+", words.lower()) if t]
+    votes = None
+    for k, term in enumerate(terms):
+        part = index.where(_test(term)).select(row_id, "field", (F.col("place") - k).alias("place"), F.lit(k).alias("_k"))
+        votes = part if votes is None else votes.unionAll(part)
+    if votes is None:
+        return index.where(F.lit(False)).select(row_id, "field", "place", F.col("place").alias("end"))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_k")))
+    met = votes.groupBy(row_id, "field", "place").agg(bits.alias("_bits")).where(F.col("_bits") == (1 << len(terms)) - 1)
+    return met.select(row_id, "field", "place", (F.col("place") + len(terms) - 1).alias("end"))
+
+
+def phrase(index: DataFrame, words: str, row_id: str) -> DataFrame:
+    """Ids of rows that have the words (62 at most) next to each other, in this order, in one field."""
+    return _begins(index, words, row_id).select(row_id).distinct()
+
+
+def near(index: DataFrame, first: str, second: str, within: int, row_id: str) -> DataFrame:
+    """Ids of rows where two phrases, in either order, have no more than ``within`` terms between them and
+    don't overlap.  Occurrences meet by stretches of their field, so far ones never do."""
+    most = within + 1 + max(len(first.split()), len(second.split()))
+    a, b = (_begins(index, words, row_id) for words in (first, second))
+    here = a.select(row_id, "field", F.col("place").alias("_a"), F.col("end").alias("_z"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("place") / most) + k)).alias("_cell"))
+    there = b.withColumn("_cell", F.floor(F.col("place") / most))
+    gap = F.greatest(F.col("place") - F.col("_z"), F.col("_a") - F.col("end")) - 1
+    return here.join(there, [row_id, "field", "_cell"]).where((gap >= 0) & (gap <= within)).select(row_id).distinct()
+
+
+def match_phrases(index: DataFrame, query: str, row_id: str) -> DataFrame:
+    """Ids of rows that have every quoted phrase and every other term of ``query`` (``*`` ends a prefix)."""
+    parts = sorted({a or b for a, b in re.findall(r'"([^"]*)"|([^\s"]+)', query.lower())} - {""})
+    out = None
+    for p in parts:
+        hits = phrase(index, p, row_id)
+        out = hits if out is None else out.join(hits, row_id, "left_semi")
+    return index.where(F.lit(False)).select(row_id) if out is None else out
+
+
 def name_prefix(df: DataFrame, column: str, prefix: str, limit: int = 50) -> DataFrame:
     """Rows whose name begins with ``prefix``, in name order."""
     return df.where(F.startswith(column, F.lit(prefix))).orderBy(*([column] + [c for c in df.columns if c != column])).limit(max(0, limit))

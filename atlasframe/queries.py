@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema, scratch
-from .functions import codec, geo, text
-from .operators import bpe, columns, keys, normalize, search, verify
+from .functions import codec, exact, geo, text
+from .operators import bpe, bpe_tables, columns, keys, normalize, search, verify
 from .plans import build, gazetteer
 from .sources import bundle, ranged, sqlite, store, tsv
 from .streaming import enrich
@@ -222,7 +222,7 @@ def _classified(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_custkey") % 101 / 100.0, 6).alias("lat"), F.round(F.col("o_orderkey") % 7 / 10.0, 6).alias("lon"), F.col("o_totalprice").alias("population"), (F.col("o_custkey") % 40).alias("iso"))
     nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("country_id"))
     joined = o.join(nation, o.iso == nation.country_id, "left")
-    return normalize.first_wins(joined, [F.col("lat"), F.col("lon")], [F.desc("population"), F.asc("o_orderkey")], F.col("country_id").isNotNull())
+    return normalize.first_wins(joined, [F.col("lat"), F.col("lon")], [-F.col("population"), F.col("o_orderkey")], F.col("country_id").isNotNull())
 
 
 _CLASSIFIED = """places AS (
@@ -245,6 +245,18 @@ def dedup_stats(spark, d):
     return normalize.outcome_counts(_classified(spark, d))
 
 
+@query(f"""WITH {_CLASSIFIED.replace("o_custkey % 101 AS lat, o_orderkey % 7 AS lon", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS lat, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 7 END AS lon")}
+SELECT o_orderkey, outcome FROM classified""")
+def first_wins_crowded(spark, d):
+    """A third of all rows is at one place, which has no latitude."""
+    third = F.col("o_orderkey") % 3 == 0
+    o = table(spark, d, "orders").select("o_orderkey", F.when(~third, F.col("o_custkey")).alias("lat"), F.when(third, 0).otherwise(F.col("o_orderkey") % 7).alias("lon"), F.col("o_totalprice").alias("population"), (F.col("o_custkey") % 40).alias("iso"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("country_id"))
+    joined = o.join(nation, o.iso == nation.country_id, "left")
+    done = normalize.first_wins(joined, [F.col("lat"), F.col("lon")], [-F.col("population"), F.col("o_orderkey")], F.col("country_id").isNotNull(), hot=100)
+    return done.select("o_orderkey", "outcome")
+
+
 @query("SELECT o_orderkey, o_custkey % 40 AS iso FROM orders WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = o_custkey % 40)")
 def unmatched_countries(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("iso"))
@@ -341,6 +353,34 @@ def bpe_vocabulary(spark, d):
     return bpe.vocabulary_table(spark, bpe.learn(_corpus(spark, d), vocab_size=200))
 
 
+_MERGES = 12
+
+
+def _learned_sql() -> str:
+    """Merges one at a time: a word is its tokens in marks, a merge replaces two neighbours by one."""
+    start, end = "chr(1)", "chr(2)"
+    out = [rf"""counts AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+')) AS word FROM documents) GROUP BY word),
+letters AS (SELECT DISTINCT unnest(string_split(word, '')) AS token FROM counts),
+t0 AS (SELECT 0 AS token_id, '<unk>' AS token UNION ALL SELECT row_number() OVER (ORDER BY token), token FROM letters),
+w0 AS (SELECT n, {start} || array_to_string(string_split(word, ''), {end} || {start}) || {end} AS spelled FROM counts)"""]
+    for k in range(1, _MERGES + 1):
+        out.append(f"""best{k} AS MATERIALIZED (
+  SELECT l.token AS a, r.token AS b FROM (
+    SELECT s[i] AS a, s[i + 1] AS b, sum(n) AS n FROM (SELECT n, s, unnest(range(1, len(s))) AS i FROM (SELECT n, string_split(spelled[2:-2], {end} || {start}) AS s FROM w{k - 1})) GROUP BY ALL) p
+  JOIN t{k - 1} l ON l.token = p.a JOIN t{k - 1} r ON r.token = p.b ORDER BY p.n DESC, l.token_id, r.token_id LIMIT 1),
+t{k} AS MATERIALIZED (SELECT * FROM t{k - 1} UNION ALL SELECT (SELECT count(*) FROM t{k - 1}), a || b FROM best{k} WHERE a || b NOT IN (SELECT token FROM t{k - 1})),
+w{k} AS MATERIALIZED (SELECT n, replace(spelled, {start} || a || {end} || {start} || b || {end}, {start} || a || b || {end}) AS spelled FROM w{k - 1}, best{k})""")
+    return "WITH " + ",\n".join(out) + f"\nSELECT CAST(token_id AS INTEGER) AS token_id, token FROM t{_MERGES}"
+
+
+@query(_learned_sql())
+def bpe_learned(spark, d):
+    """A vocabulary of all documents' words: their characters and the first merges, learned over tables."""
+    vocabulary = bpe_tables.learn_tables(table(spark, d, "documents"), "text", extra=_MERGES)
+    return bpe.vocabulary_table(spark, vocabulary)
+
+
 @query("SELECT p_partkey, replace(p_name, ' ', '') AS text FROM part")
 def bpe_roundtrip(spark, d):
     """What encoding and decoding leave of a name: all but its white space."""
@@ -380,7 +420,7 @@ def front_code_bytes(spark, d):
 
 def _deltas(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("v"))
-    return columns.delta_encode(columns.positions(o, ["o_orderkey"], F.floor(F.col("o_orderkey") / 1000)), "v", block=4096)
+    return columns.delta_encode(columns.positions(o, ["o_orderkey"]), "v", block=4096)
 
 
 @query("SELECT pos, v - coalesce(lag(v) OVER (PARTITION BY pos // 4096 ORDER BY pos), 0) AS delta FROM (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)")
@@ -393,6 +433,22 @@ def delta_decode(spark, d):
     return columns.delta_decode(_deltas(spark, d), block=4096).select("pos", "value")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY v NULLS FIRST, o_orderkey) - 1 AS pos FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 50 WHEN o_orderkey % 50 = 1 THEN NULL ELSE o_custkey END AS v FROM orders)")
+def positions_dense(spark, d):
+    """Places in an order where a third of the rows has one value."""
+    key = F.col("o_orderkey")
+    v = F.when(key % 3 == 0, 50).when(key % 50 != 1, F.col("o_custkey"))
+    return columns.positions(table(spark, d, "orders").select(key, v.alias("v")), ["v", "o_orderkey"]).select("o_orderkey", "pos")
+
+
+@query("SELECT pos, v - coalesce(lag(v) OVER (ORDER BY pos), 0) AS delta, v AS value FROM (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders)")
+def delta_carried(spark, d):
+    """Steps without restarts: sums go on from one part to the next."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("v"))
+    coded = columns.delta_encode(columns.positions(o, ["o_orderkey"]), "v", part=4096)
+    return columns.delta_decode(coded.select("pos", "delta"), part=4096).select("pos", "delta", "value")
+
+
 def _tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", F.transform(F.sequence(F.lit(0), F.col("p_size") % 5), lambda i: ((F.col("p_partkey") * 31 + i * 997) % 65536).cast("int")).alias("ids"))
 
@@ -500,6 +556,30 @@ def fulltext_match(spark, d):
     return p.join(hits, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
+_TERMS = r"terms AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS t FROM documents), lined AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS line FROM terms)"
+
+
+def _placed(spark, d) -> DataFrame:
+    """All documents' postings with places, stored in the order of terms."""
+    path = scratch.new_path(spark)
+    search.save_postings(search.positional_postings(table(spark, d, "documents"), "doc_id", "text"), path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, 'phrase' AS asked FROM lined WHERE contains(line, ' apache license ') UNION ALL SELECT doc_id, 'prefix' FROM lined WHERE contains(line, ' mit li') UNION ALL SELECT doc_id, 'query' FROM lined WHERE contains(line, ' apache license ') AND contains(line, ' under ') AND contains(line, ' ver')")
+def fulltext_phrases(spark, d):
+    """Neighbouring words, neighbouring words of which the last is a prefix, and a query of a phrase and terms."""
+    index = _placed(spark, d)
+    found = {"phrase": search.phrase(index, "Apache License", "doc_id"), "prefix": search.phrase(index, "mit li*", "doc_id"), "query": search.match_phrases(index, 'under "apache license" ver*', "doc_id")}
+    return found["phrase"].withColumn("asked", F.lit("phrase")).unionByName(found["prefix"].withColumn("asked", F.lit("prefix"))).unionByName(found["query"].withColumn("asked", F.lit("query")))
+
+
+@query(f"""WITH {_TERMS}, places AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM terms)
+SELECT DISTINCT a.doc_id FROM places a JOIN places b ON a.doc_id = b.doc_id AND abs(a.i - b.i) - 1 BETWEEN 0 AND 5 WHERE a.term = 'license' AND b.term = 'version'""")
+def fulltext_near(spark, d):
+    return search.near(_placed(spark, d), "license", "version", 5, "doc_id")
+
+
 @query("SELECT c_name, c_custkey FROM customer WHERE starts_with(c_name, 'Customer#00000001') ORDER BY c_name, c_custkey LIMIT 20")
 def name_prefix_search(spark, d):
     return search.name_prefix(table(spark, d, "customer").select("c_name", "c_custkey"), "c_name", "Customer#00000001", 20)
@@ -522,6 +602,17 @@ def round_and_format(spark, d):
     return places(spark, d).select("c_custkey", F.round("lat", 6).alias("lat6"), text.thousands(F.col("c_custkey") * 1000).alias("shown"))
 
 
+@query("""WITH each AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 15485863 + l_linenumber * 611953) % 1799999983 + 100000 AS k FROM lineitem),
+exact AS (SELECT *, CAST(CAST(k AS DOUBLE) / CAST(10000000 AS DOUBLE) * CAST(1152921504606846976 AS DOUBLE) AS HUGEINT) * 1000000 AS whole FROM each),
+cut AS (SELECT *, whole // 1152921504606846976 AS units, whole % 1152921504606846976 AS rest FROM exact)
+SELECT l_orderkey, l_linenumber, k, CAST(units + CASE WHEN rest > 576460752303423488 OR (rest = 576460752303423488 AND units % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / CAST(1000000 AS DOUBLE) AS rounded FROM cut""")
+def exact_rounding(spark, d):
+    """Values of seven decimals to six; the SQL takes the binary fraction as an integer."""
+    k = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 15485863 + F.col("l_linenumber") * 611953) % 1799999983 + 100000
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", k.alias("k"))
+    return rows.withColumn("rounded", exact.round_half_even(F.col("k").cast("double") / 1e7, 6))
+
+
 @query("SELECT c_custkey, printf('%s (%.4f, %.4f) - %s, %s', c_name, lat, lat / 2, c_mktsegment, CAST(c_nationkey AS VARCHAR)) AS shown, printf('%.2f', lat) AS lat2, printf('%.3f', lat) AS lat3 FROM (SELECT *, CAST((c_custkey * 7919) % 17999 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(90 AS DOUBLE) AS lat FROM customer)")
 def fixed_decimals(spark, d):
     p = places(spark, d)
@@ -551,6 +642,21 @@ def stream_enrichment(spark, d):
     return enrich.with_city(table(spark, d, "events").select("event_id", lat.alias("lat"), lon.alias("lon")), named, "lat", "lon").select("event_id", "city_name")
 
 
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, n_name AS city_name, count(*) AS events FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY ALL")
+def stream_counts(spark, d):
+    """Events in four files, taken one a batch by a stream that meets the cities and keeps hourly counts; it stops when all are read."""
+    base = scratch.new_path(spark)
+    spot = lambda k: ((k * 7 - 88).cast("double"), (k * 13 - 170).cast("double"))
+    named = keys.shortest_unique_keys(table(spark, d, "nation").withColumn("gh", geo.geohash(*spot(F.col("n_nationkey")))), "gh", "n_nationkey")
+    named.select(F.col("key").alias("geohash"), F.col("n_name").alias("city_name")).write.parquet(f"{base}/cities")
+    lat, lon = spot(F.col("user_id") % 25)
+    points = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), lat.alias("lat"), lon.alias("lon"))
+    points.repartition(4).write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    enrich.run_counts(stream, spark.read.parquet(f"{base}/cities"), "ts", f"{base}/out", f"{base}/state", window="1 hour", late="3650 days")
+    return enrich.latest_counts(spark, f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "city_name", "events")
+
+
 def _dumps(spark, d, places_of: DataFrame | None = None) -> dict[str, DataFrame]:
     """The test tables in the dumps' layouts."""
     p = places_of or places(spark, d)

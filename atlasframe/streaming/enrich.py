@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import geohash
@@ -22,3 +22,25 @@ def city_counts(enriched: DataFrame, time: str, window: str = "5 minutes", late:
     """Events for each city and window of time; rows later than ``late`` are left out."""
     counted = enriched.withWatermark(time, late).groupBy(F.window(time, window), "geohash", "city_name").agg(F.count(F.lit(1)).alias("events"))
     return counted.select(F.col("window.start").alias("window_start"), "geohash", "city_name", "events")
+
+
+def run_counts(points: DataFrame, cities: DataFrame, time: str, out: str, state: str, lat: str = "lat", lon: str = "lon", window: str = "5 minutes", late: str = "10 minutes") -> None:
+    """Run a stream of points to its present end: what changed in each batch goes to ``<out>/batch=<number>``.
+
+    Progress and counts are kept in the checkpoint ``state``, so a later run goes on where this one ended.
+    A batch that is run again, after a failure between its writing and its mark, replaces its own folder:
+    each batch counts once.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counted = city_counts(with_city(points, cities, lat, lon), time, window, late)
+    query = counted.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest count of each window and city that ``run_counts`` wrote."""
+    kept = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return kept.groupBy("window_start", "geohash", "city_name").agg(F.max_by("events", "batch").alias("events"))

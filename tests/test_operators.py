@@ -62,7 +62,7 @@ def test_first_wins(spark, seed):
     rng = random.Random(seed)
     rows = [(i, rng.randrange(30), rng.randrange(1, 20), rng.choice("abcx")) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, place int, population int, iso string")
-    done = normalize.first_wins(df, [F.col("place")], [F.desc("population"), F.asc("id")], F.col("iso") != "x")
+    done = normalize.first_wins(df, [F.col("place")], [-F.col("population"), F.col("id")], F.col("iso") != "x")
     assert {r["id"]: r["outcome"] for r in done.collect()} == replayed(rows, set("abc"))
 
 
@@ -70,7 +70,7 @@ def test_front_and_delta_coding_round_trip(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 13))) for _ in range(300)})
     df = spark.createDataFrame([(w, i * 7 % 1000) for i, w in enumerate(words)], "w string, v long")
-    placed = columns.positions(df, ["w"], F.left("w", F.lit(1)))
+    placed = columns.positions(df, ["w"])
     assert [r["w"] for r in placed.orderBy("pos").collect()] == words
     for block in (None, 64):
         coded = columns.front_encode(placed, "w", block)
