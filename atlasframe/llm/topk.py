@@ -1,172 +1,195 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are dealt to blocks; a block's index, built once, holds for each dimension the postings (row
-and value) in order of value.  A posting's impact for a query is the size of its contribution to the
-score.  Postings are processed in rounds of falling impact: a round takes from both ends of every
-dimension the stretches whose impact reaches the round's level, and adds their contributions to the
-rows' scores; a dimension of which much is due is added whole, as a column, for all queries of a chunk
-that ask so at once.  What a row can still gain or lose is bounded by the sum of the dimensions' next
-impacts.  A query stops once the rows that these bounds leave possible are few, or all postings are
-done, and the possible rows are scored exactly.  Nothing is dropped without that proof.
-
-Vectors that are null, or hold a null or non-finite component, and rows without an id take no part;
-nor do vectors whose squared length isn't below 2**63 after scaling, as scores that fit a long are
-only certain below that.  Vectors are compared with those of the same length only.  Repeated rows are
-candidates each on its own; a query that is repeated is asked once.  Rows with the query's id are no
-candidates.  Equal scores go to the smaller id.  An empty table gives an empty result.  Other columns
-are ignored.
+Vectors are dealt to blocks; a block's index, built once, holds the postings (row and quantised value) of
+each dimension in segments of one value.  A segment's impact for a query is the size of what its value
+contributes to the score.  Segments of all dimensions are processed in batches of falling impact: a batch
+is everything down to the next level, and adds the contributions to the rows' scores so far.  Segments
+of a dimension lie in order of value, so a batch takes a stretch at each end.  What a row can still gain
+or lose is bounded by the sum of the dimensions' next impacts.  A query stops once the rows that these
+bounds leave possible are few, or all segments are done; the possible rows are scored exactly.  Nothing
+is dropped without that proof.
+
+Vectors that are null, or hold a null or non-finite component, and rows without an id take no part.
+Components may be of any size: rows and queries whose sums could pass 2**52 are scored in whole numbers
+of any length instead, and only pairs whose score doesn't fit a long are left out.  Vectors are compared
+with those of the same length only.  Repeated rows are candidates each on its own; a query that is
+repeated is asked once.  Rows with the query's id are no candidates.  Equal scores go to the smaller id.
+An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import slices
+
 #: Rows of a block of the index at most, and at least where there are fewer than TASKS blocks.
 BLOCK_ROWS, LEAST_ROWS, TASKS = 65_536, 16_384, 24
-#: Queries that a block processes at once.
-CHUNK = 64
-#: Levels of the rounds, as parts of the largest impact; the last round takes all that is left.
-LEVELS = (0.25, 0.06, 0.015)
-#: A dimension more than this part of whose postings a round takes is processed whole, as a column.
-WHOLE = 1 / 64
+#: Queries that are taken from a task's input at once.
+QUERIES = 512
+#: Levels of the batches, as parts of the largest impact; the last batch takes all that is left.
+LEVELS = (0.5, 0.3, 0.18, 0.1, 0.06, 0.035, 0.02, 0.01, 0.0)
 #: A query stops when no more than one row in so many is possible.
 STOP_PART = 24
+#: Values below this are indexed; a row with a larger one is scored by itself.
+_ORDINARY, _EXACT = 2.0**24, 2.0**52
 
 
 class ImpactIndex:
-    """Postings of a block, for each dimension in order of value."""
+    """The segments of a block: for each dimension its rows in order of value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        self.dims = self.vectors.shape[1]
+        ids, vectors = ids[order], vectors[order]
+        outsized = (np.abs(vectors) >= _ORDINARY).any(axis=1)
+        self.far_ids, self.far = ids[outsized], vectors[outsized]
+        self.ids, self.vectors = ids[~outsized], np.ascontiguousarray(vectors[~outsized])
+        self.dims = vectors.shape[1]
         self.peaks = np.abs(self.vectors).max(axis=0, initial=0)
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T
-        self.columns = np.ascontiguousarray(self.vectors.T)
-        self.values = np.take_along_axis(self.columns, self.rows, axis=1)
-        self._kinds: dict[type, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _as(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and values as floats that stay exact, or as integers."""
-        if kind not in self._kinds:
-            self._kinds[kind] = (self.columns.astype(kind), self.values.astype(kind))
-        return self._kinds[kind]
-
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, positions and scores of the ``k`` best rows but those with its id, best first."""
-        out = []
-        for at in range(0, len(queries), CHUNK):
-            out += self._search(own[at : at + CHUNK], queries[at : at + CHUNK], k)
-        return out
-
-    def _search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        n = len(self.ids)
-        begins, ends = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        want = np.minimum(n, k + ends - begins)
-        largest = int((np.abs(queries).astype(np.float64) @ self.peaks.astype(np.float64)).max(initial=0))
-        kind = np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else np.int64  # sums of products stay exact
-        possible = self._possible(queries, want, kind) if n > 4 * want.max() and kind is not np.int64 else [np.arange(n)] * len(queries)
-        out = []
-        for q, found, a, z in zip(queries, possible, begins, ends, strict=True):
-            found = found[(found < a) | (found >= z)]
-            scores = self.vectors[found] @ q
-            if len(scores) > 4 * k:
-                top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                found, scores = found[top], scores[top]
-            best = np.lexsort((found, -scores))[:k]
-            out.append((found[best], scores[best]))
-        return out
-
-    def _possible(self, queries: np.ndarray, want: np.ndarray, kind: type) -> list[np.ndarray]:
-        """For each query, rows that may be among its ``want`` best: a proven superset."""
-        n, (columns, values) = len(self.ids), self._as(kind)
-        exact = queries.astype(kind)
-        acc = np.zeros((len(queries), n), dtype=kind)
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-        weights = np.abs(queries).astype(np.float64)
-        top = (weights * self.peaks).max(axis=1, initial=0.0)
-        begin, end = np.zeros(queries.shape, np.int64), np.where(queries != 0, n, 0)  # the stretch not done yet
-        live = np.arange(len(queries))
-        for level in (*LEVELS, 0.0):
-            edge = np.divide((level * top)[:, None], weights, out=np.full(weights.shape, np.inf), where=weights > 0)
-            whole = np.zeros(queries.shape, dtype=bool)
-            rest = np.zeros(len(queries))
-            for d in range(self.dims):
-                asks = live[begin[live, d] < end[live, d]]
-                if not len(asks):
+        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
+        self.values = np.take_along_axis(np.ascontiguousarray(self.vectors.T), self.rows, axis=1)
+        self.processed = 0  # postings
+
+    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best rows but those with the id ``own``, best first."""
+        if float(np.abs(query) @ self.peaks) < _EXACT:
+            skipped = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
+            found = self.possible(query, k + skipped) if len(self.ids) else np.zeros(0, np.int64)
+            ids, scores = self.ids[found], (self.vectors[found] @ query).astype(np.int64)
+            far_ids, far = _whole_scores(self.far_ids, self.far, query)
+            ids, scores = np.r_[ids, far_ids], np.r_[scores, far]
+        else:
+            ids, scores = _whole_scores(np.r_[self.ids, self.far_ids], np.r_[self.vectors, self.far], query)
+        ids, scores = ids[ids != own], scores[ids != own]
+        if len(scores) > 4 * k:
+            top = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[top], scores[top]
+        best = np.lexsort((ids, ~scores))[:k]  # ~ turns the order round, without overflow
+        return ids[best], scores[best]
+
+    def possible(self, query: np.ndarray, want: int) -> np.ndarray:
+        """Rows that may be among the ``want`` best: a proven superset."""
+        n, want = len(self.ids), min(len(self.ids), want)
+        weights = np.abs(query)
+        top = (weights * self.peaks).max(initial=0.0)
+        begin, end = np.zeros(self.dims, np.int64), np.where(query != 0, n, 0)  # the stretch not done yet
+        scores = np.zeros(n)
+        asked = np.flatnonzero(query)
+        found = np.arange(n)
+        for level in LEVELS:
+            rows, gains = [], []
+            rest = 0.0
+            for d in asked.tolist():
+                a, b = begin[d], end[d]
+                if a == b:
                     continue
+                values = self.values[d]
                 if level:
-                    a = np.clip(np.searchsorted(self.values[d], -edge[asks, d], "right"), begin[asks, d], end[asks, d])
-                    b = np.maximum(a, np.clip(np.searchsorted(self.values[d], edge[asks, d], "left"), begin[asks, d], end[asks, d]))
-                    all_of = a - begin[asks, d] + end[asks, d] - b > WHOLE * n
+                    edge = level * top / weights[d]
+                    low, high = a + np.searchsorted(values[a:b], -edge, "right"), a + np.searchsorted(values[a:b], edge, "left")
+                    high = max(low, high)
                 else:
-                    a = b = end[asks, d]
-                    all_of = np.ones(len(asks), dtype=bool)
-                whole[asks, d] = all_of
-                for i, x, y, w in zip(asks.tolist(), a.tolist(), b.tolist(), all_of.tolist(), strict=True):
-                    old = (slice(0, begin[i, d]), slice(end[i, d], n)) if w else (slice(begin[i, d], x), slice(y, end[i, d]))
-                    for part in old:  # of a column, what was done before comes off again
-                        if part.stop > part.start:
-                            acc[i, self.rows[d, part]] += values[d, part] * (-exact[i, d] if w else exact[i, d])
-                begin[asks, d], end[asks, d] = np.where(all_of, n, a), np.where(all_of, n, b)
-                left = asks[begin[asks, d] < end[asks, d]]
-                if len(left):
-                    rest[left] += weights[left, d] * np.maximum(np.abs(self.values[d, begin[left, d]]), np.abs(self.values[d, end[left, d] - 1]))
-            acc[live] += np.where(whole[live], exact[live], 0) @ columns
-            going = []
-            for i in live.tolist():
-                found[i] = np.nonzero(acc[i] >= np.partition(acc[i], n - want[i])[n - want[i]] - 2 * rest[i])[0]
-                if len(found[i]) > max(8 * want[i], n // STOP_PART):
-                    going.append(i)
-            live = np.array(going, dtype=np.int64)
-            if not len(live):
+                    low = high = b
+                for part in (slice(a, low), slice(high, b)):
+                    if part.stop > part.start:
+                        rows.append(self.rows[d, part])
+                        gains.append(values[part] * query[d])
+                begin[d], end[d] = low, high
+                if low < high:
+                    rest += weights[d] * max(abs(values[low]), abs(values[high - 1]))
+            if rows:
+                batch = np.concatenate(rows)
+                self.processed += len(batch)
+                scores += np.bincount(batch, np.concatenate(gains), minlength=n)
+            found = np.flatnonzero(scores >= np.partition(scores, n - want)[n - want] - 2 * rest)
+            if len(found) <= max(8 * want, n // STOP_PART):
                 break
         return found
 
 
+def _whole_scores(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores in whole numbers of any length, those that fit a long."""
+    q = [int(x) for x in query.tolist()]
+    scores = [sum(int(a) * b for a, b in zip(v, q, strict=True)) for v in vectors.tolist()]
+    fits = [k for k, s in enumerate(scores) if -(2**63) <= s < 2**63]
+    return ids[fits], np.array([scores[k] for k in fits], dtype=np.int64)
+
+
 def _impacts(of: Column, scale: int) -> Column:
-    return F.transform(of, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    def one(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) < _EXACT, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond, all doubles are whole
+
+    return F.transform(of, one)
 
 
 def impact_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """id and ``v``, the quantised impacts, of the rows that take part."""
-    bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    squares = F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, x: acc + F.pow(F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"), F.lit(2.0)))
+    """id and ``v``, the quantised impacts (whole numbers as doubles), of the rows that take part."""
+    bad = F.exists(F.col(vec_col), lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * scale) == float("inf")))
     good = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.coalesce(bad, F.lit(False))
-    return rows.where(good).where(squares < 2.0**63).select(F.col(id_col).cast("long").alias("id"), _impacts(F.col(vec_col), scale).alias("v"))
+    return rows.where(good).select(F.col(id_col).cast("long").alias("id"), _impacts(F.col(vec_col), scale).alias("v"))
+
+
+_FOUND = ["query_id", "key", "vec_id", "score"]
+
+
+def _searching(k: int):
+    """A function over a task's rows, sorted by (dims, block, asks): a block's vectors come before the queries
+    that are asked of it, which pass by in small batches."""
+
+    def matrix(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+        return batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[int, int] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        index: ImpactIndex | None = None
+        for batch in slices(batches, QUERIES):
+            dims, blocks, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            edges = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1]), True]).tolist()
+            for a, z in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, z - a)
+                key = (int(dims[a]), int(blocks[a]))
+                if key != now:
+                    now, held, index = key, [], None
+                ids, vectors = part.column(3).to_numpy(), matrix(part, key[0])
+                if not asks[a]:
+                    held.append((ids, vectors))
+                    continue
+                if index is None and held:
+                    index, held = ImpactIndex(*[np.concatenate(c) for c in zip(*held, strict=True)]), []
+                if index is None:
+                    continue
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in _FOUND]
+                for own, hashed, query in zip(ids.tolist(), part.column(5).to_pylist(), vectors, strict=True):
+                    found, scores = index.search(own, query, k)
+                    for column, x in zip(out, (np.full(len(found), own), np.full(len(found), hashed), found, scores), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], _FOUND)
+
+    return run
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``k`` best rows.
 
     ``index`` and ``queries`` have columns id and v.  A row goes to one block, whose index one task
-    builds once; queries are copied to every block, and what a block finds for a query, ``k`` rows at
-    most, is merged at the end.
+    builds once; queries are copied to every block and pass by the index, a batch in memory at a time.
+    What a block finds for a query, ``k`` rows at most, is merged at the end.
     """
     rows = index.count()
     blocks = max(1, -(-rows // block_rows), min(TASKS, -(-rows // LEAST_ROWS)))
-    kinds = [F.size("v").alias("dims"), F.xxhash64("v").alias("key")]
-    data = index.select("id", "v", *kinds, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"))
+    hashed = F.xxhash64("v").alias("key")
+    data = index.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "v", hashed)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    asks = queries.distinct().select("id", "v", *kinds, every.alias("block"), F.lit(True).alias("asks"))
-    names = ["query_id", "key", "vec_id", "score"]
-
-    def search(group: pa.Table) -> pa.Table:
-        ids, keys, asks = group["id"].to_numpy(), group["key"].to_numpy(), group["asks"].to_numpy(zero_copy_only=False)
-        flat = group["v"].combine_chunks()
-        vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        if not asks.all() and asks.any():
-            found = ImpactIndex(ids[~asks], vectors[~asks])
-            for own, key, (at, scores) in zip(ids[asks], keys[asks], found.search(ids[asks], vectors[asks], k), strict=True):
-                for column, x in zip(out, (np.full(len(at), own), np.full(len(at), key), found.ids[at], scores), strict=True):
-                    column.append(x)
-        return pa.table({n: np.concatenate([np.zeros(0, np.int64), *c]) for n, c in zip(names, out, strict=True)})
-
-    met = data.unionByName(asks).groupBy("dims", "block").applyInArrow(search, ", ".join(f"{n} long" for n in names))
+    asks = queries.distinct().select(F.size("v").alias("dims"), every.alias("block"), F.lit(True).alias("asks"), "id", "v", hashed)
+    met = data.unionByName(asks).repartition(blocks, "dims", "block").sortWithinPartitions("dims", "block", "asks")
+    found = met.mapInArrow(_searching(k), ", ".join(f"{n} long" for n in _FOUND))
     best = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

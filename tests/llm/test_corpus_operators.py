@@ -188,25 +188,73 @@ def test_top_k(spark):
     for r in topk.top_k(vectors, asked, 20, block_rows=150).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     q = lambda v: [int(np.floor(64 * np.float64(np.float32(x)))) for x in v]
-    ints = [(i, q(v)) for i, v in rows] + [(961, q(odd[1][1])), (920, [64] * 3), (921, [128] * 3)]
+    ints = [(i, q(v)) for i, v in rows] + [(960, q(odd[0][1])), (961, q(odd[1][1])), (920, [64] * 3), (921, [128] * 3)]
     for i, v in ints:
         if i % 20 or i == 20:  # 20 is asked with two vectors
             continue
-        best = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != i and len(w) == len(v)))[:20]
+        scored = ((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != i and len(w) == len(v))
+        best = sorted(x for x in scored if -(2**63) < x[0] <= 2**63)[:20]  # what fits a long
         assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert topk.top_k(vectors.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_loses_no_pair_that_fits_a_long(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3e8, 0.0]), (2, [0.5, 0.0]), (3, [1e17, 0.0]), (4, [1e30, 0.0]), (5, [-1e15, 3e38]), (40, [0.0, 1.0]), (60, [1e16, 1e16])]
+    vectors = topk.impact_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("id % 20 = 0"), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    for q in (20, 40, 60):
+        scored = [(j, sum(a * b for a, b in zip(whole[q], v))) for j, v in whole.items() if j != q]
+        assert sorted(got.get(q, [])) == sorted((j, s) for j, s in scored if -(2**63) <= s < 2**63)
+    assert (1, 64 * 64 * 3 * 10**8) in got[20] and len(got[20]) == 4
+
+
 def test_top_k_index_is_exact():
     rng = np.random.default_rng(1)
-    for n, dims, top in ((2000, 16, 30), (500, 1, 3), (300, 64, 2**22), (900, 3, 2**30), (3000, 20, 2), (1, 4, 9)):
+    for n, dims, top in ((2000, 16, 30), (500, 1, 3), (300, 64, 2**22), (900, 3, 2**30), (3000, 20, 2), (1, 4, 9), (400, 5, 2**25)):
         v = rng.integers(-top, top, (n, dims))
-        index = topk.ImpactIndex(np.arange(n) * 3, v)
-        asked = np.arange(0, n, 7)
-        for i, (at, scores) in zip(asked, index.search(asked * 3, v[asked], 7)):
+        index = topk.ImpactIndex(np.arange(n) * 3, v.astype(float))
+        for i in range(0, n, 7):
+            ids, scores = index.search(i * 3, v[i].astype(float), 7)
             s = v @ v[i]
             order = [j for j in np.lexsort((np.arange(n), -s)) if j != i][:7]
-            assert list(at) == order and list(scores) == [s[j] for j in order]
+            assert ids.tolist() == [3 * j for j in order] and scores.tolist() == [s[j] for j in order]
+
+
+def test_segments_are_processed_by_falling_impact(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.floor(rng.standard_t(2, (4000, 6)) * 20)
+    index = topk.ImpactIndex(np.arange(4000), v)
+    for q in v[:50]:
+        index.processed = 0
+        found = index.possible(q, 20)
+        scores = v @ q
+        assert scores.max() in scores[found] and set(np.flatnonzero(scores > np.sort(scores)[-21])) <= set(found.tolist())
+        impacts = np.sort(np.abs(v * q), axis=None)[::-1]
+        levels = [x * impacts[0] for x in topk.LEVELS]
+        assert index.processed in {int((impacts >= x).sum()) if x else int((q != 0).sum()) * 4000 for x in levels} | {int((impacts > x).sum()) for x in levels}
+    index.processed = 0
+    for q in v[:50]:
+        index.possible(q, 20)
+    assert index.processed < 50 * 4000 * 6 * 0.95  # it stops on proof before the end
+
+
+def test_queries_pass_by_the_index_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-5, 6, 4)]) for i in range(700)]
+    vectors = topk.impact_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), scale=1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(vectors, vectors, 5, block_rows=90).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    m = np.array([v for _, v in rows])
+    for i in range(700):
+        s = m @ m[i]
+        order = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:5]
+        assert [found[i, r + 1] for r in range(5)] == [(j, s[j]) for j in order]
 
 
 def slow_fingerprint(text, k=3):
