@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +40,22 @@ def build(spark: SparkSession, source: dict[str, str], out: str, vocab_size: int
     places left out.
     """
     store.refuse_or_replace(spark, out, mode)
-    read = {name: tsv.read_dump(spark, path, schema.DUMPS[name]) for name, path in source.items()}
+    read = dict(zip(source, scratch.at_once(partial(tsv.read_dump, spark, path, schema.DUMPS[name]) for name, path in source.items()), strict=True))
     rows = {name: d.rows for name, d in read.items()}
-    for name, key in (("geoname", "geonameid"), ("admin1", "key"), ("country", "ISO")):
-        tsv.require_unique(rows[name], key, name)
+    scratch.at_once(partial(tsv.require_unique, rows[name], key, name) for name, key in (("geoname", "geonameid"), ("admin1", "key"), ("country", "ISO")))
     version = store.Version.begin(spark, out)
     made = simplified(rows)
     version.save({"classified": made["classified"], "countries": made["countries"], "regions": made["regions"], "fulltext": normalize.fulltext_rows(rows["geoname"], rows["admin1"], rows["country"])})
     classified, countries, regions = (version.load(t) for t in ("classified", "countries", "regions"))
     cities, quarantine = keyed_cities(normalize.cities_of(classified), require_region)
     version.save({"cities": cities, "quarantine": quarantine}, city_files)
-    store.add_paths(spark, version.place, "cities", ["country_id", "region_id", "city_name"])
     cities = version.load("cities")
-    vocabulary = bpe.learn(bpe.corpus((cities, "city_name"), (regions, "region_name"), (countries, "country_name")), "name", vocab_size)
+    corpus = bpe.corpus((cities, "city_name"), (regions, "region_name"), (countries, "country_name"))
+    vocabulary, _ = scratch.at_once([lambda: bpe.learn(corpus, "name", vocab_size), lambda: store.add_paths(spark, version.place, "cities", ["country_id", "region_id", "city_name"])])
     version.save({"placed": columns.by_key(cities), "vocabulary": bpe.vocabulary_table(spark, vocabulary), "merges": bpe.merges_table(spark, vocabulary)})
-    counts = normalize.outcome_counts(classified).first().asDict()
-    counts |= {f"{name}_rejects": d.rejects.count() for name, d in read.items()}
-    counts |= {"cities": cities.count(), "quarantined": version.load("quarantine").count(), "regions": regions.count(), "countries": countries.count(), "vocabulary": len(vocabulary.tokens)}
+    counted = {f"{name}_rejects": d.rejects for name, d in read.items()} | {"cities": cities, "quarantined": version.load("quarantine"), "regions": regions, "countries": countries}
+    outcomes, *numbers = scratch.at_once([normalize.outcome_counts(classified).first, *[df.count for df in counted.values()]])
+    counts = outcomes.asDict() | dict(zip(counted, numbers, strict=True)) | {"vocabulary": len(vocabulary.tokens)}
     version.publish()
     store.vacuum(spark, out)
     return counts
@@ -73,7 +74,7 @@ def region_numbers(placed: DataFrame) -> DataFrame:
 def bundle_sections(placed: DataFrame, regions: DataFrame, countries: DataFrame, vocabulary: bpe.Vocabulary) -> dict[str, tuple[DataFrame, int]]:
     """The six encoded columns of cities with ``pos``; ids of regions and countries must be 1..N."""
     placed = region_numbers(placed)
-    n, m, k = placed.count(), regions.count(), countries.count()
+    n, m, k = scratch.at_once([placed.count, regions.count, countries.count])
     return {
         "geohash": (columns.front_rows(columns.front_encode(placed, "geohash")), n),
         "region_id": (columns.delta_rows(columns.delta_encode(placed, "region_id")), n),
@@ -102,7 +103,7 @@ def tokenize(spark: SparkSession, path: str, out: str, keep_original: bool = Fal
 def _encoded(tables: dict[str, DataFrame], vocabulary: bpe.Vocabulary) -> tuple[dict[str, tuple[DataFrame, int]], DataFrame]:
     """The encoded columns, each written once, and the index that lets readers begin within them."""
     sections = bundle_sections(tables["placed"], tables["regions"], tables["countries"], vocabulary)
-    kept = {name: (scratch.written(df), n) for name, (df, n) in sections.items()}
+    kept = dict(zip(sections, zip(scratch.at_once(partial(scratch.written, df) for df, _ in sections.values()), [n for _, n in sections.values()], strict=True), strict=True))
     return kept, ranged.index_of(region_numbers(tables["placed"]), kept["geohash"][0], kept["city_tokens"][0])
 
 

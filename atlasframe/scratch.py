@@ -5,13 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths given out by this process, deleted at its end.
 _given: list[str] = []
 
 
+def at_once(calls: Iterable[Callable[[], Any]]) -> list:
+    """What the calls return, in their order; they run side by side, so that small jobs don't wait for each
+    other.  All are ended when the first failure, if any, is raised."""
+    calls = list(calls)
+    with ThreadPoolExecutor(max(1, min(8, len(calls)))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(c)) for c in calls]
+    return [w.result() for w in waiting]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; a folder of this machine only where the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

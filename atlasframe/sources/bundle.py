@@ -10,12 +10,15 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import scratch
+
 # The format's mark, and its sections in order.
 MAGIC = b"CITYDB01"
 SECTIONS = ("geohash", "region_id", "country_id", "city_tokens", "region_tokens", "country_tokens")
@@ -255,8 +258,9 @@ def _section_parts(df: DataFrame, n: int) -> tuple[int, Iterator[bytes]]:
 def write_sections(spark: SparkSession, folder: str, sections: dict[str, tuple[DataFrame, int]], overwrite: bool = True) -> dict[str, int]:
     """Write each section as a file of its own; their sizes are returned."""
     sizes = {}
-    for name, (df, n) in sections.items():
-        sizes[name], parts = _section_parts(df, n)
+    made = scratch.at_once(partial(_section_parts, df, n) for df, n in sections.values())
+    for name, (size, parts) in zip(sections, made, strict=True):
+        sizes[name] = size
         out = _create(spark, f"{folder}/{FILES[name]}", overwrite)
         try:
             for part in parts:
@@ -299,6 +303,7 @@ def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections
     ``vocabulary``: token_id and token.  ``sections``: for each name a DataFrame with ``pos`` and
     ``data`` (the encoded row) and its row count.  Rows stream through the driver in order.
     """
+    made = dict(zip(SECTIONS, scratch.at_once(partial(_section_parts, *sections[name]) for name in SECTIONS), strict=True))
     counts = [vocabulary.count(), sections["geohash"][1], sections["region_tokens"][1], sections["country_tokens"][1]]
     out = _create(spark, path, overwrite)
     total = 0
@@ -314,7 +319,7 @@ def write_bundle(spark: SparkSession, path: str, vocabulary: DataFrame, sections
             text = r["token"].encode("utf-8")
             put(struct.pack(">HB", r["token_id"], len(text)) + text)
         for name in SECTIONS:
-            size, parts = _section_parts(*sections[name])
+            size, parts = made[name]
             put(struct.pack("<I", size))
             for part in parts:
                 put(part)

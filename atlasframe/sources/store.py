@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Bits of a Bloom filter for each distinct value, and places of a value: about 1 in 120 is a false alarm.
 BITS, PLACES = 10, 7
 _LOG = "versions"
@@ -25,11 +28,14 @@ _LOG = "versions"
 def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", city_files: int | None = None) -> None:
     """Write ``tables`` below ``path``; cities are range-partitioned and sorted by key, so that the
     row groups' least and greatest keys let lookups and prefix scans skip most of them."""
-    for name, df in tables.items():
+
+    def write(name: str, df: DataFrame) -> None:
         if name == "cities" and "geohash" in df.columns:
             df = (df.repartitionByRange(city_files, "geohash") if city_files else df.repartitionByRange("geohash")).sortWithinPartitions("geohash")
         df.write.mode(mode).parquet(f"{path}/{name}")
 
+    scratch.at_once(partial(write, name, df) for name, df in tables.items())
+
 
 def _files(spark: SparkSession, path: str):
     """The Hadoop file system of ``path``, and a way to name paths in it."""
