@@ -44,8 +44,9 @@ def search_terms(text: Column) -> Column:
 
 
 def term_places(text: Column) -> Column:
-    """All search terms of ``text`` in their order, repeats kept; none of null."""
-    return F.coalesce(F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda t: t != ""), F.array().cast("array<string>"))
+    """All search terms of ``text`` in their order, repeats kept; none of null.  Only ASCII letters are made small."""
+    small = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.filter(F.split(small, r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda t: t != ""), F.array().cast("array<string>"))
 
 
 def thousands(n: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bpe import UNKNOWN, Vocabulary, word_counts
+from .bpe import MOST_WORDS, UNKNOWN, Vocabulary, train, word_counts
 
 #: Pairs that a round looks at.
 TOP = 512
@@ -136,3 +136,15 @@ def learn_tables(names: DataFrame, column: str = "name", vocab_size: int = 1000,
         scratch.forget_written(pairs)
         words, pairs = after.drop("changes"), summed
     return Vocabulary(tuple(tokens), tuple(merges))
+
+
+def learn(names: DataFrame, column: str = "name", vocab_size: int = 1000, least: int = 1, most_words: int = MOST_WORDS) -> Vocabulary:
+    """A vocabulary of any number of words: up to ``most_words`` distinct ones the driver's loop learns it in one
+    go, beyond that the tables do.  Both give the same."""
+    counts = scratch.written(word_counts(names, column).where(F.col("n") >= least))
+    if counts.count() > most_words:
+        scratch.forget_written(counts)
+        return learn_tables(names, column, vocab_size, least)
+    out = train([(r["word"], r["n"]) for r in counts.orderBy("word").toLocalIterator()], vocab_size)
+    scratch.forget_written(counts)
+    return out

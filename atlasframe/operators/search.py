@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_terms, term_places
 
+#: The columns of a full-text table that are searched.
+FIELDS = ("longname", "asciiname", "admin1", "country", "timezone")
+
 
 def postings(df: DataFrame, row_id: str, *columns: str) -> DataFrame:
     """term and row id, once for each term of a row; write it sorted by term to search large tables."""
@@ -58,7 +61,8 @@ def _begins(index: DataFrame, words: str, row_id: str) -> DataFrame:
     """row id, field, place and end of each occurrence of a phrase; its last word may end in ``*``.
 
     A posting votes for the place where the phrase would begin; no postings are joined with each other."""
-    terms = [t for t in re.split(r"[^a-z0-9*\u0080-\U0010ffff]+", words.lower()) if t]
+    plain = re.sub("[A-Z]", lambda m: m[0].lower(), words)
+    terms = re.findall(r"[a-z0-9\u0080-\U0010ffff]+\*?", plain)
     votes = None
     for k, term in enumerate(terms):
         part = index.where(_test(term)).select(row_id, "field", (F.col("place") - k).alias("place"), F.lit(k).alias("_k"))
@@ -86,14 +90,51 @@ def near(index: DataFrame, first: str, second: str, within: int, row_id: str) ->
     return here.join(there, [row_id, "field", "_cell"]).where((gap >= 0) & (gap <= within)).select(row_id).distinct()
 
 
-def match_phrases(index: DataFrame, query: str, row_id: str) -> DataFrame:
-    """Ids of rows that have every quoted phrase and every other term of ``query`` (``*`` ends a prefix)."""
-    parts = sorted({a or b for a, b in re.findall(r'"([^"]*)"|([^\s"]+)', query.lower())} - {""})
+#: A part of a query: perhaps a field's name, then a phrase or a word.
+_PART = re.compile(r'(?:([A-Za-z_]\w*):)?(?:"([^"]*)"|([^\s"]+))')
+
+
+def match_text(index: DataFrame, query: str, row_id: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Ids of rows that match a full-text query over positional postings.
+
+    Words and quoted phrases must all occur; ``*`` ends a prefix, ``name:`` asks one of ``fields`` only,
+    ``NEAR`` or ``NEAR/n`` stands between two that have 10, or n, terms between them at most, ``NOT`` before one
+    that must not occur.  ``OR`` parts whole alternatives.  What asks for nothing finds nothing.
+    """
+
+    def of(field: str | None) -> DataFrame:
+        return index.where(F.col("field") == fields.index(field)) if field else index
+
+    alternatives: list[tuple[list[DataFrame], list[DataFrame]]] = [([], [])]
+    link, before = "", None
+    for field, quoted, word in _PART.findall(query):
+        if word == "OR" and not field:
+            alternatives.append(([], []))
+        if word in ("OR", "AND", "NOT") or re.fullmatch(r"NEAR(/\d+)?", word):
+            link = word
+            continue
+        text, field = (quoted or word, field) if field in fields else (f"{field} {quoted or word}", None)
+        if not re.search(r"[A-Za-z0-9\u0080-\U0010ffff]", text):
+            continue
+        wanted, unwanted = alternatives[-1]
+        if link == "NOT":
+            unwanted.append(phrase(of(field), text, row_id))
+        elif link.startswith("NEAR") and before and before[1] == field:
+            wanted.append(near(of(field), before[0], text, int(link.partition("/")[2] or 10), row_id))
+        else:
+            wanted.append(phrase(of(field), text, row_id))
+        link, before = "", (text, field)
     out = None
-    for p in parts:
-        hits = phrase(index, p, row_id)
-        out = hits if out is None else out.join(hits, row_id, "left_semi")
-    return index.where(F.lit(False)).select(row_id) if out is None else out
+    for wanted, unwanted in alternatives:
+        if not wanted:
+            continue
+        hits = wanted[0]
+        for other in wanted[1:]:
+            hits = hits.join(other, row_id, "left_semi")
+        for other in unwanted:
+            hits = hits.join(other, row_id, "left_anti")
+        out = hits if out is None else out.unionAll(hits)
+    return index.where(F.lit(False)).select(row_id) if out is None else out.distinct()
 
 
 def name_prefix(df: DataFrame, column: str, prefix: str, limit: int = 50) -> DataFrame:

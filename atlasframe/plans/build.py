@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema, scratch
 from ..functions.codec import length_prefixed, tokens_to_blob
 from ..functions.geo import geohash, valid_coordinate
-from ..operators import bpe, columns, keys, normalize, verify
+from ..operators import bpe, bpe_tables, columns, keys, normalize, search, verify
 from ..sources import bundle, ranged, store, tsv
 
 
@@ -51,7 +51,12 @@ def build(spark: SparkSession, source: dict[str, str], out: str, vocab_size: int
     version.save({"cities": cities, "quarantine": quarantine}, city_files)
     cities = version.load("cities")
     corpus = bpe.corpus((cities, "city_name"), (regions, "region_name"), (countries, "country_name"))
-    vocabulary, _ = scratch.at_once([lambda: bpe.learn(corpus, "name", vocab_size), lambda: store.add_paths(spark, version.place, "cities", ["country_id", "region_id", "city_name"])])
+    terms = search.positional_postings(version.load("fulltext"), "geonameid", *search.FIELDS)
+    vocabulary, *_ = scratch.at_once([
+        lambda: bpe_tables.learn(corpus, "name", vocab_size),
+        lambda: store.add_paths(spark, version.place, "cities", ["country_id", "region_id", "city_name"]),
+        lambda: search.save_postings(terms, f"{version.place}/fulltext_terms"),
+    ])
     version.save({"placed": columns.by_key(cities), "vocabulary": bpe.vocabulary_table(spark, vocabulary), "merges": bpe.merges_table(spark, vocabulary)})
     counted = {f"{name}_rejects": d.rejects for name, d in read.items()} | {"cities": cities, "quarantined": version.load("quarantine"), "regions": regions, "countries": countries}
     outcomes, *numbers = scratch.at_once([normalize.outcome_counts(classified).first, *[df.count for df in counted.values()]])

@@ -116,6 +116,14 @@ class Gazetteer:
         cities = self.table("cities")
         return cities.where(F.col(column) == F.lit(value)) if self.place is None else store.find(cities.sparkSession, self.place, "cities", column, value)
 
+    def search_text(self, query: str) -> DataFrame:
+        """The full-text rows that match ``query`` (see ``search.match_text``), of a stored database."""
+        if self.place is None:
+            raise NotLoaded("no stored database is loaded")
+        spark = self.table("cities").sparkSession
+        rows, index = (spark.read.parquet(f"{self.place}/{t}") for t in ("fulltext", "fulltext_terms"))
+        return rows.join(search.match_text(index, query, "geonameid", search.FIELDS), "geonameid", "left_semi")
+
     def locate(self, points: DataFrame, geohash: str) -> DataFrame:
         """Every point with the city in whose cell it lies (an extension)."""
         return keys.locate(points, geohash, self.table("cities"), "geohash")

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from atlasframe.operators import bpe
+from atlasframe.operators import bpe_tables
 from atlasframe.plans.build import build
 from atlasframe.plans.gazetteer import Gazetteer
 from atlasframe.sources import store
@@ -19,7 +19,7 @@ def test_a_build_that_dies_leaves_the_old_store(spark, dumps, tmp_path, monkeypa
     old = Gazetteer.load(spark, path)
     want = sorted(map(tuple, old.table("cities").collect()))
     with monkeypatch.context() as m:
-        m.setattr(bpe, "learn", lambda *a, **k: 1 / 0)
+        m.setattr(bpe_tables, "learn", lambda *a, **k: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             build(spark, dumps, path, vocab_size=60, require_region=False)
     assert len(glob.glob(f"{path}/v-*")) == 2 and len(glob.glob(f"{path}/versions/0*")) == 1
