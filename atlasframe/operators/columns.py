@@ -38,6 +38,19 @@ def _before(df: DataFrame, value: str, block: int | None, part: int = PART) -> D
     return joined.withColumn("_before", F.when(F.col("pos") % part == 0, F.col("_end")).otherwise(F.col("_before"))).drop("_part", "_end")
 
 
+def neighbours(df: DataFrame, value: str, part: int = PART) -> DataFrame:
+    """``df`` with ``_before`` and ``_after``: the values of the rows before and after in the order of ``pos``."""
+    cut, w = _cut(df, part)
+    inside = cut.withColumns({"_before": F.lag(value).over(w), "_after": F.lead(value).over(w)})
+    ends = cut.groupBy("_part").agg(F.min_by(value, "pos").alias("_first"), F.max_by(value, "pos").alias("_last"))
+    earlier = ends.select((F.col("_part") + 1).alias("_part"), F.col("_last"))
+    later = ends.select((F.col("_part") - 1).alias("_part"), F.col("_first"))
+    met = inside.join(earlier, "_part", "left").join(later, "_part", "left")
+    before = F.when(F.col("pos") % part == 0, F.col("_last")).otherwise(F.col("_before"))
+    after = F.when(F.col("pos") % part == part - 1, F.col("_first")).otherwise(F.col("_after"))
+    return met.select(*df.columns, before.alias("_before"), after.alias("_after"))
+
+
 def positions(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``pos``, 0..N-1 in ``order``.
 

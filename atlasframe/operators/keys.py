@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geo import MAX_PRECISION, common_prefix
+from .columns import PART, neighbours, positions
 
 
 def _prefixes(key: Column) -> Column:
@@ -34,13 +34,12 @@ def shortest_unique_keys(df: DataFrame, gh: str, row_id: str) -> DataFrame:
     return joined.select(*df.columns, *_finish(F.col(gh), F.coalesce("_length", F.lit(MAX_PRECISION + 1)), F.col(row_id))).where("key is not null")
 
 
-def shortest_unique_keys_sorted(df: DataFrame, gh: str, row_id: str) -> DataFrame:
-    """The same from each row's neighbours in sorted order: one sort, but all rows meet in one task.
-    For a gazetteer of a few ten thousand places, and to check the other form."""
-    w = Window.orderBy(gh, row_id)
-    rows = df.where(F.col(gh).isNotNull())
-    shared = F.greatest(common_prefix(F.col(gh), F.lag(gh).over(w), MAX_PRECISION), common_prefix(F.col(gh), F.lead(gh).over(w), MAX_PRECISION))
-    return rows.withColumn("_length", shared + 1).select(*df.columns, *_finish(F.col(gh), F.col("_length"), F.col(row_id)))
+def shortest_unique_keys_sorted(df: DataFrame, gh: str, row_id: str, part: int = PART) -> DataFrame:
+    """The same from each row's neighbours in the order of hashes: fewer rows are shuffled, but all are sorted.
+    Ranges of the order are tasks of their own; what a range needs of those beside it is one row each."""
+    placed = neighbours(positions(df.where(F.col(gh).isNotNull()), [gh, row_id]), gh, part)
+    shared = F.greatest(common_prefix(F.col(gh), F.col("_before"), MAX_PRECISION), common_prefix(F.col(gh), F.col("_after"), MAX_PRECISION))
+    return placed.withColumn("_length", shared + 1).select(*df.columns, *_finish(F.col(gh), F.col("_length"), F.col(row_id)))
 
 
 def key_precisions(keyed: DataFrame) -> DataFrame:

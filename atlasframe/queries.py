@@ -823,6 +823,30 @@ def fulltext_table(spark, d):
     return store.load(spark, base, "fulltext").select("geonameid", "longname")
 
 
+@query(f"""WITH {_KEYED} SELECT key AS geohash, c_name AS city_name, replace(c_name, ' ', '') AS decoded FROM keyed""")
+def tokenized_tables(spark, d):
+    """A store's tables with names as tokens beside the names, the tokens decoded again."""
+    base = scratch.new_path(spark)
+    build.build(spark, _written_dumps(spark, d), f"{base}/store", vocab_size=300)
+    build.tokenize(spark, f"{base}/store", f"{base}/tokens", keep_original=True, packing="csv")
+    ids = codec.tokens_from_csv(F.col("city_name_tokens"))
+    return store.load(spark, f"{base}/tokens", "cities").select("geohash", "city_name", bpe.decode(ids, store.load(spark, f"{base}/tokens", "vocabulary")).alias("decoded"))
+
+
+@query("SELECT 'before' AS reader, c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'after', c_custkey FROM customer")
+def store_versions(spark, d):
+    """A reader that opened the store before a new version was published, and one after; a version that never was."""
+    path = scratch.new_path(spark)
+    c = table(spark, d, "customer").select("c_custkey")
+    versions = [store.Version.begin(spark, path) for _ in range(3)]
+    for version, rows in zip(versions, (c.where("c_custkey % 2 = 0"), c, c.limit(0)), strict=True):
+        version.save({"cities": rows})
+    versions[0].publish()
+    before = store.load(spark, path, "cities")
+    versions[1].publish()
+    return before.select(F.lit("before").alias("reader"), "c_custkey").unionAll(store.load(spark, path, "cities").select(F.lit("after"), "c_custkey"))
+
+
 @query("""SELECT 'country_id' AS "by", c_custkey, c_name FROM customer WHERE c_nationkey = 7 UNION ALL
 SELECT 'region_id', c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_custkey % 3 = 1 UNION ALL SELECT 'city_name', c_custkey, c_name FROM customer WHERE c_custkey = 11""")
 def secondary_lookups(spark, d):

@@ -89,6 +89,16 @@ def test_positions_of_ties_nulls_and_nothing(spark):
     assert columns.positions(df.limit(0), ["w"]).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_sorted_keys_in_ranges_equal_the_counted_ones(spark, part):
+    rng = random.Random(part)
+    rows = [(i, "".join(rng.choice("01b") for _ in range(12))[: rng.choice([12, 12, 5])] if rng.random() > 0.1 else None) for i in range(200)]
+    rows += [(1000 + i, "u1hxu1hxu1hx") for i in range(20)]
+    df = spark.createDataFrame([(i, g and (g + "0" * 12)[:12]) for i, g in rows], "id long, gh string").repartition(5)
+    want = {r["id"]: (r["key"], r["precision"]) for r in keys.shortest_unique_keys(df, "gh", "id").collect()}
+    assert {r["id"]: (r["key"], r["precision"]) for r in keys.shortest_unique_keys_sorted(df, "gh", "id", part).collect()} == want
+
+
 def test_locate_keeps_repeated_points(spark):
     cities = spark.createDataFrame([("u1", "big"), ("u1a", "small"), ("s", "other")], "geohash string, name string")
     points = spark.createDataFrame([("u1aaa", 1), ("u1aaa", 1), ("u1b", 2), (None, 3), ("zz", 4)], "gh string, n int")
