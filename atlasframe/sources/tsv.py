@@ -3,10 +3,11 @@
 A quoted field may hold tabs and line ends, so whether a line begins a row depends on all lines before
 it.  Lines are read in splits by Spark's text source, in two passes.  Where a line begins is one of two
 states, outside or inside a quoted field; a line without a quote keeps the state, any other maps each
-state to one.  The first pass maps both states through each split and counts the rows that begin there;
-one small row a split, chained along each file, tells where the splits really begin and with which
-row.  The second pass cuts the rows.  Only a row that crosses a border of splits is put together by a
-shuffle; all others stay in the task that read them.
+state to one.  The first pass counts each split's lines and maps both states through its lines with
+quotes; one small row a split, chained along each file, tells where the splits really begin and with
+which row.  The second pass cuts the rows: a split without quotes that begins outside needs numbers
+only, others go through a small loop over their lines with quotes.  Only a row that crosses a border of
+splits is put together by a shuffle; all others stay in the task that read them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .. import scratch
 
@@ -51,100 +53,117 @@ def ends_inside(line: str, inside: bool) -> bool:
     return inside
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch cut where another split begins."""
-    files, blocks = batch.column(0), batch.column(1)
+def _parts(batch: pa.RecordBatch, keys: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut where another split begins, by its first ``keys`` columns."""
     if batch.num_rows:
-        other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+        other = np.zeros(batch.num_rows - 1, dtype=bool)
+        for column in batch.columns[:keys]:
+            other |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
         for a, z in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, z - a)
 
 
-def _states(lines: pa.Array, inside: bool) -> tuple[np.ndarray, bool]:
-    """Whether each line begins inside quotes, and whether the last one ends there.  Lines without quotes may be null."""
-    begins = np.empty(len(lines), dtype=bool)
-    at = 0
-    for k in np.flatnonzero(pc.fill_null(pc.match_substring(lines, '"'), False).to_numpy(zero_copy_only=False)).tolist():
-        begins[at : k + 1] = inside
-        inside, at = ends_inside(lines[k].as_py(), inside), k + 1
-    begins[at:] = inside
-    return begins, inside
+_QUOTED = "file string, block long, first long, last long, out_end boolean, out_inside long, in_end boolean, in_inside long"
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each split: where it ends and how many rows begin in it, if it begins outside or inside quotes."""
-    now: list | None = None
-    names = ["file", "block", "out_end", "out_rows", "in_end", "in_rows"]
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
-    shown = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+    """From a split's lines with quotes: the numbers of the first and last of them and, for each state before the
+    first, the state after the last and how many of the lines between them (after the first) begin inside."""
+    now: dict | None = None
+    schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[k]) for n, k in (c.split() for c in _QUOTED.split(", "))])
     for batch in batches:
-        for part in _parts(batch):
-            key = [part.column(0)[0].as_py(), part.column(1)[0].as_py()]
-            if now is None or now[:2] != key:
+        for part in _parts(batch, 2):
+            key = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+            if now is None or (now["file"], now["block"]) != key:
                 if now is not None:
-                    yield shown(now)
-                now = [*key, False, 0, True, 0]
-            for at in (2, 4):
-                begins, now[at] = _states(part.column(2), now[at])
-                now[at + 1] += len(begins) - int(begins.sum())
+                    yield pa.RecordBatch.from_pylist([now], schema)
+                now = {"file": key[0], "block": key[1], "first": None, "out_end": False, "out_inside": 0, "in_end": True, "in_inside": 0}
+            for at, line in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for state in ("out", "in"):
+                    if now["first"] is not None:
+                        now[f"{state}_inside"] += (at - now["last"]) * now[f"{state}_end"]
+                    now[f"{state}_end"] = ends_inside(line, now[f"{state}_end"])
+                now["first"] = at if now["first"] is None else now["first"]
+                now["last"] = at
     if now is not None:
-        yield shown(now)
+        yield pa.RecordBatch.from_pylist([now], schema)
+
+
+def _splits(numbered: DataFrame) -> DataFrame:
+    """A row for each split: split (a number, rising along a file), file, inside, row (rows begun before),
+    least (the number of its first line) and plain (no quotes, and begun outside)."""
+    sizes = numbered.groupBy("file", "block").agg(F.min("nth").alias("least"), F.max("nth").alias("most"))
+    quoted = numbered.where(F.contains("line", F.lit('"'))).select("file", "block", "nth", "line").mapInArrow(_survey, _QUOTED)
+    all_of = sizes.join(quoted, ["file", "block"], "left")
+    lines = F.col("most") - F.col("least") + 1
 
+    def rows(state: str, begins: int) -> Column:  # lines less those that begin inside
+        tail = (F.col("most") - F.col("last")) * F.col(f"{state}_end").cast("long")
+        head = (F.col("first") - F.col("least") + 1) * begins
+        return F.when(F.col("first").isNull(), lines * (1 - begins)).otherwise(lines - head - F.col(f"{state}_inside") - tail)
 
-def _begins(surveys: DataFrame) -> DataFrame:
-    """file, block, inside and row (rows begun before) of every split, chained along each file."""
+    end = lambda state, begins: F.coalesce(f"{state}_end", F.lit(begins))
+    surveys = all_of.select("file", "block", "least", F.col("first").isNotNull().alias("quotes"), end("out", False).alias("out_end"), rows("out", 0).alias("out_rows"), end("in", True).alias("in_end"), rows("in", 1).alias("in_rows"))
 
     def chain(done: Column, split: Column) -> Column:
-        here = F.struct(split["block"].alias("block"), done["inside"].alias("inside"), done["row"].alias("row"))
-        end = F.when(done["inside"], split["in_end"]).otherwise(split["out_end"])
-        rows = F.when(done["inside"], split["in_rows"]).otherwise(split["out_rows"])
-        return F.struct(end.alias("inside"), (done["row"] + rows).alias("row"), F.concat(done["splits"], F.array(here)).alias("splits"))
+        here = F.struct(split["block"].alias("block"), split["least"].alias("least"), done["inside"].alias("inside"), done["row"].alias("row"), (~done["inside"] & ~split["quotes"]).alias("plain"))
+        after = F.when(done["inside"], split["in_end"]).otherwise(split["out_end"])
+        begun = F.when(done["inside"], split["in_rows"]).otherwise(split["out_rows"])
+        return F.struct(after.alias("inside"), (done["row"] + begun).alias("row"), F.concat(done["splits"], F.array(here)).alias("splits"))
 
-    none = F.array().cast("array<struct<block:bigint,inside:boolean,row:bigint>>")
+    none = F.array().cast("array<struct<block:bigint,least:bigint,inside:boolean,row:bigint,plain:boolean>>")
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("row"), none.alias("splits"))
-    of_file = surveys.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "out_end", "out_rows", "in_end", "in_rows"))).alias("all"))
-    return of_file.select("file", F.inline(F.aggregate("all", start, chain, lambda d: d["splits"])))
+    of_file = surveys.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "least", "quotes", "out_end", "out_rows", "in_end", "in_rows"))).alias("all"))
+    chained = of_file.select("file", F.inline(F.aggregate("all", start, chain, lambda d: d["splits"])))
+    return chained.withColumn("split", F.row_number().over(Window.orderBy("file", "block")))  # a row for each split
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """file, row, block, text and whole of the rows, or of the parts that a split has of rows across its borders."""
+    """split, row, text and whole of the rows, or of the parts that a split has of rows across its borders."""
     key, inside, row = None, False, 0
     held: list[str] = []  # lines of the row not ended yet; its first may be in a split before
     begun_here = False
 
-    def shown(file: str, block: int, rows: np.ndarray, texts: pa.Array, whole: bool) -> pa.RecordBatch:
+    def shown(rows: np.ndarray, texts: pa.Array, whole: bool) -> pa.RecordBatch:
         n = len(texts)
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(rows, pa.int64()), pa.array([block] * n, pa.int64()), texts.cast(pa.string()), pa.array([whole] * n, pa.bool_())], ["file", "row", "block", "text", "whole"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key), pa.int32()), pa.array(rows, pa.int64()), texts.cast(pa.string()), pa.array(np.full(n, whole))], ["split", "row", "text", "whole"])
 
     for batch in batches:
-        for part in _parts(batch):
-            here = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+        for part in _parts(batch, 1):
+            here = part.column(0)[0].as_py()
             if here != key:
                 if held:
-                    yield shown(*key, np.array([row]), pa.array(["\n".join(held)]), False)
-                key, inside, row, held, begun_here = here, part.column(3)[0].as_py(), part.column(4)[0].as_py(), [], False
-            lines = part.column(2)
+                    yield shown(np.array([row]), pa.array(["\n".join(held)]), False)
+                key, inside, row, held, begun_here = here, part.column(1)[0].as_py(), part.column(2)[0].as_py(), [], False
+            lines = part.column(3)
             begins, ends = _states(lines, inside)
             goes_on = np.r_[begins[1:], ends]  # whether the line's row has more lines
             alone = ~begins & ~goes_on
-            if not inside and alone.all():  # as most batches are
-                yield shown(*key, row + 1 + np.arange(len(lines)), lines, True)
-                row += len(lines)
-                continue
             numbers = row + np.cumsum(~begins)
             if alone.any():
-                yield shown(*key, numbers[alone], lines.filter(pa.array(alone)), True)
+                yield shown(numbers[alone], lines.filter(pa.array(alone)), True)
             for k in np.flatnonzero(~alone).tolist():
                 if not begins[k]:
                     held, begun_here = [], True
                 held.append(lines[k].as_py())
                 if not goes_on[k]:
-                    yield shown(*key, numbers[k : k + 1], pa.array(["\n".join(held)]), begun_here)
+                    yield shown(numbers[k : k + 1], pa.array(["\n".join(held)]), begun_here)
                     held = []
             inside, row = ends, int(numbers[-1])
     if held:
-        yield shown(*key, np.array([row]), pa.array(["\n".join(held)]), False)
+        yield shown(np.array([row]), pa.array(["\n".join(held)]), False)
+
+
+def _states(lines: pa.Array, inside: bool) -> tuple[np.ndarray, bool]:
+    """Whether each line begins inside quotes, and whether the last one ends there."""
+    begins = np.empty(len(lines), dtype=bool)
+    at = 0
+    for k in np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False)).tolist():
+        begins[at : k + 1] = inside
+        inside, at = ends_inside(lines[k].as_py(), inside), k + 1
+    begins[at:] = inside
+    return begins, inside
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -154,19 +173,19 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     At any size of splits the rows are the same.  A quote that is never closed takes all lines to the file's
     end into its row.  Line ends are ``\\n``, ``\\r\\n`` and ``\\r``.
     """
-    at = ["_metadata.file_path", "_metadata.file_block_start"]
-    lines = spark.read.text(path).select(F.col(at[0]).alias("file"), F.col(at[1]).alias("block"), F.col("value").alias("line"))
-    quoted = lines.select("file", "block", F.when(F.contains("line", F.lit('"')), F.col("line")).alias("line"))
-    surveys = quoted.mapInArrow(_survey, "file string, block long, out_end boolean, out_rows long, in_end boolean, in_rows long")
-    begins = scratch.written(_begins(surveys))
-    if begins.count() <= MOST_SENT:
-        met = lines.join(F.broadcast(begins), ["file", "block"]).select("file", "block", "line", "inside", "row")
-    else:
-        numbered = lines.withColumn("_nth", F.monotonically_increasing_id())  # in the order of the lines of a split
-        met = numbered.join(begins.hint("merge"), ["file", "block"]).sortWithinPartitions("file", "block", "_nth").select("file", "block", "line", "inside", "row")
-    cut = met.mapInArrow(_cut_rows, "file string, row long, block long, text string, whole boolean")
-    across = cut.where(~F.col("whole")).groupBy("file", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "\n").alias("text"))
-    return cut.where("whole").select("file", "row", "text").unionByName(across)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    numbered = lines.withColumn("nth", F.monotonically_increasing_id())  # in the order of the lines of a split
+    splits = scratch.written(_splits(numbered))
+    sent = splits.count() <= MOST_SENT
+    met = numbered.join(F.broadcast(splits) if sent else splits.hint("merge"), ["file", "block"])
+    plain = met.where("plain").select("file", (F.col("row") + F.col("nth") - F.col("least") + 1).alias("row"), F.col("line").alias("text"))
+    rest = met.where(~F.col("plain"))
+    rest = (rest if sent else rest.sortWithinPartitions("split", "nth")).select("split", "inside", "row", "line")
+    cut = rest.mapInArrow(_cut_rows, "split int, row long, text string, whole boolean")
+    names = splits.select("split", "file")
+    named = cut.join(F.broadcast(names) if sent else names, "split")
+    across = named.where(~F.col("whole")).groupBy("file", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return plain.unionByName(named.where("whole").select("file", "row", "text")).unionByName(across)
 
 
 def fields_of(text: Column) -> Column:
@@ -197,8 +216,8 @@ def read_dump(spark: SparkSession, path: str, layout: T.StructType) -> Dump:
     Of the rest, those with another number of fields are rejects.  Empty text fields are empty strings;
     numbers that can't be read are null.  What is parsed is written to the shared folder once.
     """
-    found = csv_rows(spark, path).where("text <> ''").withColumn("_f", fields_of(F.col("text")))
-    found = found.where(~F.startswith(F.get("_f", F.lit(0)), F.lit("#")))
+    comment = F.rlike(F.col("text"), F.lit('^"{0,2}#'))  # in a quoted field, or after an empty pair of quotes, too
+    found = csv_rows(spark, path).where((F.col("text") != "") & ~comment).withColumn("_f", fields_of(F.col("text")))
     fits = F.size("_f") == len(layout.fields)
 
     def typed(k: int, field: T.StructField) -> Column:

@@ -90,5 +90,5 @@ def test_rejects_have_file_and_row(spark, splits, tmp_path):
 def test_nothing_but_line_scans_is_shuffled_by_the_rows(spark, tmp_path):
     (tmp_path / "d.txt").write_text(dump_of(11, 10))
     plan = tsv.csv_rows(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    whole = plan.split("Union")[1].split("Exchange hashpartitioning")[0]
-    assert "BroadcastHashJoin" in whole and "Scan text" in whole
+    plain, whole, across = plan.split("Union")[1].split("Scan text")[:3]
+    assert "MapInArrow" not in plain and "BroadcastHashJoin" in plain and "MapInArrow" in whole and "Exchange hashpartitioning" not in plain + whole.split("Aggregate")[0] and across
