@@ -33,16 +33,18 @@ from .common import slices
 BLOCK_ROWS, LEAST_ROWS, TASKS = 65_536, 16_384, 24
 #: Queries that are taken from a task's input at once.
 QUERIES = 512
-#: Levels of the batches, as parts of the largest impact; the last batch takes all that is left.
-LEVELS = (0.5, 0.3, 0.18, 0.1, 0.06, 0.035, 0.02, 0.01, 0.0)
+#: Levels of the batches, as parts of the largest impact; what is possible after the last is scored exactly.
+LEVELS = (0.2, 0.06, 0.014)
 #: A query stops when no more than one row in so many is possible.
-STOP_PART = 24
+STOP_PART = 8
+#: Queries that go through the segments together, and rows at a time, so that their scores stay in a core's cache.
+TOGETHER, ROWS = 16, 2_048
 #: Values below this are indexed; a row with a larger one is scored by itself.
 _ORDINARY, _EXACT = 2.0**24, 2.0**52
 
 
 class ImpactIndex:
-    """The segments of a block: for each dimension its rows in order of value."""
+    """The segments of a block, by dimension and value, and the segment that each row is in for each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -52,18 +54,30 @@ class ImpactIndex:
         self.ids, self.vectors = ids[~outsized], np.ascontiguousarray(vectors[~outsized])
         self.dims = vectors.shape[1]
         self.peaks = np.abs(self.vectors).max(axis=0, initial=0)
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(np.ascontiguousarray(self.vectors.T), self.rows, axis=1)
+        found = [np.unique(c, return_inverse=True, return_counts=True) for c in self.vectors.T]
+        self.counts = np.array([len(v) for v, _, _ in found], dtype=np.int64)  # segments of each dimension
+        self.offsets = np.cumsum(self.counts) - self.counts
+        self.segments = np.concatenate([np.zeros(0), *[v for v, _, _ in found]])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *[s for _, _, s in found]])
+        self.segment_of = [at.ravel() + first for (_, at, _), first in zip(found, self.offsets.tolist(), strict=True)]
         self.processed = 0  # postings
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the ``k`` best rows but those with the id ``own``, best first."""
-        if float(np.abs(query) @ self.peaks) < _EXACT:
-            skipped = int(np.searchsorted(self.ids, own, "right") - np.searchsorted(self.ids, own, "left"))
-            found = self.possible(query, k + skipped) if len(self.ids) else np.zeros(0, np.int64)
-            ids, scores = self.ids[found], (self.vectors[found] @ query).astype(np.int64)
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the ``k`` best rows but those with its own id, best first."""
+        weights = np.abs(queries) @ self.peaks
+        indexed = np.flatnonzero(weights < _EXACT)
+        found: dict[int, np.ndarray] = {}
+        for at in range(0, len(indexed), TOGETHER):
+            part = indexed[at : at + TOGETHER]
+            skipped = np.searchsorted(self.ids, own[part], "right") - np.searchsorted(self.ids, own[part], "left")
+            found |= zip(part.tolist(), self.possible(queries[part], k + skipped), strict=True)
+        return [self._best(int(i), q, found.get(r), k) for r, (i, q) in enumerate(zip(own.tolist(), queries, strict=True))]
+
+    def _best(self, own: int, query: np.ndarray, found: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best of the rows that are possible; without an answer of the index, of all rows."""
+        if found is not None:
             far_ids, far = _whole_scores(self.far_ids, self.far, query)
-            ids, scores = np.r_[ids, far_ids], np.r_[scores, far]
+            ids, scores = np.r_[self.ids[found], far_ids], np.r_[(self.vectors[found] @ query).astype(np.int64), far]
         else:
             ids, scores = _whole_scores(np.r_[self.ids, self.far_ids], np.r_[self.vectors, self.far], query)
         ids, scores = ids[ids != own], scores[ids != own]
@@ -73,43 +87,37 @@ class ImpactIndex:
         best = np.lexsort((ids, ~scores))[:k]  # ~ turns the order round, without overflow
         return ids[best], scores[best]
 
-    def possible(self, query: np.ndarray, want: int) -> np.ndarray:
-        """Rows that may be among the ``want`` best: a proven superset."""
-        n, want = len(self.ids), min(len(self.ids), want)
-        weights = np.abs(query)
-        top = (weights * self.peaks).max(initial=0.0)
-        begin, end = np.zeros(self.dims, np.int64), np.where(query != 0, n, 0)  # the stretch not done yet
-        scores = np.zeros(n)
-        asked = np.flatnonzero(query)
-        found = np.arange(n)
+    def possible(self, queries: np.ndarray, want: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that may be among its ``want`` best: a proven superset."""
+        n = len(self.ids)
+        found = [np.arange(n)] * len(queries)
+        gains = self.segments[:, None] * np.repeat(queries.T, self.counts, axis=0)
+        impacts = np.abs(gains)
+        tops = impacts.max(axis=0, initial=0.0)
+        live = np.flatnonzero(tops) if n else np.zeros(0, np.int64)
+        gains, impacts, tops = gains[:, live], impacts[:, live], tops[live]
+        kind = np.float32 if float((np.abs(queries) @ self.peaks).max(initial=0.0)) < 2.0**23 else np.float64  # sums of whole numbers stay exact
+        scores, done = np.zeros((n, len(live)), kind), impacts == 0
         for level in LEVELS:
-            rows, gains = [], []
-            rest = 0.0
-            for d in asked.tolist():
-                a, b = begin[d], end[d]
-                if a == b:
-                    continue
-                values = self.values[d]
-                if level:
-                    edge = level * top / weights[d]
-                    low, high = a + np.searchsorted(values[a:b], -edge, "right"), a + np.searchsorted(values[a:b], edge, "left")
-                    high = max(low, high)
-                else:
-                    low = high = b
-                for part in (slice(a, low), slice(high, b)):
-                    if part.stop > part.start:
-                        rows.append(self.rows[d, part])
-                        gains.append(values[part] * query[d])
-                begin[d], end[d] = low, high
-                if low < high:
-                    rest += weights[d] * max(abs(values[low]), abs(values[high - 1]))
-            if rows:
-                batch = np.concatenate(rows)
-                self.processed += len(batch)
-                scores += np.bincount(batch, np.concatenate(gains), minlength=n)
-            found = np.flatnonzero(scores >= np.partition(scores, n - want)[n - want] - 2 * rest)
-            if len(found) <= max(8 * want, n // STOP_PART):
+            if not len(live):
                 break
+            batch = (impacts >= level * tops) & ~done
+            done |= batch
+            gained, part = np.where(batch, gains, 0.0).astype(kind, order="C"), np.empty((ROWS, len(live)), kind)
+            reached = np.flatnonzero(np.logical_or.reduceat(batch.any(axis=1), self.offsets)).tolist()
+            for at in range(0, n, ROWS):
+                here = scores[at : at + ROWS]
+                for d in reached:
+                    here += np.take(gained, self.segment_of[d][at : at + ROWS], axis=0, out=part[: len(here)], mode="clip")
+            self.processed += int((self.sizes @ batch).sum())
+            rest = np.maximum.reduceat(np.where(done, 0.0, impacts), self.offsets, axis=0).sum(axis=0)
+            going = []
+            for c, (i, r) in enumerate(zip(live.tolist(), rest.tolist(), strict=True)):
+                own, least = np.ascontiguousarray(scores[:, c]), min(n, int(want[i]))
+                found[i] = np.flatnonzero(own >= np.partition(own, n - least)[n - least] - 2 * r)
+                if len(found[i]) > max(8 * least, n // STOP_PART):
+                    going.append(c)
+            live, gains, impacts, tops, scores, done = live[going], gains[:, going], impacts[:, going], tops[going], np.ascontiguousarray(scores[:, going]), done[:, going]
         return found
 
 
@@ -167,8 +175,7 @@ def _searching(k: int):
                 if index is None:
                     continue
                 out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in _FOUND]
-                for own, hashed, query in zip(ids.tolist(), part.column(5).to_pylist(), vectors, strict=True):
-                    found, scores = index.search(own, query, k)
+                for own, hashed, (found, scores) in zip(ids.tolist(), part.column(5).to_pylist(), index.search(ids, vectors, k), strict=True):
                     for column, x in zip(out, (np.full(len(found), own), np.full(len(found), hashed), found, scores), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], _FOUND)
