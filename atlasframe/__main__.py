@@ -9,6 +9,7 @@ from .plans.build import build, build_bundle, build_sections, tokenize, verify_s
 from .plans.gazetteer import Gazetteer
 from .session import session
 from .sources.bundle import SECTIONS, composition, faults, read_section
+from .sources.store import vacuum
 
 
 def main(args: list[str] | None = None) -> int:
@@ -45,6 +46,15 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("key")
     p.add_argument("--prefix", action="store_true")
     p.add_argument("--limit", type=int, default=50)
+    p.add_argument("--bundle", action="store_true", help="STORE is a bundle; only the blocks that can hold the key are read")
+    p.add_argument("--by", choices=("country_id", "region_id", "city_name"), help="the key is one of this column")
+    p = commands.add_parser("search", help="places by words, phrases, prefixes, NEAR, NOT and OR")
+    p.add_argument("store")
+    p.add_argument("query")
+    p.add_argument("--limit", type=int, default=50)
+    p = commands.add_parser("vacuum", help="delete all but the last versions of a store")
+    p.add_argument("store")
+    p.add_argument("--keep", type=int, default=2)
     p = commands.add_parser("stats")
     p.add_argument("store")
     a = parser.parse_args(args)
@@ -83,11 +93,19 @@ def main(args: list[str] | None = None) -> int:
         print(build_bundle(spark, a.store, a.output), "bytes")
     elif a.command == "stats":
         print(Gazetteer.load(spark, a.store).stats())
-    elif a.prefix:
-        for r in Gazetteer.load(spark, a.store).find_by_prefix(a.key, a.limit).toLocalIterator():
-            print(r["geohash"], r["city_name"])
+    elif a.command == "vacuum":
+        print(len(vacuum(spark, a.store, a.keep)), "versions deleted")
+    elif a.command == "search":
+        for r in Gazetteer.load(spark, a.store).search_text(a.query).orderBy("longname").limit(a.limit).toLocalIterator():
+            print(r["geonameid"], r["longname"])
     else:
-        print(Gazetteer.load(spark, a.store).city_label(a.key))
+        g = Gazetteer.load_bundle(spark, a.store) if a.bundle else Gazetteer.load(spark, a.store)
+        if a.prefix or a.by:
+            found = g.find_by_prefix(a.key, a.limit) if a.prefix else g.cities_with(a.by, a.key if a.by == "city_name" else int(a.key)).orderBy("geohash").limit(a.limit)
+            for r in found.toLocalIterator():
+                print(r["geohash"], r["city_name"])
+        else:
+            print(g.city_label(a.key))
     return 0
 
 

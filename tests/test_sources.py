@@ -218,6 +218,20 @@ def test_command_line(spark, dumps, built, tmp_path, capsys, monkeypatch):
     assert "geohash: 3" in capsys.readouterr().out
 
 
+def test_lookups_from_the_command_line(spark, built, capsys, monkeypatch):
+    monkeypatch.setattr("atlasframe.__main__.session", lambda: spark)
+    store, file = f"{built[0]}/store", f"{built[0]}/cities.bin"
+    key = next(r["geohash"] for r in Gazetteer.load(spark, store).table("cities").collect() if r["city_name"] == "New York City")
+    said = lambda *args: (main(list(args)), capsys.readouterr().out.strip())
+    assert said("lookup", store, key) == (0, "New York City, Second Region, Bland")
+    assert said("lookup", file, key, "--bundle") == (0, "NewYorkCity, SecondRegion, Bland")
+    assert said("lookup", file, key[:1], "--bundle", "--prefix")[1].count("NewYorkCity") == 1
+    assert said("lookup", store, "New York City", "--by", "city_name") == (0, f"{key} New York City")
+    assert said("lookup", store, "77", "--by", "country_id") == (0, "")
+    assert said("search", store, '"new york" NOT hill') == (0, "2 New York City, Second Region, Bland")
+    assert said("vacuum", store) == (0, "0 versions deleted")
+
+
 def test_header_alone_is_read(spark, tmp_path):
     (tmp_path / "head.bin").write_bytes(packed(**TWO)[:32])  # what follows is cut off
     assert bundle.header_counts(spark, str(tmp_path / "head.bin")).first().asDict() == {"vocabulary": 2, "cities": 2, "regions": 1, "countries": 2}
