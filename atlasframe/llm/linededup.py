@@ -18,8 +18,8 @@ So every repeated stretch of ``min_words`` words is found whole, and shorter one
 
 A null or blank text stays as it is.  Rows without an id come last in the order.  Repeated rows (same
 id and text) are compared as one document, of which the first keeps its text and the others are later
-repeats of it.  An empty table gives an empty result.  Other columns pass through; names that begin
-with ``_dedup_`` are the operator's own.
+repeats of it.  An empty table gives an empty result.  Other columns pass through; columns n_lines and
+removed_lines are replaced, and names that begin with ``_dedup_`` are the operator's own.
 """
 
 from __future__ import annotations
