@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, Filter, StringStartsWith
 
 from .. import scratch
 from ..functions.codec import decode_tokens, tokens_from_blob
@@ -38,6 +41,7 @@ class Gazetteer:
     def __init__(self) -> None:
         self.tables: dict[str, DataFrame] | None = None
         self.place: str | None = None
+        self.ranged: Callable[..., DataFrame] | None = None
 
     @classmethod
     def of(cls, cities: DataFrame, regions: DataFrame, countries: DataFrame, vocabulary: DataFrame) -> Gazetteer:
@@ -61,21 +65,25 @@ class Gazetteer:
         them.  A bundle without an index gets one in the shared folder, by one scan.
         """
         if not ranged.reachable(path):
-            read = lambda table: bundle.read_bundle(spark, path, table)
+            read = lambda table, *filters: bundle.read_bundle(spark, path, table).where(ranged.passing(filters))
         else:
             index = path + ranged.SUFFIX
             if not ranged.has_index(spark, path):
                 index = scratch.new_path(spark)
                 ranged.scanned_index(spark, path).write.parquet(index)
-            read = lambda table: ranged.read_ranges(spark, path, table, index)
+            read = lambda table, *filters: ranged.read_ranges(spark, path, table, index, filters)
         vocabulary = read("vocabulary")
         token_map = bpe.token_map(vocabulary)
 
-        def named(table: str, name: str) -> DataFrame:
-            return read(table).withColumn(name, decode_tokens(tokens_from_blob(F.col("tokens")), token_map)).drop("tokens")
+        def named(table: str, name: str, *filters: Filter) -> DataFrame:
+            return read(table, *filters).withColumn(name, decode_tokens(tokens_from_blob(F.col("tokens")), token_map)).drop("tokens")
+
+        def cities(*filters: Filter) -> DataFrame:
+            return named("cities", "city_name", *filters).select("geohash", "city_name", "region_id", "country_id")
 
-        cities = named("cities", "city_name").select("geohash", "city_name", "region_id", "country_id")
-        return cls.of(cities, named("regions", "region_name"), named("countries", "country_name"), vocabulary)
+        out = cls.of(cities(), named("regions", "region_name"), named("countries", "country_name"), vocabulary)
+        out.ranged = cities
+        return out
 
     def table(self, name: str) -> DataFrame:
         if self.tables is None:
@@ -88,9 +96,15 @@ class Gazetteer:
             return None
         return {name: df.count() for name, df in self.tables.items()}
 
+    def cities_where(self, *filters: Filter) -> DataFrame:
+        """Cities that pass all ``filters`` (of ``pyspark.sql.datasource``): those on geohash choose the blocks of a
+        bundle that are read, and reach the scan of a store."""
+        cities = self.table("cities")
+        return self.ranged(*filters) if self.ranged else cities.where(ranged.passing(filters))
+
     def city_rows(self, key: str) -> DataFrame:
         """The rows stored under exactly ``key``: the predicate reaches the scan."""
-        return self.table("cities").where(F.col("geohash") == key)
+        return self.cities_where(EqualTo(("geohash",), key))
 
     def find_by_geohash(self, key: str) -> Row | None:
         """The city stored under exactly ``key``."""
@@ -106,7 +120,7 @@ class Gazetteer:
         return hit and hit["label"]
 
     def find_by_prefix(self, prefix: str, limit: int = 50) -> DataFrame:
-        return cities_by_prefix(self.table("cities"), prefix, limit)
+        return cities_by_prefix(self.cities_where(StringStartsWith(("geohash",), prefix)), prefix, limit)
 
     def find_by_prefix_all(self, probes: DataFrame, column: str) -> DataFrame:
         return keys.prefix_join(probes, column, self.table("cities"), "geohash")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual, In, LessThanOrEqual, StringStartsWith
 
 from . import schema, scratch
 from .functions import codec, exact, geo, text
@@ -724,10 +725,10 @@ def _bundle(spark, d) -> str:
 WHERE starts_with(key, 's') OR key IN (SELECT max(key) FROM keyed UNION SELECT min(key) FROM keyed) OR key BETWEEN 'b' AND 'c'""")
 def bundle_ranges(spark, d):
     """A prefix, two keys and an interval of keys, each looked up in a bundle: their conditions choose the blocks that are read."""
-    cities = gazetteer.Gazetteer.load_bundle(spark, _bundle(spark, d)).table("cities")
-    ends = cities.agg(F.min("geohash"), F.max("geohash")).first()
-    parts = [F.startswith("geohash", F.lit("s")), F.col("geohash").isin(*ends), F.col("geohash").between("b", "c")]
-    found = [cities.where(p) for p in parts]
+    g = gazetteer.Gazetteer.load_bundle(spark, _bundle(spark, d))
+    ends = g.table("cities").agg(F.min("geohash"), F.max("geohash")).first()
+    geohash = ("geohash",)
+    found = [g.cities_where(StringStartsWith(geohash, "s")), g.cities_where(In(geohash, tuple(ends))), g.cities_where(GreaterThanOrEqual(geohash, "b"), LessThanOrEqual(geohash, "c"))]
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct().select("geohash", "city_name")
 
 

@@ -6,21 +6,25 @@ has the offset of the block's keys and tokens, the key and ids before it, and it
 bundle computes the index in the tasks that encode it; for a bundle from elsewhere one scan makes it.
 
 With it, a scan is many tasks, each reading its own ranges, and a condition on the key (equality, a
-list, bounds, a prefix) is a binary search over the blocks' first keys: blocks that can't hold such a key
-are never read.  Ranges are read through Arrow's file systems on the workers; a store that only Spark
+list, bounds, a prefix) that ``read_ranges`` is given is a binary search over the blocks' first keys: blocks
+that can't hold such a key are never read.  A later ``where`` reads all blocks: Spark 4.1 keeps what it pushed
+into a Python source at the relation's last scan for all scans of that relation, so pushing loses rows.
+Ranges are read through Arrow's file systems on the workers; a store that only Spark
 reads, and a bundle without an index, are parsed whole (``bundle.read_bundle``).
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.window import Window
@@ -213,6 +217,12 @@ def ranges_of(filters: Iterable[Filter]) -> list[KeyRange]:
     return out
 
 
+def passing(filters: Iterable[Filter]) -> Column:
+    """The condition that all ``filters`` let a row pass."""
+    tests = {EqualTo: Column.__eq__, In: lambda c, v: c.isin(*v), StringStartsWith: lambda c, v: F.startswith(c, F.lit(v)), GreaterThan: Column.__gt__, GreaterThanOrEqual: Column.__ge__, LessThan: Column.__lt__, LessThanOrEqual: Column.__le__}
+    return reduce(Column.__and__, [tests[type(f)](F.col(".".join(f.attribute)), f.value) for f in filters], F.lit(True))
+
+
 def blocks_with(first_keys: list[str], ranges: list[KeyRange]) -> list[int]:
     """Blocks that may hold a key of the ranges, by binary search; ``first_keys`` never falls."""
     found: set[int] = set()
@@ -304,7 +314,7 @@ def cities_in(f: pa.NativeFile, part: BlockRange) -> pa.RecordBatch:
 
 class RangedBundleSource(DataSource):
     """``spark.read.format("citybundle_ranges").option("table", ...).load(path)``; option ``index``: where the index is,
-    if not beside the file."""
+    if not beside the file; option ``ranges``: pairs of keys in JSON, only blocks that may hold keys between them are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -315,19 +325,17 @@ class RangedBundleSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         path = self.options["path"]
-        return RangedReader(path, self.options.get("table", "cities"), self.options.get("index", path + SUFFIX))
+        reader = BlockReader(path, self.options.get("table", "cities"), self.options.get("index", path + SUFFIX))
+        if "ranges" in self.options:
+            reader.ranges = [KeyRange(*r) for r in json.loads(self.options["ranges"])]
+        return reader
 
 
-class RangedReader(DataSourceReader):
+class BlockReader(DataSourceReader):
     def __init__(self, path: str, table: str, index: str):
         self.path, self.table, self.index = path, table, index
         self.ranges = [KeyRange()]
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        if self.table == "cities":
-            self.ranges = ranges_of(filters)
-        return filters  # blocks hold other keys too, so Spark tests rows again
-
     def partitions(self) -> list[InputPartition]:
         if self.table != "cities":
             return [InputPartition(0)]
@@ -357,11 +365,25 @@ class RangedReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(schema.types)], schema=schema)
 
 
-def read_ranges(spark: SparkSession, path: str, table: str = "cities", index: str | None = None) -> DataFrame:
-    """A table of the bundle at ``path``, which has an index (or ``index`` names one); conditions on geohash choose what is read."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+class RangedReader(BlockReader):
+    """A reader of the blocks that can hold what filters let pass.  Not for Spark to push into (see above)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        if self.table == "cities":
+            self.ranges = ranges_of(filters)
+        return filters  # blocks hold other keys too, so rows are tested again
+
+
+def read_ranges(spark: SparkSession, path: str, table: str = "cities", index: str | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
+    """Rows of a table of the bundle at ``path``, which has an index (or ``index`` names one), that pass all
+    ``filters``; those on geohash choose what is read."""
+    index, filters = index or path + SUFFIX, list(filters)
+    reader = RangedReader(path, table, index)
+    kept = passing(reader.pushFilters(filters))
+    ranges = json.dumps([[r.low, r.high] for r in reader.ranges])
     spark.dataSource.register(RangedBundleSource)
-    return spark.read.format("citybundle_ranges").option("table", table).option("index", index or path + SUFFIX).load(path)
+    rows = spark.read.format("citybundle_ranges").option("table", table).option("index", index).option("ranges", ranges).load(path)
+    return rows.where(kept) if filters else rows
 
 
 def read_column(spark: SparkSession, folder: str, name: str) -> DataFrame:

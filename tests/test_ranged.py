@@ -116,3 +116,19 @@ def test_an_empty_bundle_and_damaged_ones(spark, tmp_path):
         ranged.keys_in(b"\x03ab", 1, "")
     with pytest.raises(bundle.BundleError):
         ranged.blobs_in(b"\x03ab", 1)
+
+
+def test_lookups_in_one_bundle_do_not_share_their_ranges(spark, small):
+    """Conditions of one scan must not choose the blocks of another, of the same table or in the same plan."""
+    path, _, keys = small
+    geohash = ("geohash",)
+    cities = ranged.read_ranges(spark, path)
+    assert cities.where(F.col("geohash") == keys[30]).count() == 1 and cities.count() == len(keys)
+    one = cities.where(F.col("geohash") == keys[-1])
+    assert one.unionAll(cities.where("geohash like 'b%'")).count() == 1 + sum(k.startswith("b") for k in keys)
+    asked = {EqualTo(geohash, keys[-1]): {keys[-1]}, StringStartsWith(geohash, "b"): {k for k in keys if k[0] == "b"}, In(geohash, (keys[0], keys[40])): {keys[0], keys[40]}}
+    found = [ranged.read_ranges(spark, path, filters=[f]) for f in asked]
+    for df, want in zip(found, asked.values(), strict=True):
+        assert {r["geohash"] for r in df.collect()} == want
+    both = found[0].unionAll(found[1]).unionAll(found[2])
+    assert both.count() == sum(map(len, asked.values()))
