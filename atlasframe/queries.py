@@ -748,11 +748,10 @@ def bundle_faults(spark, d):
     """A sound bundle and four damaged copies, checked: which is damaged, and how."""
     path = _bundle(spark, d)
     folder = scratch.new_path(spark)
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    n = int.from_bytes(data[12:16], "little") + 1
-    copies = {"sound": data, "behind": data + b"x", "mark": b"X" + data[1:], "short": data[:-1], "counts": data[:12] + n.to_bytes(4, "little") + data[16:]}
-    for name, content in copies.items():
-        bundle.put(spark, f"{folder}/{name}.bin", content)
+    n = int.from_bytes(bundle.some_bytes(spark, path, 12, 4), "little") + 1
+    copies = {"sound": {}, "behind": {"more": b"x"}, "mark": {"changed": {0: b"X"}}, "short": {"cut": 1}, "counts": {"changed": {12: n.to_bytes(4, "little")}}}
+    for name, how in copies.items():
+        bundle.put_changed(spark, path, f"{folder}/{name}.bin", **{"changed": {}} | how)
     found = bundle.faults(spark, folder).select(F.element_at(F.split("file", "/"), -1).alias("file"), "fault")
     kind = F.regexp_extract("fault", r"(\d+ bytes after the last section|not a bundle|bytes wanted|\d+ rows, the header says \d+)", 1)
     return found.select("file", kind.alias("fault"))
@@ -796,9 +795,9 @@ def section_verify(spark, d):
     base = _built(spark, d)
     sound = build.verify_sections(spark, f"{base}/store", f"{base}/columns")
     path = f"{base}/columns/{bundle.FILES['region_id']}"
-    data = bytearray(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    data[4] ^= 1
-    bundle.put(spark, path, bytes(data))
+    first = bundle.some_bytes(spark, path, 4, 1)[0]
+    scratch.move(spark, path, f"{base}/sound.bin")
+    bundle.put_changed(spark, f"{base}/sound.bin", path, {4: bytes([first ^ 1])})
     found = build.verify_sections(spark, f"{base}/store", f"{base}/columns")
     return spark.createDataFrame([(name, n, damaged) for damaged, of in ((False, sound), (True, found)) for name, n in of.items()], "name string, faults long, damaged boolean")
 

@@ -41,6 +41,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).rename(where, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def new_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing is at.  Its own parent folder is deleted when the JVM ends,
     with or without a session."""

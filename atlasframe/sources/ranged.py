@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.window import Window
 
+from ..functions.codec import MAX_PART
 from . import bundle
 
 #: Rows of a block, and blocks of a task.
@@ -386,22 +387,48 @@ def read_ranges(spark: SparkSession, path: str, table: str = "cities", index: st
     return rows.where(kept) if filters else rows
 
 
+def _last_key(data: bytes, rows: int) -> list[str | None]:
+    """What a block makes of the key before it: its last key's character at each place; None where it is still the
+    one before the block, none where the key has ended."""
+    unknown = "\0" * MAX_PART
+    last = keys_in(data, rows, unknown)[-1] if rows else unknown
+    return [None if c == "\0" else c for c in last] + [""] * (2 * MAX_PART - len(last))
+
+
 def read_column(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """pos and value of the column file ``name``, a task for each range of its index."""
+    """pos and value of the column file ``name``, a task for each range of its index.
+
+    Of the index only places are used: sums and keys are carried from block to block by what the file itself
+    holds, one small row a block, so that a damaged row counts in all that a sequential reader would misread.
+    """
     path = f"{folder}/{bundle.FILES[name]}"
     index = spark.read.parquet(f"{folder}/cities{SUFFIX}")
     kind, arrow = {"geohash": ("string", pa.string()), "region_id": ("int", pa.int32()), "country_id": ("int", pa.int32())}.get(name, ("binary", pa.binary()))
     at = {"geohash": F.col("keys_at"), "city_tokens": F.col("tokens_at")}.get(name, 2 * F.col("row"))
     ends = F.coalesce(F.lead("_at").over(Window.orderBy("block")), F.lit(-1))
-    spans = index.withColumn("_at", at).select("row", "rows", F.col("_at").alias("at"), ends.alias("end"), "before_key", F.col(f"{name.removesuffix('_id')}_before" if name.endswith("_id") else "region_before").alias("before"))
+    spans = index.withColumn("_at", at).select("block", "row", "rows", F.col("_at").alias("at"), ends.alias("end"))
+    tasks = max(1, -(-spans.count() // TASK_BLOCKS))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
         f = open_file(path)
         for batch in batches:
             for b in batch.to_pylist():
-                data = _exactly(f, (f.size() - 4 if b["end"] < 0 else b["end"]) - b["at"], 4 + b["at"])
-                values = keys_in(data, b["rows"], b["before_key"]) if name == "geohash" else blobs_in(data, b["rows"]) if name == "city_tokens" else numbers_in(data, b["before"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(b["row"], b["row"] + b["rows"])), pa.array(values, arrow)], ["pos", "value"])
+                yield b, _exactly(f, (f.size() - 4 if b["end"] < 0 else b["end"]) - b["at"], 4 + b["at"])
 
-    tasks = max(1, -(-spans.count() // TASK_BLOCKS))
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data in blocks(batches):
+            step = 0 if name == "geohash" else int(np.frombuffer(data, "<i2").sum(dtype=np.int64))
+            chars = _last_key(data, b["rows"]) if name == "geohash" else []
+            yield pa.RecordBatch.from_pydict({"block": [b["block"]], "step": [step], "chars": pa.array([chars], pa.list_(pa.string()))})
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data in blocks(batches):
+            values = keys_in(data, b["rows"], b["before_key"]) if name == "geohash" else blobs_in(data, b["rows"]) if name == "city_tokens" else numbers_in(data, b["before"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(b["row"], b["row"] + b["rows"])), pa.array(values, arrow)], ["pos", "value"])
+
+    if name != "city_tokens":
+        carried = spans.repartitionByRange(tasks, "row").mapInArrow(carry, "block long, step long, chars array<string>")
+        w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+        newest = [F.coalesce(F.last(F.get("chars", F.lit(k)), ignorenulls=True).over(w), F.lit("")) for k in range(2 * MAX_PART)] if name == "geohash" else [F.lit("")]
+        spans = spans.join(carried.select("block", F.coalesce(F.sum("step").over(w), F.lit(0)).alias("before"), F.concat(*newest).alias("before_key")), "block")
     return spans.repartitionByRange(tasks, "row").mapInArrow(decode, f"pos long, value {kind}")

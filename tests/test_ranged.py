@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringStartsWith
 
-from atlasframe.operators import columns
+from atlasframe.operators import columns, verify
 from atlasframe.sources import bundle, ranged
 
 
@@ -132,3 +132,22 @@ def test_lookups_in_one_bundle_do_not_share_their_ranges(spark, small):
         assert {r["geohash"] for r in df.collect()} == want
     both = found[0].unionAll(found[1]).unionAll(found[2])
     assert both.count() == sum(map(len, asked.values()))
+
+
+@pytest.mark.parametrize("name", ["geohash", "region_id", "country_id"])
+def test_a_damaged_row_counts_in_every_block_that_it_reaches(spark, tmp_path, name):
+    """Column files are decoded by what they hold, as a sequential reader does, not by what the index says is before a block."""
+    data, _ = bundle_of(4, 60)
+    path = str(tmp_path / "cities")
+    (tmp_path / "cities").write_bytes(data)
+    ranged.save_index(ranged.scanned_index(spark, path, block=7), path)
+    start, size = ranged.layout(ranged.open_file(path)).sections[name]
+    body = bytearray(data[start - 4 : start + size])
+    for changed in (False, True):
+        body[5 if name == "geohash" else 4] ^= changed
+        (tmp_path / bundle.FILES[name]).write_bytes(body)
+        got = ranged.read_column(spark, str(tmp_path), name)
+        want = bundle.parse_section(name, bytes(body))
+        assert [r["value"] for r in got.orderBy("pos").collect()] == want
+        sound = spark.createDataFrame(list(enumerate(bundle.parse(data).sections[name])), got.schema)
+        assert (sum(verify.mismatches(sound, got, "pos", ["value"]).first()) > (7 if name != "geohash" else 0)) == changed
