@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.geo import MAX_PRECISION, common_prefix
 from .columns import PART, neighbours, positions
 
+#: Rows whose prefixes are a task's: a file of any size may be one task, and each row has twelve.
+SPREAD = 32_768
+
+
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // SPREAD))
+
 
 def _prefixes(key: Column) -> Column:
     """All prefixes of a key but the empty one; of an empty or null key none."""
@@ -24,9 +32,12 @@ def shortest_unique_keys(df: DataFrame, gh: str, row_id: str) -> DataFrame:
 
     Rows that share all 12 characters get ``hash_id``.  Every prefix is counted by hash aggregation,
     partial counts first, so that a cell with a third of all rows is a few rows when it is shuffled;
-    no order of all rows is needed.  ``row_id`` identifies a row; rows without a hash are left out.
+    no order of all rows is needed.  Rows are counted and dealt to tasks of SPREAD rows before their prefixes are made.
+    ``row_id`` identifies a row; rows without a hash are left out.
     """
-    each = df.select(F.col(row_id).alias("_id"), F.explode(_prefixes(F.left(gh, F.lit(MAX_PRECISION)))).alias("_prefix"))
+    rows = df.select(F.col(row_id).alias("_id"), F.left(gh, F.lit(MAX_PRECISION)).alias("_hash"))
+    parts = _parts(df.count())
+    each = (rows.repartition(parts, "_id") if parts > 1 else rows).select("_id", F.explode(_prefixes(F.col("_hash"))).alias("_prefix"))
     alone = each.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).where("_n = 1")
     shortest = alone.groupBy("_id").agg(F.min(F.length("_prefix")).alias("_length"))
     joined = df.join(shortest, df[row_id] == shortest["_id"], "left")
@@ -57,10 +68,15 @@ def prefix_join(probes: DataFrame, prefix: str, cities: DataFrame, key: str) ->
     """Every probe with every row whose key begins with it.
 
     A ``startswith`` join compares all pairs; here each key is expanded into its prefixes, as many as
-    it is long (a key's format bounds that), and met by equality.  The empty prefix meets all.
+    it is long (a key's format bounds that), and met by equality.  The empty prefix meets all.  Cities are written
+    once and counted, so that a task has the prefixes of about SPREAD of them.
     """
+    kept = scratch.written(cities.where(F.col(key).isNotNull()))
+    parts = _parts(kept.count())
     every = F.concat(F.array(F.lit("")), F.coalesce(_prefixes(F.col(key)), F.array().cast("array<string>")))
-    expanded = cities.where(F.col(key).isNotNull()).withColumn("_prefix", F.explode(every))
+    expanded = (kept.repartition(parts, key) if parts > 1 else kept).withColumn("_prefix", F.explode(every))
+    if parts > 1:
+        probes, expanded = probes.repartition(parts, prefix), expanded.repartition(parts, "_prefix")
     return probes.join(expanded, probes[prefix] == expanded["_prefix"]).drop("_prefix")
 
 

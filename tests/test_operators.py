@@ -222,3 +222,17 @@ def test_mismatches(spark):
     b = spark.createDataFrame([(0, "x", None), (1, "q", 1), (3, "w", 2)], "pos int, s string, n int")
     assert verify.mismatches(a, b, "pos", ["s", "n"]).first().asDict() == {"missing": 1, "extra": 1, "s_differs": 1, "n_differs": 0}
     assert verify.same_rows(a, a) and not verify.same_rows(a, b)
+
+
+def test_rows_are_spread_before_their_prefixes_are_made(spark, monkeypatch):
+    """A file is one task; keys and prefix joins deal its rows to more, whatever they are."""
+    rows = [(i, "".join("bcd"[(i * 7919 >> 2 * k) % 3] for k in range(12))) for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id long, gh string").coalesce(1)
+    want = sorted(map(tuple, keys.shortest_unique_keys(df, "gh", "id").collect()))
+    probes = spark.createDataFrame([("",), ("b",), (None,), (want[5][2],)], "p string")
+    cities = spark.createDataFrame(want, "id long, gh string, key string, precision int")
+    met = sorted(map(tuple, keys.prefix_join(probes, "p", cities, "key").collect()))
+    monkeypatch.setattr(keys, "SPREAD", 10)
+    spread = keys.shortest_unique_keys(df, "gh", "id")
+    assert sorted(map(tuple, spread.collect())) == want and "RepartitionByExpression [_id" in spread._jdf.queryExecution().toString()
+    assert sorted(map(tuple, keys.prefix_join(probes, "p", cities, "key").collect())) == met
