@@ -151,3 +151,32 @@ def test_a_damaged_row_counts_in_every_block_that_it_reaches(spark, tmp_path, na
         assert [r["value"] for r in got.orderBy("pos").collect()] == want
         sound = spark.createDataFrame(list(enumerate(bundle.parse(data).sections[name])), got.schema)
         assert (sum(verify.mismatches(sound, got, "pos", ["value"]).first()) > (7 if name != "geohash" else 0)) == changed
+
+
+def test_faults_are_found_as_the_file_streams_by(spark, tmp_path):
+    """The checks hold no rows: they say of every damaged copy what parsing it whole says."""
+    data, _ = bundle_of(5, 40)
+    rng = random.Random(6)
+    copies = [data, data[:-1], data + b"x", b"X" + data[1:], data[:7], data[:30], data[:400], data[:-40]]
+    for _ in range(300):
+        bad = bytearray(data)
+        for _ in range(rng.randrange(1, 3)):
+            bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        copies.append(bytes(bad))
+    said = 0
+    for copy in copies:
+        try:
+            b = bundle.parse(copy)
+            keys = b.sections["geohash"]
+            want = [f"{b.left_over} bytes after the last section"] * (b.left_over > 0) + [f"key {i} is below the one before it" for i in range(1, len(keys)) if keys[i] < keys[i - 1]][:5]
+        except (bundle.BundleError, UnicodeDecodeError) as e:
+            want = [str(e)]
+        assert bundle.problems(copy) == want
+        said += bool(want)
+    assert said > 50
+    (tmp_path / "in.bin").write_bytes(data)
+    bundle.put_changed(spark, str(tmp_path / "in.bin"), str(tmp_path / "out" / "a.bin"), {0: b"X", 12: b"ab"}, cut=3, more=b"yz")
+    assert (tmp_path / "out" / "a.bin").read_bytes() == b"X" + data[1:12] + b"ab" + data[14:-3] + b"yz"
+    assert bundle.some_bytes(spark, str(tmp_path / "in.bin"), 12, 4) == data[12:16]
+    plan = bundle.faults(spark, str(tmp_path / "out"))._jdf.queryExecution().toString()
+    assert "content" not in plan.split("Optimized Logical Plan")[1].split("Relation")[0] and bundle.faults(spark, str(tmp_path / "out")).count() == 1
