@@ -647,15 +647,17 @@ def stream_enrichment(spark, d):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, n_name AS city_name, count(*) AS events FROM events JOIN nation ON n_nationkey = user_id % 25 GROUP BY ALL")
 def stream_counts(spark, d):
-    """Events in four files, taken one a batch by a stream that meets the cities and keeps hourly counts; it stops when all are read."""
+    """Events in files, a quarter of them a batch, taken by a stream that meets the cities and keeps hourly counts; it stops when
+    all are read.  A file has 250,000 events or fewer, so that a batch is many tasks."""
     base = scratch.new_path(spark)
     spot = lambda k: ((k * 7 - 88).cast("double"), (k * 13 - 170).cast("double"))
     named = keys.shortest_unique_keys(table(spark, d, "nation").withColumn("gh", geo.geohash(*spot(F.col("n_nationkey")))), "gh", "n_nationkey")
     named.select(F.col("key").alias("geohash"), F.col("n_name").alias("city_name")).write.parquet(f"{base}/cities")
     lat, lon = spot(F.col("user_id") % 25)
     points = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), lat.alias("lat"), lon.alias("lon"))
-    points.repartition(4).write.parquet(f"{base}/events")
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    files = max(1, -(-points.count() // 1_000_000))
+    points.repartition(4 * files).write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/events")
     enrich.run_counts(stream, spark.read.parquet(f"{base}/cities"), "ts", f"{base}/out", f"{base}/state", window="1 hour", late="3650 days")
     return enrich.latest_counts(spark, f"{base}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "city_name", "events")
 

@@ -11,10 +11,12 @@ from ..functions.geo import geohash
 def with_city(events: DataFrame, cities: DataFrame, lat: str, lon: str, precision: int = 12) -> DataFrame:
     """A stream (or table) of points with the city whose key is a prefix of their geohash.
 
-    Keys are prefix-free, so a point meets one city at most; points outside every cell are dropped.
+    Keys are prefix-free, so a point meets one city at most; points outside every cell are dropped.  Only
+    prefixes as long as some key are tried; the cities' lengths, thirteen numbers at most, are read first.
     """
+    lengths = sorted(r[0] for r in cities.select(F.length("geohash").alias("n")).where(F.col("n").between(1, precision)).distinct().collect())
     hashed = events.withColumn("_hash", geohash(F.col(lat), F.col(lon), precision)).where("_hash is not null")
-    tried = hashed.withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(1), F.lit(precision)), lambda n: F.left("_hash", n))))
+    tried = hashed.withColumn("_prefix", F.explode(F.array(*[F.left("_hash", F.lit(n)) for n in lengths]).cast("array<string>")))
     return tried.join(cities, tried["_prefix"] == cities["geohash"]).drop("_prefix", "_hash")
 
 

@@ -250,3 +250,13 @@ def test_stream_meets_gazetteer(spark, built, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["city_name"], r["events"]) for r in spark.table("seen").collect()] == [("New York City", 3)]
+
+
+def test_points_try_only_prefixes_as_long_as_a_key(spark):
+    cities = spark.createDataFrame([("dr5", "a"), ("u1", "b"), ("9q8yyk8ytpxr_7", "c")], "geohash string, city_name string")
+    points = spark.createDataFrame([(1, 40.71, -74.0), (2, -80.0, -170.0), (3, None, 1.0)], "id int, lat double, lon double")
+    met = enrich.with_city(points, cities, "lat", "lon")
+    assert [(r["id"], r["city_name"]) for r in met.collect()] == [(1, "a")]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" in plan and "lambda" not in plan
+    assert enrich.with_city(points, cities.limit(0), "lat", "lon").count() == 0
