@@ -1,9 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word shingles: operator 10 where a similarity is asked for.
 
-At a similarity of 0.8 two SimHash fingerprints differ in about 10 of 64 bits, and at such a radius a
-vantage-point tree's bounds rule out nothing (README has the figures), so that every fingerprint would
-meet every other.  Candidates come from MinHash instead: BANDS independent fingerprints of ROWS minima
-each, so that a pair at similarity 0.8 shares none with a chance of 3 in 100,000, and fewer above.
+Candidates come from two sides, and all are compared exactly.  SimHash fingerprints of the shingle sets
+are linked through vantage-point trees (``simhash.links``, given as ``near``).  At a similarity of 0.8 two
+of them differ in about 10 of 64 bits, though, and at such a radius the trees' bounds rule out nothing
+(README has the figures), so that every fingerprint would meet every other.  What lies beyond the trees'
+radius comes from MinHash: BANDS independent fingerprints of ROWS minima each, so that a pair at
+similarity 0.8 shares none with a chance of 3 in 100,000, and fewer above.
 
 Texts that share a fingerprint are a group (texts with equal shingle sets are one node).  Links are
 found without ever meeting a group in one task: each member is compared exactly with two hubs of its
@@ -17,7 +19,7 @@ an id take part and come last in the order; of repeated rows (same id and text)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -52,6 +54,21 @@ def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), dtype=np.uint64, count=len(words) - k + 1))
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, total: int) -> int:
+    """The SimHash: a bit is set if over half of ``total`` hashes have it."""
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a shingle set; zero of the empty one."""
+    return majority(sum((bit_counts(s[at : at + _SLICE]) for at in range(0, len(s), _SLICE)), np.zeros(64, dtype=np.int64)), len(s))
+
+
 def node(s: np.ndarray) -> int:
     import xxhash
 
@@ -72,15 +89,15 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def _marked(docs: DataFrame, words_per_shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """key (of the row), id, node, size (of its set) and bands of every row."""
-    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """key (of the row), id, node, size (of its set), SimHash and bands of every row."""
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, words_per_shingle) for t in batch.column(2).to_pylist()]
             at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             ids = pa.ListArray.from_arrays(at, _signed([b for s in sets for b in bands(s)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed([node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), ids], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed([node(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _signed([fingerprint(s) for s in sets]), ids], schema.names)
 
     return docs.select(row_identity(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(mark, schema)
 
@@ -101,6 +118,16 @@ def _similar(both: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
+def _near(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b), each once, of the nodes with equal fingerprints (each with the least of them) and of those
+    that ``near`` links."""
+    of = written(nodes.groupBy("fp").agg(F.min("node").alias("least")))  # so that the join of a hot fingerprint can be split
+    same = nodes.select("node", "fp").join(of, "fp").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    x, y = (of.select(F.col("fp").alias(c), F.col("least").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    linked = near(of.select("fp")).join(x, "a").join(y, "b").select("x", "y")
+    return same.unionByName(linked).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _with_hubs(members: DataFrame) -> DataFrame:
     """Pairs (a, b), each once, of the members of a band with its two hubs."""
     fellows = members.groupBy("node").agg(F.sum("n").alias("fellows"))
@@ -157,26 +184,31 @@ def _rest_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     return own.unionByName(outside).join(sets, "node").groupBy("band", "part", "turn").applyInArrow(join, "a long, b long")
 
 
-def similar_roots(docs: DataFrame, marked: DataFrame, percent: int, words_per_shingle: int, id_col: str, text_col: str, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """node and ``root`` for the nodes of ``marked`` that some link joins, and ``nodes`` (node, first row)."""
-    nodes = written(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+def similar_roots(docs: DataFrame, marked: DataFrame, percent: int, words_per_shingle: int, id_col: str, text_col: str, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node and ``root`` for the nodes of ``marked`` that some link joins, and ``nodes`` (node, first row).
+    ``near``: of a table of distinct ``fp``, its links (a, b); what it gives is compared exactly like all else."""
+    nodes = written(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     each = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = written(each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = written(each.join(shared, "band"))
-    keys = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first.key")
+    met, pairs = members.select("node"), _with_hubs(members)
+    if near:
+        close_by = written(_near(nodes, near))
+        met, pairs = met.union(close_by.select(F.explode(F.array("a", "b")))), pairs.union(close_by).distinct()
+    keys = nodes.join(met.distinct(), "node", "left_semi").select("first.key")
     sets = written(_sets(docs, keys, words_per_shingle, id_col, text_col))
     a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    compared = _with_hubs(members).join(a, "a").join(b, "b")
+    compared = pairs.join(a, "a").join(b, "b")
     close = _similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)
     links = written(compared.where(close).select("a", "b"))
     rest = written(_rest_links(members, components(links), sets, percent, block, block_shingles))
     return components(links.unionByName(rest)), nodes
 
 
-def keep_one(docs: DataFrame, percent: int = 80, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with one document (the smallest id) of each group that is linked, directly or over others, by
     shingle sets with a Jaccard similarity of ``percent`` or more; of repeated rows one stays."""
     marked = written(_marked(docs, words_per_shingle, id_col, text_col))
-    roots, nodes = similar_roots(docs, marked, percent, words_per_shingle, id_col, text_col, block, block_shingles)
+    roots, nodes = similar_roots(docs, marked, percent, words_per_shingle, id_col, text_col, block, block_shingles, near)
     rooted = nodes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return keep_rows(docs, rooted.groupBy("root").agg(F.min("first").alias("f")).select("f.key"), id_col, text_col)

@@ -14,6 +14,7 @@ table gives an empty result.  Input columns other than the id and the text are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -53,8 +54,8 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
         a, z = starts[at : at + _SLICE].tolist(), ends[at : at + _SLICE].tolist()
         shingles = map(joined.__getitem__, map(slice, a, z))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=len(a))
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > total, bitorder="little").view("<u8")[0])
+        bits += neardup.bit_counts(hashes)
+    return neardup.majority(bits, total)
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +203,8 @@ def keep_one(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, id_co
     return keep_rows(docs, rooted.groupBy("root").agg(F.min("first").alias("f")).select("f.key"), id_col, text_col)
 
 
-def keep_similar(docs: DataFrame, percent: int = 80, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_similar(docs: DataFrame, percent: int = 80, words_per_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """``docs`` with one document (the smallest id) of each group linked by a Jaccard similarity of their
-    shingle sets of ``percent`` or more, which no radius that trees can prune finds: see ``neardup``."""
-    return neardup.keep_one(docs, percent, words_per_shingle, id_col, text_col)
+    shingle sets of ``percent`` or more.  Fingerprints at most ``radius`` apart are found through the trees and
+    compared exactly; pairs that similar further apart, which no radius that trees can prune finds, see ``neardup``."""
+    return neardup.keep_one(docs, percent, words_per_shingle, id_col, text_col, near=partial(links, radius=radius))

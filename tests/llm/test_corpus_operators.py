@@ -362,6 +362,30 @@ def test_near_dedup_compares_what_no_hub_has_met(spark):
         assert sorted(r["doc_id"] for r in neardup.keep_one(df, block=block).collect()) == want
 
 
+def test_near_dedup_takes_candidates_from_simhash_trees(spark):
+    """With no MinHash fingerprint shared, fingerprints through the trees alone lead to the links; pairs that are near but not similar don't."""
+    rng = random.Random(9)
+    bases = [[f"d{d}w{i}" for i in range(400)] for d in range(40)]
+    docs = bases + [[*b[:200], f"new{d}", *b[201:]] for d, b in enumerate(bases)] + [["one"], ["two"]]
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    marked = neardup._marked(df, 5, "doc_id", "text").withColumn("bands", F.array("node"))
+    near = lambda fps: simhash.links(fps, 3, least=8)
+    fps = [neardup.fingerprint(neardup.shingles(" ".join(d))) for d in docs]
+    sets = [set(neardup.shingles(" ".join(d)).tolist()) for d in docs]
+    close = [(i, j) for i, j in combinations(range(len(docs)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    want = [(i, j) for i, j in close if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    roots, nodes = neardup.similar_roots(df, marked, 80, 5, "doc_id", "text", near=near)
+    got = {frozenset(r["ids"]) for r in nodes.join(roots, "node").groupBy("root").agg(F.collect_set("first.id").alias("ids")).collect()}
+    assert len(want) > 10 and got == {frozenset(p) for p in want}
+    alone, _ = neardup.similar_roots(df, marked, 80, 5, "doc_id", "text")
+    assert alone.count() == 0
+    wide = lambda fps: simhash.links(fps, 40, least=8)
+    roots, nodes = neardup.similar_roots(df, marked, 80, 5, "doc_id", "text", near=wide)
+    joined = {frozenset(r["ids"]) for r in nodes.join(roots, "node").groupBy("root").agg(F.collect_set("first.id").alias("ids")).collect()}
+    assert all(len(g) == 2 for g in joined)
+
+
 def test_tree_routes_every_link():
     rng = np.random.default_rng(2)
     points = np.unique(rng.integers(0, 2**63, 600, dtype=np.uint64))
