@@ -29,11 +29,13 @@ def geohash(lat: Column, lon: Column, precision: int = MAX_PRECISION) -> Column:
 
     Both coordinates become 30-bit integers.  A character's five bits alternate between them, three
     of one and two of the other; the two groups pick the character from the alphabet, reordered so
-    that they need no interleaving.  Everything stays inside code generation.
+    that they need no interleaving.  Everything stays inside code generation; validity is tested in the two
+    integers, since only outside of a condition Spark computes each once for all characters.
     """
+    ok = valid_coordinate(lat, lon)
     wrapped = lon - F.floor((lon + 180) / 360) * 360
-    y = F.floor((lat + 90) / 180 * F.lit(float(1 << 30))).cast("int")
-    x = F.least(F.floor((wrapped + 180) / 360 * F.lit(float(1 << 30))), F.lit((1 << 30) - 1)).cast("int")
+    y = F.when(ok, F.floor((lat + 90) / 180 * F.lit(float(1 << 30))).cast("int"))
+    x = F.when(ok, F.least(F.floor((wrapped + 180) / 360 * F.lit(float(1 << 30))), F.lit((1 << 30) - 1)).cast("int"))
 
     def char(k: int) -> Column:
         three, two = (x, y) if k % 2 == 0 else (y, x)
@@ -41,7 +43,7 @@ def geohash(lat: Column, lon: Column, precision: int = MAX_PRECISION) -> Column:
         low = F.shiftright(two, 30 - 2 - 5 * (k // 2) - 3 * (k % 2)).bitwiseAND(F.lit(3))
         return F.substr(F.lit(_REORDERED), high * 4 + low + 1, F.lit(1))
 
-    return F.when(valid_coordinate(lat, lon), F.concat(*[char(k) for k in range(precision)]))
+    return F.concat(*[char(k) for k in range(precision)])
 
 
 def common_prefix(a: Column, b: Column, longest: int) -> Column:

@@ -32,13 +32,21 @@ def shortest_unique_keys(df: DataFrame, gh: str, row_id: str) -> DataFrame:
 
     Rows that share all 12 characters get ``hash_id``.  Every prefix is counted by hash aggregation,
     partial counts first, so that a cell with a third of all rows is a few rows when it is shuffled;
-    no order of all rows is needed.  Rows are counted and dealt to tasks of SPREAD rows before their prefixes are made.
+    no order of all rows is needed.  Rows are counted and dealt to tasks of about SPREAD rows before their prefixes
+    are made, and the counts to as many tasks, whatever the session's number of partitions: a task's share doesn't grow.
     ``row_id`` identifies a row; rows without a hash are left out.
     """
     rows = df.select(F.col(row_id).alias("_id"), F.left(gh, F.lit(MAX_PRECISION)).alias("_hash"))
     parts = _parts(df.count())
-    each = (rows.repartition(parts, "_id") if parts > 1 else rows).select("_id", F.explode(_prefixes(F.col("_hash"))).alias("_prefix"))
-    alone = each.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).where("_n = 1")
+    if parts > 1:
+        rows = rows.withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(8 * parts))).repartition(parts, "_deal")
+        each = rows.select("_deal", "_id", F.explode(_prefixes(F.col("_hash"))).alias("_prefix"))
+        some = each.groupBy("_deal", "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id"))  # no shuffle
+        counts = some.repartition(parts, "_prefix").groupBy("_prefix").agg(F.sum("_n").alias("_n"), F.min("_id").alias("_id"))
+        alone = counts.where("_n = 1").repartition(parts, "_id")
+    else:
+        each = rows.select("_id", F.explode(_prefixes(F.col("_hash"))).alias("_prefix"))
+        alone = each.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_id")).where("_n = 1")
     shortest = alone.groupBy("_id").agg(F.min(F.length("_prefix")).alias("_length"))
     joined = df.join(shortest, df[row_id] == shortest["_id"], "left")
     # A null hash gives a null key; testing the key keeps the hash from being computed for a filter below.

@@ -78,3 +78,10 @@ def test_text_helpers(spark):
     assert [r[1] for r in rows] == ["NewYorkCity", "Ārdamatā", "'s-Gravenzande"]
     assert [r[2] for r in rows] == [["New", "York", "City"], ["Ārdamatā"], ["'", "s", "-", "Gravenzande"]]
     assert [r[3] for r in rows] == ["No region", "R", "No region"] and [r[4] for r in rows] == [None, "C.R", None]
+
+
+def test_a_hash_computes_its_coordinates_once(spark):
+    """Not once a character: such code is too long for the JVM to compile."""
+    df = spark.range(5).select(geo.geohash(F.col("id") % 7 * 1.5, F.col("id") * 3.25).alias("gh"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    assert 0 < df._jdf.queryExecution().explainString(mode).count("floor(") <= 12

@@ -236,3 +236,15 @@ def test_rows_are_spread_before_their_prefixes_are_made(spark, monkeypatch):
     spread = keys.shortest_unique_keys(df, "gh", "id")
     assert sorted(map(tuple, spread.collect())) == want and "RepartitionByExpression [_id" in spread._jdf.queryExecution().toString()
     assert sorted(map(tuple, keys.prefix_join(probes, "p", cities, "key").collect())) == met
+
+
+def test_key_counts_are_dealt_whatever_the_number_of_partitions(spark, monkeypatch):
+    """A task's share of the prefixes, of their counts and of the rows they lead to doesn't grow with the table; a cell that all rows share is added up before it is dealt."""
+    rows = [(i, "s" * 6 + "".join("bcd"[(i * 7919 >> 2 * k) % 3] for k in range(6))) for i in range(400)] + [(900, None), (None, "sz"), (901, "")]
+    df = spark.createDataFrame(rows, "id long, gh string").coalesce(1)
+    want = sorted(map(str, keys.shortest_unique_keys(df, "gh", "id").collect()))
+    monkeypatch.setattr(keys, "SPREAD", 10)
+    spread = keys.shortest_unique_keys(df, "gh", "id")
+    plan = spread._jdf.queryExecution().toString()
+    assert sorted(map(str, spread.collect())) == want
+    assert all(f"RepartitionByExpression [{c}#" in plan for c in ("_deal", "_prefix", "_id")) and plan.count(", 41") >= 3
