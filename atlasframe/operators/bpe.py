@@ -1,18 +1,21 @@
 """Byte-pair vocabularies for names: learning, encoding, decoding.
 
 Spark counts words; the merge loop is sequential by nature and runs on the driver over the table of
-distinct words (of place names: tens of thousands), updating pair counts where a merge changed them.
+distinct words, held in matrices of ids, updating pair counts where a merge changed them.
 The table's size is checked before it is fetched.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +25,10 @@ from ..functions.text import name_words
 
 UNKNOWN = "<unk>"
 #: Distinct words that the driver learns from at most, and that a task remembers.
-MOST_WORDS, MEMO_WORDS = 5_000_000, 200_000
+MOST_WORDS, MEMO_WORDS = 10_000_000, 200_000
+#: Cells of a matrix of words that a merge compares at once.
+CELLS = 1 << 20
+Pair = tuple[int, int]
 
 
 @dataclass(frozen=True)
@@ -75,23 +81,88 @@ def word_counts(names: DataFrame, column: str = "name") -> DataFrame:
     return names.select(F.explode(name_words(F.col(column))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _matrices(ids: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words of two symbols or more as rows of matrices, a matrix for words of about one length, and their weights.
+    At least one cell after a word is -1, so that no pair reaches into the next row."""
+    starts = np.cumsum(lengths) - lengths
+    widths = np.where(lengths < 32, 4 * (lengths // 4 + 1), 2 ** np.ceil(np.log2(lengths + 1)).astype(np.int64))
+    out = []
+    for width in np.unique(widths[lengths > 1]).tolist():
+        every = np.flatnonzero((widths == width) & (lengths > 1))
+        step = max(1, CELLS // width)
+        for k in range(0, len(every), step):
+            rows, cells = every[k : k + step], np.arange(width)
+            at = np.minimum(starts[rows][:, None] + cells, len(ids) - 1)
+            out.append((np.where(cells < lengths[rows][:, None], ids[at], -1).astype(ids.dtype), weights[rows]))
+    return out
+
+
+def _pair_sums(rows: np.ndarray, weights: np.ndarray, size: int) -> Iterator[tuple[Pair, int]]:
+    """The pairs in ``rows`` and their weights' sums, which may be 0; symbols are below ``size``."""
+    there = rows[:, 1:] >= 0
+    codes = rows[:, :-1][there].astype(np.int64) * size + rows[:, 1:][there]
+    each = np.repeat(weights, there.sum(axis=1))
+    if size * size <= 16 * len(codes):
+        sums = np.zeros(size * size, np.int64)
+        np.add.at(sums, codes, each)
+        found = np.flatnonzero(sums)
+        sums = sums[found]
+    else:
+        found, where = np.unique(codes, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, where, each)
+    return (((c // size, c % size), n) for c, n in zip(found.tolist(), sums.tolist(), strict=True))
+
+
+def _join(rows: np.ndarray, pair: Pair, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace ``pair`` by ``new`` wherever it occurs in ``rows``; the rows with it, as they were, and as they are."""
+    flat, width = rows.reshape(-1), rows.shape[1]
+    at = np.flatnonzero((flat[:-1] == pair[0]) & (flat[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):  # of overlapping ones the first, third, ...
+        begins = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+        at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 0]
+    row = at // width
+    hit = row[np.r_[True, np.diff(row) > 0]] if len(row) else row
+    old = rows[hit]
+    flat[at], flat[at + 1] = new, -2
+    held = rows[hit]
+    kept = held != -2
+    now = np.full_like(held, -1)
+    now[np.nonzero(kept)[0], (np.cumsum(kept, axis=1) - 1)[kept]] = held[kept]
+    rows[hit] = now
+    return hit, old, now
+
+
 def train(counts: Iterable[tuple[str, int]], vocab_size: int = 1000) -> Vocabulary:
     """Learn a vocabulary: ``<unk>``, every character in code point order, then merges.
 
     Each step joins the most frequent adjacent pair, of equal ones that of the smallest ids; a joined
     text that is a token already keeps its id.  It ends at ``vocab_size`` tokens or without pairs.
     """
-    counts = [(w, n) for w, n in counts if w]
-    tokens = [UNKNOWN, *sorted({c for w, _ in counts for c in w})]
+    kept = [(w, n) for w, n in counts if w]
+    return train_words(pa.array([w for w, _ in kept], pa.string()), np.array([n for _, n in kept], np.int64), vocab_size)
+
+
+def train_words(words: pa.StringArray, weights: np.ndarray, vocab_size: int = 1000) -> Vocabulary:
+    """``train`` on words that aren't empty, in an Arrow array, and how often each occurs.
+
+    Words are rows of matrices of ids.  A merge compares neighbouring cells of all of them at once; only rows
+    that it touches take their old pairs back and add their new ones."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    letters = np.flatnonzero(np.bincount(points))
+    tokens = [UNKNOWN, *map(chr, letters.tolist())]
     ids = {t: k for k, t in enumerate(tokens)}
-    words = [[ids[c] for c in w] for w, _ in counts]
-    weight = [n for _, n in counts]
+    size = max(vocab_size, len(tokens))
+    code = np.zeros(int(letters.max(initial=0)) + 1, np.int16 if size < 1 << 15 else np.int32)
+    code[letters] = np.arange(1, len(tokens))
+    numbers = code[points]
+    matrices = _matrices(numbers, pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64), weights)
+    del text, points, numbers
     pairs: Counter = Counter()
-    where: dict = defaultdict(set)
-    for k, w in enumerate(words):
-        for pair in zip(w, w[1:], strict=False):
-            pairs[pair] += weight[k]
-            where[pair].add(k)
+    for rows, weight in matrices:
+        for pair, n in _pair_sums(rows, weight, size):
+            pairs[pair] += n
     heap = [(-n, pair) for pair, n in pairs.items()]
     heapq.heapify(heap)
     merges: list[tuple[int, int, int]] = []
@@ -106,24 +177,13 @@ def train(counts: Iterable[tuple[str, int]], vocab_size: int = 1000) -> Vocabula
             tokens.append(text)
         merges.append((*pair, new))
         touched = set()
-        for k in where.pop(pair):
-            old = words[k]
-            joined: list[int] = []
-            for i in old:
-                if joined and (joined[-1], i) == pair:
-                    joined[-1] = new
-                else:
-                    joined.append(i)
-            if len(joined) == len(old):
-                continue
-            for p in zip(old, old[1:], strict=False):
-                pairs[p] -= weight[k]
-                touched.add(p)
-            for p in zip(joined, joined[1:], strict=False):
-                pairs[p] += weight[k]
-                where[p].add(k)
-                touched.add(p)
-            words[k] = joined
+        for rows, weight in matrices:
+            hit, old, now = _join(rows, pair, new)
+            if len(hit):
+                for p, d in _pair_sums(np.concatenate([old, now]), np.concatenate([-weight[hit], weight[hit]]), size):
+                    if d:
+                        pairs[p] += d
+                        touched.add(p)
         pairs.pop(pair, None)
         for p in touched - {pair}:
             if pairs[p] > 0:
@@ -131,17 +191,32 @@ def train(counts: Iterable[tuple[str, int]], vocab_size: int = 1000) -> Vocabula
     return Vocabulary(tuple(tokens), tuple(merges))
 
 
+def fetched(counts: DataFrame) -> tuple[pa.StringArray, np.ndarray]:
+    """word and n of ``counts`` on the driver, partition by partition: a task packs each Arrow batch into one row."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"data": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    parts = [pa.ipc.open_stream(bytes(r["data"])).read_all() for r in counts.where("word != ''").select("word", "n").mapInArrow(packed, "data binary").toLocalIterator()]
+    if not parts:
+        return pa.array([], pa.string()), np.array([], np.int64)
+    table = pa.concat_tables(parts)
+    return table["word"].combine_chunks().cast(pa.string()), table["n"].to_numpy().astype(np.int64)
+
+
 def learn(names: DataFrame, column: str = "name", vocab_size: int = 1000, least: int = 1, most_words: int = MOST_WORDS) -> Vocabulary:
     """Count words with Spark, then ``train`` on those that occur ``least`` times or more.
 
     More than ``most_words`` of these are an error, not a sample: raise ``least`` then.
     """
-    found = word_counts(names, column).where(F.col("n") >= least)
-    rows = found.orderBy("word").limit(most_words + 1)
-    counts = [(r["word"], r["n"]) for r in rows.toLocalIterator()]
-    if len(counts) > most_words:
+    words, weights = fetched(word_counts(names, column).where(F.col("n") >= least).limit(most_words + 1))
+    if len(words) > most_words:
         raise ValueError(f"over {most_words} distinct words occur {least} times or more: raise least")
-    return train(counts, vocab_size)
+    return train_words(words, weights, vocab_size)
 
 
 def encode(vocabulary: Vocabulary, name: Column) -> Column:

@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bpe import MOST_WORDS, UNKNOWN, Vocabulary, train, word_counts
+from .bpe import MOST_WORDS, UNKNOWN, Pair, Vocabulary, fetched, train_words, word_counts
 
 #: Pairs that a round looks at.
 TOP = 512
-Pair = tuple[int, int]
 
 
 def certain_merges(tops: list[tuple[Pair, int]], tokens: list[str], room: int, whole: bool) -> list[tuple[int, int, str]]:
@@ -145,6 +144,6 @@ def learn(names: DataFrame, column: str = "name", vocab_size: int = 1000, least:
     if counts.count() > most_words:
         scratch.forget_written(counts)
         return learn_tables(names, column, vocab_size, least)
-    out = train([(r["word"], r["n"]) for r in counts.orderBy("word").toLocalIterator()], vocab_size)
+    out = train_words(*fetched(counts), vocab_size)
     scratch.forget_written(counts)
     return out

@@ -1,6 +1,7 @@
 """Operators against plain restatements of their rules."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,34 @@ def test_key_counts_are_dealt_whatever_the_number_of_partitions(spark, monkeypat
     plan = spread._jdf.queryExecution().toString()
     assert sorted(map(str, spread.collect())) == want
     assert all(f"RepartitionByExpression [{c}#" in plan for c in ("_deal", "_prefix", "_id")) and plan.count(", 41") >= 3
+
+
+def test_learning_takes_little_memory_a_word(monkeypatch):
+    """Half of what lists of ids and sets of words a pair take; the driver learns from up to MOST_WORDS of them."""
+    monkeypatch.setattr(bpe, "CELLS", 1 << 14, raising=False)
+    counts = [(f"{k:09d}", 1) for k in range(20_000)]
+    tracemalloc.start()
+    try:
+        bpe.train(counts, 60)
+        assert tracemalloc.get_traced_memory()[1] < 400 * len(counts)
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_are_fetched_whole(spark):
+    words = [("aa", 3), ("", 5), ("b" * 300, 1), ("é漢😀", 2)] + [(f"{k:09d}", 1) for k in range(3000)]
+    found, n = bpe.fetched(spark.createDataFrame(words, "word string, n long").repartition(3))
+    assert sorted(zip(found.to_pylist(), n.tolist(), strict=True)) == sorted(w for w in words if w[0])
+    assert bpe.train_words(found, n, 50) == bpe.train(words, 50)
+    none, n = bpe.fetched(spark.createDataFrame([], "word string, n long"))
+    assert len(none) == 0 and bpe.train_words(none, n) == bpe.train([])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_pairs_and_long_words(seed):
+    rng = random.Random(seed)
+    counts = [(rng.choice("ab") * rng.randrange(1, 80) + rng.choice(["", "ab", "ba"]), rng.randrange(1, 5)) for _ in range(30)]
+    vocabulary = bpe.train(counts, 40)
+    tokens, words = naive_bpe(counts, 40)
+    assert list(vocabulary.tokens) == tokens
+    assert [vocabulary.encode_word(w) for w, _ in counts] == words
