@@ -13,7 +13,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,7 @@ from ..functions.text import name_words
 
 UNKNOWN = "<unk>"
 #: Distinct words that the driver learns from at most, and that a task remembers.
-MOST_WORDS, MEMO_WORDS = 10_000_000, 200_000
+MOST_WORDS, MEMO_WORDS = 10_000_000, 20_000
 #: Cells of a matrix of words that a merge compares at once.
 CELLS = 1 << 20
 Pair = tuple[int, int]
@@ -223,33 +222,32 @@ def encode(vocabulary: Vocabulary, name: Column) -> Column:
     """Token ids of ``name``: words by expression, ids by an Arrow UDF that remembers words for as long
     as its task runs."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(words: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(words: pa.Array) -> pa.Array:
         seen = vocabulary.memo()
-
-        def of(found) -> list[int] | None:
-            if found is None:
-                return None
-            out: list[int] = []
-            for w in found:
+        offsets, out = [], []
+        for k in range(len(words)):
+            found = words[k].as_py()  # a row at a time: the batch's words aren't all Python objects at once
+            offsets.append(None if found is None else len(out))
+            for w in found or ():
                 if w not in seen:
                     if len(seen) >= MEMO_WORDS:
                         seen.clear()
                     seen[w] = vocabulary.encode_word(w)
                 out += seen[w]
-            return out
-
-        return words.map(of)
+        return pa.ListArray.from_arrays(pa.array([*offsets, len(out)], pa.int32()), pa.array(out, pa.int32()))
 
     return ids(name_words(name))
 
 
 def vocabulary_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(vocabulary.tokens)), "token_id int, token string")
+    return spark.createDataFrame(pa.table({"token_id": pa.array(range(len(vocabulary.tokens)), pa.int32()), "token": pa.array(vocabulary.tokens, pa.string())}))
 
 
 def merges_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    return spark.createDataFrame([(k, *m) for k, m in enumerate(vocabulary.merges)], "rank int, left_id int, right_id int, new_id int")
+    rows = [(k, *m) for k, m in enumerate(vocabulary.merges)]
+    names = ("rank", "left_id", "right_id", "new_id")
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], pa.int32()) for k, name in enumerate(names)}))
 
 
 def load_vocabulary(tokens: DataFrame, merges: DataFrame) -> Vocabulary:

@@ -5,6 +5,7 @@ import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from atlasframe.operators import bpe, columns, keys, normalize, search, verify
 
@@ -280,3 +281,15 @@ def test_overlapping_pairs_and_long_words(seed):
     tokens, words = naive_bpe(counts, 40)
     assert list(vocabulary.tokens) == tokens
     assert [vocabulary.encode_word(w) for w, _ in counts] == words
+
+
+def test_encoding_needs_neither_pandas_nor_workers_for_tables(spark):
+    """Workers that load pandas, and others that only hand a list over, took half of an executor's Python."""
+    vocabulary = bpe.train([("new", 2), ("york", 1)], 20)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (bpe.vocabulary_table(spark, vocabulary), bpe.merges_table(spark, vocabulary)):
+        assert "LocalTableScan" in plan(made)
+    rows = spark.createDataFrame([(1, "new york!"), (2, None), (3, "")], "id int, name string")
+    encoded = rows.select("id", bpe.encode(vocabulary, F.col("name")).alias("ids"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan(encoded)
+    assert {r["id"]: r["ids"] for r in encoded.collect()} == {1: vocabulary.encode_word("new") + vocabulary.encode_word("york"), 2: None, 3: []}
